@@ -59,25 +59,36 @@ def marker_timestamp(col) -> Column:
 
 # --- C4 / C5: deterministic order identity -------------------------------------
 
+def uuid5_digest(name) -> Column:
+    """SHA-1 of (DNS namespace bytes || UTF-8 name), as 40 hex digits."""
+    return F.sha1(F.concat(F.unhex(F.lit(NAMESPACE_DNS_HEX)), F.encode(_c(name), "UTF-8")))
+
+
+def uuid_from_digest(d) -> Column:
+    """Canonical UUID v5 text from a SHA-1 hex digest: version nibble 5, variant 10xx.
+
+    Reference the digest through a column so it is computed once per row.
+    """
+    d = _c(d)
+    variant = F.translate(F.substring(d, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat(F.substring(d, 1, 8), F.lit("-"), F.substring(d, 9, 4), F.lit("-5"),
+                    F.substring(d, 14, 3), F.lit("-"), variant, F.substring(d, 18, 3),
+                    F.lit("-"), F.substring(d, 21, 12))
+
+
 def uuid5_dns(name) -> Column:
-    """UUID version 5 (SHA-1, DNS namespace) of a string column, canonical text."""
-    d = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE_DNS_HEX)), F.encode(_c(name), "UTF-8")))
-    nibble = F.conv(F.substring(d, 17, 1), 16, 10).cast("int")
-    variant = F.element_at(F.array(*[F.lit(x) for x in "89ab"]), nibble % 4 + 1)
-    return F.concat(
-        F.substring(d, 1, 8), F.lit("-"),
-        F.substring(d, 9, 4), F.lit("-"),
-        F.lit("5"), F.substring(d, 14, 3), F.lit("-"),
-        variant, F.substring(d, 18, 3), F.lit("-"),
-        F.substring(d, 21, 12),
-    )
+    """UUID version 5 (DNS namespace) of a string column (digest bound once in a lambda)."""
+    return F.transform(F.array(uuid5_digest(name)), uuid_from_digest)[0]
+
+
+def order_id_name(tenant_id, client_hash, order_date) -> Column:
+    return F.concat(F.lit("tenant_"), _c(tenant_id).cast("string"), F.lit("_"),
+                    _c(client_hash), F.lit("_"), _c(order_date))
 
 
 def order_id(tenant_id, client_hash, order_date) -> Column:
     """Order (basket) id: one client at one exact date string within a tenant."""
-    name = F.concat(F.lit("tenant_"), _c(tenant_id).cast("string"), F.lit("_"),
-                    _c(client_hash), F.lit("_"), _c(order_date))
-    return uuid5_dns(name)
+    return uuid5_dns(order_id_name(tenant_id, client_hash, order_date))
 
 
 def order_number(order_id_col) -> Column:

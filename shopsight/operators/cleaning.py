@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopsight.functions.scalar import (hash_client, marker_timestamp, order_date_text,
-                                        strip_ws)
+from shopsight.functions.scalar import marker_timestamp, order_date_text, strip_ws
 from shopsight.schemas import MONEY
 
 # Reject reasons, in the order the reference checks a record.
@@ -79,7 +78,7 @@ def clean_feed(df: DataFrame, keep: Sequence[str] = ("tenant_id",), salt: str |
     keep = [k for k in keep if k in df.columns]
     return (c.filter(F.col("reject_reason").isNull())
              .select(*keep,
-                     hash_client(F.col("__client"), salt).alias("client_hash"),
+                     _sha(F.col("__client"), salt).alias("client_hash"),
                      F.col("__sku").alias("product_code"),
                      F.col("__qty").alias("quantity"),
                      F.col("__price").alias("price"),
@@ -87,6 +86,11 @@ def clean_feed(df: DataFrame, keep: Sequence[str] = ("tenant_id",), salt: str |
                      F.col("__ts").alias("transaction_date")))
 
 
+def _sha(stripped, salt):
+    """SHA-256 of an already stripped client id (``hash_client`` without a second strip)."""
+    return F.sha2(F.concat(F.lit(salt), stripped) if salt else stripped, 256)
+
+
 def rejected_feed(df: DataFrame, **cols) -> DataFrame:
     """The rows the cleaner drops, with the first failing rule."""
     c = classify_feed(df, **cols)

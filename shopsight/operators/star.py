@@ -17,7 +17,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopsight.functions.scalar import order_id, order_number
+from shopsight.functions.scalar import (order_id_name, order_number, uuid5_digest,
+                                        uuid_from_digest)
 from shopsight.schemas import CUSTOMERS, ORDER_ITEMS, ORDERS, PRODUCTS, TENANTS
 
 
@@ -51,7 +52,9 @@ def resolve_tenant(feed: DataFrame, tenants: DataFrame) -> tuple[DataFrame, Data
 
 def with_order_id(clean: DataFrame) -> DataFrame:
     """Add the deterministic order id (one client at one date string per tenant)."""
-    return clean.withColumn("order_id", order_id("tenant_id", "client_hash", "order_date"))
+    # two projections: the digest is not cheap, so Catalyst keeps it computed once
+    return (clean.withColumn("__dg", uuid5_digest(order_id_name("tenant_id", "client_hash", "order_date")))
+                 .withColumn("order_id", uuid_from_digest("__dg")).drop("__dg"))
 
 
 def batch_orders(clean_with_ids: DataFrame) -> DataFrame:
@@ -100,9 +103,11 @@ def batch_items(clean_with_ids: DataFrame, batch_id: int) -> DataFrame:
         F.col("client_hash").alias("customer_hash"), F.lit(batch_id).cast("long").alias("batch_id"))
 
 
-def append_items(current: DataFrame, items: DataFrame, customers: DataFrame | None = None,
+def append_items(current: DataFrame | None, items: DataFrame, batch_id: int,
+                 customers: DataFrame | None = None,
                  products: DataFrame | None = None) -> DataFrame:
-    """Keep items whose customer and product exist, replace rows of the same batch id.
+    """Keep items whose customer and product exist, replace rows of the same batch id
+    (a replayed batch overwrites itself instead of duplicating).
 
     Pass ``customers=None, products=None`` when the dimensions were upserted from the
     same batch: every key then exists by construction and two shuffles are saved.
@@ -113,8 +118,11 @@ def append_items(current: DataFrame, items: DataFrame, customers: DataFrame | No
     if products is not None:
         checked = checked.join(products.select("tenant_id", "product_code"),
                                ["tenant_id", "product_code"], "left_semi")
-    kept = current.join(items.select("batch_id").distinct(), "batch_id", "left_anti")
-    return kept.unionByName(checked.select(*current.columns))
+    checked = checked.select(*ORDER_ITEMS.fieldNames())
+    if current is None:
+        return checked
+    kept = current.filter(F.col("batch_id") != F.lit(batch_id))
+    return kept.unionByName(checked)
 
 
 # --- C8 / L2: sync marker ------------------------------------------------------------------
@@ -155,13 +163,23 @@ def load_batch(star: Star, clean: DataFrame, batch_id: int, seq_cols: Sequence[s
     products = upsert_products(star.products, clean, seq_cols)
     orders = upsert_orders(star.orders, batch_orders(with_ids))
     # customers and products were just upserted from this batch: no lookup needed
-    items = append_items(star.order_items, batch_items(with_ids, batch_id))
+    items = append_items(star.order_items, batch_items(with_ids, batch_id), batch_id)
     tenants = update_marker(star.tenants, clean, marker_mode, now)
     return replace(star, tenants=tenants, customers=customers, products=products,
                    orders=orders, order_items=items)
 
 
 def star_from_clean(spark: SparkSession, clean: DataFrame, seq_cols: Sequence[str],
-                    tenants: DataFrame | None = None, batch_id: int = 0) -> Star:
-    """A whole clean feed as one batch (the full-load path)."""
-    return load_batch(Star.empty(spark, tenants), clean, batch_id, seq_cols)
+                    tenants: DataFrame | None = None, batch_id: int = 0,
+                    marker_mode: str = "event", now: str | None = None) -> Star:
+    """A whole clean feed as the first batch (the full-load path): the tables are
+    built directly, with no anti joins against empty tables."""
+    if tenants is None:
+        tenants = spark.createDataFrame([], TENANTS)
+    with_ids = with_order_id(clean)
+    customers = clean.select("tenant_id", F.col("client_hash").alias("customer_hash")).distinct()
+    products = latest_prices(clean, seq_cols).select(
+        "tenant_id", "product_code", F.col("price").cast(PRODUCTS["price"].dataType).alias("price"))
+    return Star(tenants=update_marker(tenants, clean, marker_mode, now), customers=customers,
+                products=products, orders=batch_orders(with_ids),
+                order_items=append_items(None, batch_items(with_ids, batch_id), batch_id))

@@ -87,7 +87,7 @@ def with_order_id(src: str, name: str) -> str:
 {name} AS (
   SELECT * EXCLUDE (dg),
          substr(dg, 1, 8) || '-' || substr(dg, 9, 4) || '-5' || substr(dg, 14, 3) || '-'
-         || substr('89ab', ((instr('0123456789abcdef', substr(dg, 17, 1)) - 1) % 4) + 1, 1)
+         || translate(substr(dg, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab')
          || substr(dg, 18, 3) || '-' || substr(dg, 21, 12) AS order_id
   FROM {name}_d)"""
 
