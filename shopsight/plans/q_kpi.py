@@ -27,9 +27,9 @@ kpi2 AS (
 
 def compact_sql(v: str) -> str:
     return f"""CASE WHEN {v} IS NULL OR isnan({v}) THEN '0.00'
-        WHEN {v} >= 1e6 THEN CAST(CAST(round({v} / 1e6, 2) AS DECIMAL(38,2)) AS VARCHAR) || 'M'
-        WHEN {v} >= 1e3 THEN CAST(CAST(round({v} / 1e3, 1) AS DECIMAL(38,1)) AS VARCHAR) || 'K'
-        ELSE CAST(CAST(round({v}, 2) AS DECIMAL(38,2)) AS VARCHAR) END"""
+        WHEN {v} >= 1e6 THEN CAST(CAST({S.rnd(f"{v} / 1e6", 2)} AS DECIMAL(38,2)) AS VARCHAR) || 'M'
+        WHEN {v} >= 1e3 THEN CAST(CAST({S.rnd(f"{v} / 1e3", 1)} AS DECIMAL(38,1)) AS VARCHAR) || 'K'
+        ELSE CAST(CAST({S.rnd(v, 2)} AS DECIMAL(38,2)) AS VARCHAR) END"""
 
 
 @query("kpis_by_tenant", covers="D1 D2 D3",
@@ -69,8 +69,8 @@ def _round_features(df, digits=ROUND_Z):
 
 @query("rfm_scaled", covers="G1",
        sql=S.with_(S.RFM_SCALED,
-                   f"SELECT tenant_id, buyer_id, round(recency, {ROUND_Z}) AS recency, "
-                   f"round(frequency, {ROUND_Z}) AS frequency, round(monetary, {ROUND_Z}) AS monetary "
+                   f"SELECT tenant_id, buyer_id, {S.rnd('recency', ROUND_Z)} AS recency, "
+                   f"{S.rnd('frequency', ROUND_Z)} AS frequency, {S.rnd('monetary', ROUND_Z)} AS monetary "
                    "FROM rfm_z"))
 def rfm_scaled(spark, sf_dir):
     return _round_features(common.rfm_scaled(spark, sf_dir))
@@ -78,9 +78,9 @@ def rfm_scaled(spark, sf_dir):
 
 @query("rfm_weighted", covers="G2",
        sql=S.with_(S.RFM_SCALED,
-                   f"SELECT tenant_id, buyer_id, round(recency * {WEIGHTS['recency']}, {ROUND_Z}) AS recency, "
-                   f"round(frequency * {WEIGHTS['frequency']}, {ROUND_Z}) AS frequency, "
-                   f"round(monetary * {WEIGHTS['monetary']}, {ROUND_Z}) AS monetary FROM rfm_z"))
+                   "SELECT tenant_id, buyer_id, "
+                   + ", ".join(f"{S.rnd(f'{c} * {w}', ROUND_Z)} AS {c}" for c, w in WEIGHTS.items())
+                   + " FROM rfm_z"))
 def rfm_weighted(spark, sf_dir):
     return _round_features(common.rfm_scaled(spark, sf_dir, WEIGHTS))
 
@@ -96,7 +96,7 @@ def _corr_sql() -> str:
             cells.append(
                 f"SELECT tenant_id, '{a}' AS feature_a, '{b}' AS feature_b, "
                 f"CASE WHEN s_{a} * s_{b} = 0 OR s_{a} IS NULL OR s_{b} IS NULL THEN 0.0 "
-                f"ELSE round(c_{a}_{b} / (s_{a} * s_{b}), 3) END AS r FROM corr_stats")
+                f"ELSE {S.rnd(f'c_{a}_{b} / (s_{a} * s_{b})', 3)} END AS r FROM corr_stats")
     return S.with_(S.RFM_RECENCY + f",\ncorr_stats AS (SELECT tenant_id, {stats} FROM rfm_r GROUP BY tenant_id)",
                    "\nUNION ALL\n".join(cells))
 

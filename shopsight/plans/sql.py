@@ -136,5 +136,11 @@ rfm_z AS (
   FROM rfm_r r JOIN rfm_stats s ON r.tenant_id = s.tenant_id)"""
 
 
+def rnd(expr: str, digits: int) -> str:
+    """Half-up rounding of a DOUBLE at its shortest decimal text (Spark's ``round``),
+    instead of DuckDB's multiply-then-round."""
+    return (f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,18)), {digits}) AS DOUBLE)")
+
+
 def with_(ctes: str, body: str) -> str:
     return "WITH " + ctes.strip() + "\n" + body
