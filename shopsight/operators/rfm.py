@@ -141,13 +141,35 @@ def assign_clusters(df: DataFrame, centroids, cols: Sequence[str] = FEATURES,
 
 # --- D7: cluster summary -------------------------------------------------------------------
 
+def exact_mean_sum(col: str, scale: int = 4) -> Column:
+    """Aggregate: the column summed exactly in units of 10^-scale (DECIMAL(38,0)).
+
+    Money and counts have at most ``scale`` decimals, so each double is first
+    returned to its exact decimal value; the sum then has no rounding error.
+    """
+    return F.sum(F.round(F.col(col).cast("double") * 10 ** scale).cast("decimal(38,0)"))
+
+
+def exact_mean_round(total: str, count: str, digits: int = 2, scale: int = 4) -> Column:
+    """Half-up rounding of total / count / 10^scale to ``digits`` with integral division
+    (no floating point, so ties such as x.185 round the same everywhere)."""
+    q = (f"signum({total}) * ((abs({total}) * {2 * 10 ** digits} + {count} * {10 ** scale}) "
+         f"div ({count} * {2 * 10 ** scale}))")
+    return F.expr(q).cast("double") / 10 ** digits
+
+
 def cluster_summary(assigned: DataFrame, keys: Sequence[str] = ("tenant_id",),
                     cols: Sequence[str] = FEATURES, label: str = "cluster_id",
                     digits: int = 2) -> DataFrame:
-    """Mean of each feature (rounded) and member count per cluster."""
-    return assigned.groupBy(*keys, label).agg(
-        *[F.round(F.avg(F.col(c).cast("double")), digits).alias(c) for c in cols],
+    """Mean of each feature rounded half-up (exactly, see ``exact_mean_round``) and
+    member count per cluster."""
+    g = assigned.groupBy(*keys, label).agg(
+        *[exact_mean_sum(c).alias(f"__t_{c}") for c in cols],
         F.count(F.lit(1)).alias("customer_count"))
+    return g.select(*keys, label,
+                    *[exact_mean_round(f"__t_{c}", "customer_count", digits).alias(c)
+                      for c in cols],
+                    "customer_count")
 
 
 # --- G5: silhouette (squared Euclidean, linear) ------------------------------------------------

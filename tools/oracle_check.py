@@ -97,9 +97,10 @@ def main() -> int:
         if not exact:
             bad += 1
         print(f"{n:24s} {status:8s} spark_rows={len(srows)} duck_rows={len(drows)} {ts:.1f}s")
-        if status == "MISMATCH" and os.environ.get("SHOW"):
-            s1 = sorted(repr(tuple(_norm(x, True) for x in r)) for r in srows)
-            d1 = sorted(repr(tuple(_norm(x, True) for x in r)) for r in drows)
+        if status != "OK" and os.environ.get("SHOW"):
+            ap = status == "MISMATCH"
+            s1 = sorted(repr(tuple(_norm(x, ap) for x in r)) for r in srows)
+            d1 = sorted(repr(tuple(_norm(x, ap) for x in r)) for r in drows)
             only_s = sorted(set(s1) - set(d1))[:5]
             only_d = sorted(set(d1) - set(s1))[:5]
             print("   cols:", cols)
