@@ -34,6 +34,9 @@ def get_session(app: str = "shopsight", master: str | None = None,
         builder = builder.master(master)
     for k, v in DEFAULTS.items():
         builder = builder.config(k, v)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor
+        builder = builder.config("spark.driver.memory", "8g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
