@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from shopsight.functions.scalar import marker_timestamp, order_date_text, strip_ws
 from shopsight.schemas import MONEY
 
+CLEAN_COLUMNS = ("client_hash", "product_code", "quantity", "price", "order_date", "transaction_date")
+
 # Reject reasons, in the order the reference checks a record.
 REASONS = ("null_field", "bad_quantity", "bad_price", "null_date",
            "empty_client", "empty_sku", "price_not_positive", "quantity_not_positive")
@@ -75,7 +77,7 @@ def clean_feed(df: DataFrame, keep: Sequence[str] = ("tenant_id",), salt: str |
     """Valid records as (keep..., client_hash, product_code, quantity, price,
     order_date, transaction_date)."""
     c = classify_feed(df, **cols)
-    keep = [k for k in keep if k in df.columns]
+    keep = list(dict.fromkeys(k for k in keep if k in df.columns and k not in CLEAN_COLUMNS))
     return (c.filter(F.col("reject_reason").isNull())
              .select(*keep,
                      _sha(F.col("__client"), salt).alias("client_hash"),

@@ -91,14 +91,15 @@ def _items_out(df):
     return df.withColumn("price", F.col("price").cast("double"))
 
 
-@query("items_append", covers="C7",
-       sql=S.with_(_DIRTY_ITEMS, f"SELECT {_ITEM_COLS} FROM items"))
+ITEMS_SQL = S.with_(_DIRTY_ITEMS, f"SELECT {_ITEM_COLS} FROM items")
+
+
+@query("items_append", covers="C7", sql=ITEMS_SQL)
 def items_append(spark, sf_dir):
     return _items_out(loaded_star(spark, sf_dir).order_items)
 
 
-@query("items_replay", covers="L3",
-       sql=S.with_(_DIRTY_ITEMS, f"SELECT {_ITEM_COLS} FROM items"))
+@query("items_replay", covers="L3", sql=ITEMS_SQL)
 def items_replay(spark, sf_dir):
     # batch 1 is delivered twice; the second delivery replaces the first
     return _items_out(loaded_star(spark, sf_dir, batches=(0, 1, 1, 2)).order_items)

@@ -27,8 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean sales feed: one row per order line, tenant = customer nation."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return feed_from_lines(spark, sf_dir, table(spark, sf_dir, "lineitem"))
+
+
+def feed_from_lines(spark: SparkSession, sf_dir: str, lineitem: DataFrame) -> DataFrame:
+    """The feed for a set of order lines (a whole table or one streamed batch)."""
+    li = lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     pa = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
