@@ -34,17 +34,25 @@ def kpis(order_items: DataFrame, keys: Sequence[str] = ("tenant_id",)) -> DataFr
     return agg.withColumn("avg_revenue_per_customer", avg)
 
 
-def rfm_metrics(orders: DataFrame, order_items: DataFrame,
+def rfm_metrics(orders: DataFrame | None, order_items: DataFrame,
                 keys: Sequence[str] = ("tenant_id",)) -> DataFrame:
     """Last order date, number of orders and spend per (tenant, buyer).
 
-    Items are first summed per order (one partial-aggregated shuffle), so the join
-    with the order headers is order-to-order and the distinct count becomes a count.
+    Items are first summed per order (partial-aggregated), so the distinct count of
+    orders becomes a plain count.  The fact table carries the order date, so no
+    join with the headers is needed; ``orders`` is only used for item tables
+    without a date column.
     """
-    per_order = (order_items
+    if "transaction_date" in order_items.columns:
+        dated = (order_items
                  .groupBy(*keys, "customer_hash", "order_id")
-                 .agg(F.sum((F.col("quantity") * F.col("price")).cast(_SUM_TYPE)).alias("__amount")))
-    dated = per_order.join(orders.select("order_id", "transaction_date"), "order_id")
+                 .agg(F.sum((F.col("quantity") * F.col("price")).cast(_SUM_TYPE)).alias("__amount"),
+                      F.max("transaction_date").alias("transaction_date")))
+    else:
+        per_order = (order_items
+                     .groupBy(*keys, "customer_hash", "order_id")
+                     .agg(F.sum((F.col("quantity") * F.col("price")).cast(_SUM_TYPE)).alias("__amount")))
+        dated = per_order.join(orders.select("order_id", "transaction_date"), "order_id")
     return (dated.groupBy(*keys, F.col("customer_hash").alias("buyer_id"))
                  .agg(F.max("transaction_date").alias("last_order_date"),
                       F.count(F.lit(1)).alias("frequency"),

@@ -100,7 +100,8 @@ def upsert_products(current: DataFrame, batch: DataFrame, seq_cols: Sequence[str
 def batch_items(clean_with_ids: DataFrame, batch_id: int) -> DataFrame:
     return clean_with_ids.select(
         "order_id", "tenant_id", "product_code", "quantity", "price",
-        F.col("client_hash").alias("customer_hash"), F.lit(batch_id).cast("long").alias("batch_id"))
+        F.col("client_hash").alias("customer_hash"), "transaction_date",
+        F.lit(batch_id).cast("long").alias("batch_id"))
 
 
 def append_items(current: DataFrame | None, items: DataFrame, batch_id: int,

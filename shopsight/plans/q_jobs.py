@@ -33,7 +33,7 @@ def load_star(spark, sf_dir):
 
 @query("stream_ingest", covers="L1 A4", sql=S.with_(S.STAR_ITEMS, """SELECT order_id, tenant_id,
   product_code, quantity, CAST(price AS DOUBLE) AS price, client_hash AS customer_hash,
-  CAST(0 AS BIGINT) AS batch_id FROM items"""))
+  transaction_date, CAST(0 AS BIGINT) AS batch_id FROM items"""))
 def stream_ingest(spark, sf_dir):
     """Order lines streamed from the lineitem file, enriched per micro-batch, stored."""
     lines = td.table(spark, sf_dir, "lineitem")

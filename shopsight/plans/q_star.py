@@ -84,7 +84,7 @@ def orders_upsert(spark, sf_dir):
 
 
 _ITEM_COLS = ("order_id, tenant_id, product_code, quantity, CAST(price AS DOUBLE) AS price, "
-              "client_hash AS customer_hash, CAST(l_orderkey % 3 AS BIGINT) AS batch_id")
+              "client_hash AS customer_hash, transaction_date, CAST(l_orderkey % 3 AS BIGINT) AS batch_id")
 
 
 def _items_out(df):

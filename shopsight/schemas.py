@@ -45,6 +45,7 @@ ORDER_ITEMS = T.StructType([
     T.StructField("quantity", T.IntegerType()),
     T.StructField("price", MONEY),
     T.StructField("customer_hash", T.StringType()),
+    T.StructField("transaction_date", T.TimestampNTZType()),  # date key of the fact row
     T.StructField("batch_id", T.LongType()),
 ])
 

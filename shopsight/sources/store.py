@@ -73,7 +73,7 @@ class StarStore:
                            "o.order_number"))
         items = self._read(spark, "order_items").select(
             "order_id", "tenant_id", "product_code", "quantity", "price", "customer_hash",
-            F.col("batch_id").cast("long").alias("batch_id"))
+            "transaction_date", F.col("batch_id").cast("long").alias("batch_id"))
         m = self._read(spark, "markers").groupBy("tenant_id").agg(
             F.max("event_marker" if marker_mode == "event" else "ingest_marker").alias("__m"))
         if tenants is None:
