@@ -89,6 +89,10 @@ def frequent_itemsets(bk: DataFrame, min_support: float = 0.01,
     (floating point ``>=``).
     """
     keys = list(keys)
+    from shopsight.session import checkpoint_dir
+    checkpoint_dir(bk.sparkSession)
+    # baskets are read by the band count and by every FP-Growth pass: materialise once
+    bk = bk.checkpoint()
     counts = order_counts(bk, keys).withColumn("__kt", _key_text(keys))
     lower = F.greatest(F.lit(1), F.floor(F.col("n_orders") * F.lit(min_support)))
     counts = counts.withColumn("__band", F.floor(F.log2(lower)).cast("int"))
@@ -102,7 +106,7 @@ def frequent_itemsets(bk: DataFrame, min_support: float = 0.01,
         band, n = int(row["__band"]), int(row["n"])
         part = tagged.filter(F.col("__band") == band).select("items")
         fp = FPGrowth(itemsCol="items", minSupport=(2 ** band - 0.5) / n, minConfidence=1.0)
-        if num_partitions:
+        if num_partitions:   # default: one conditional-tree partition per input partition
             fp = fp.setNumPartitions(num_partitions)
         fi = fp.fit(part).freqItemsets
         found = fi if found is None else found.unionByName(fi)
@@ -112,9 +116,12 @@ def frequent_itemsets(bk: DataFrame, min_support: float = 0.01,
         F.col("freq"))
     j = parsed.join(counts.select(*keys, "__kt", "n_orders"), "__kt")
     j = j.withColumn("support", F.col("freq") / F.col("n_orders"))
+    # itemsets feed the rule step three times (size guard, splits, two support
+    # lookups): keep one materialised copy instead of re-running FP-Growth
     return (j.filter(F.col("support") >= F.lit(min_support))
              .select(*keys, "items", F.size("items").alias("n_items"), "freq", "support",
-                     "n_orders"))
+                     "n_orders")
+             .checkpoint())
 
 
 # --- G9 / E6: association rules ---------------------------------------------------------------

@@ -182,20 +182,20 @@ def segment_bubbles(segments: DataFrame, keys: Sequence[str] = ("tenant_id",)) -
 
 def save_report(reports: DataFrame, path: str) -> None:
     """Append reports, partitioned by tenant and type (partition pruning on read)."""
-    reports.write.mode("append").partitionBy("tenant_id", "report_type").parquet(path)
+    reports.hint("rebalance", "tenant_id").write.mode("append").partitionBy("tenant_id", "report_type").parquet(path)
 
 
 def compact_reports(spark, src: str, dst: str, keep: int = 3) -> DataFrame:
     """Retention as a rewrite: the kept reports go to a new folder (a path that is
     being read is never overwritten)."""
     kept = retain_latest(spark.read.parquet(src), keep)
-    kept.write.mode("overwrite").partitionBy("tenant_id", "report_type").parquet(dst)
+    kept.hint("rebalance", "tenant_id").write.mode("overwrite").partitionBy("tenant_id", "report_type").parquet(dst)
     return spark.read.parquet(dst)
 
 
 def export_assignments_csv(reports: DataFrame, assignments: DataFrame, out: str) -> None:
     """A10: ``id,cid`` CSV of the newest RFM report, one folder per tenant."""
-    (assignments_table(reports, assignments).select("tenant_id", "id", "cid")
+    (assignments_table(reports, assignments).select("tenant_id", "id", "cid").hint("rebalance", "tenant_id")
      .write.mode("overwrite").partitionBy("tenant_id").option("header", True).csv(out))
 
 
@@ -204,7 +204,7 @@ def export_report_json(reports: DataFrame, report_type: str, schema, out: str) -
     (detail tables are exported next to it with their own writers)."""
     r = latest_report(reports, report_type)
     (r.select("tenant_id", F.from_json("payload", schema).alias("p")).select("tenant_id", "p.*")
-      .write.mode("overwrite").partitionBy("tenant_id").json(out))
+      .hint("rebalance", "tenant_id").write.mode("overwrite").partitionBy("tenant_id").json(out))
 
 
 def rules_csv_rows(rules: DataFrame) -> DataFrame:
@@ -219,5 +219,5 @@ def rules_csv_rows(rules: DataFrame) -> DataFrame:
 
 def export_rules_csv(rules: DataFrame, out: str) -> None:
     """Rule CSV per tenant; item lists are always quoted (the BOM is not written)."""
-    (rules_csv_rows(rules).write.mode("overwrite").partitionBy("tenant_id")
+    (rules_csv_rows(rules).hint("rebalance", "tenant_id").write.mode("overwrite").partitionBy("tenant_id")
      .option("header", True).option("quoteAll", True).csv(out))

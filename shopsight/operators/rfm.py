@@ -261,7 +261,7 @@ def compare_models(base: DataFrame, weighted: DataFrame, keys: Sequence[str] = (
 
 def kmeans_fit(df: DataFrame, cols: Sequence[str] = FEATURES, k: int | Iterable[int] = 3,
                keys: Sequence[str] = ("tenant_id",), id_col: str = "buyer_id", seed: int = 42,
-               max_iter: int = 30, tol: float = 1e-6, n_init: int = 3,
+               max_iter: int = 30, tol: float = 1e-4, n_init: int = 3,
                order_by: str = "monetary") -> DataFrame:
     """Fit K-Means per key (and per k when ``k`` is a list).
 
@@ -325,10 +325,16 @@ def kmeans_fit(df: DataFrame, cols: Sequence[str] = FEATURES, k: int | Iterable[
 
 def kmeans_sweep(df: DataFrame, cols: Sequence[str] = FEATURES, ks: Iterable[int] = range(2, 10),
                  keys: Sequence[str] = ("tenant_id",), id_col: str = "buyer_id", seed: int = 42,
-                 n_init: int = 3, max_iter: int = 30) -> DataFrame:
-    """Silhouette and Davies-Bouldin per key for every k with k <= n - 1."""
+                 n_init: int = 3, max_iter: int = 30, centroids: DataFrame | None = None) -> DataFrame:
+    """Silhouette and Davies-Bouldin per key for every k with k <= n - 1.
+
+    ``centroids`` (from ``kmeans_fit`` with a list of k) skips the fit when the caller
+    also needs the models, so every k is fitted once.
+    """
     ks = sorted(set(ks))
-    cents = kmeans_fit(df, cols, ks, keys, id_col, seed, max_iter=max_iter, n_init=n_init)
+    cents = centroids if centroids is not None else \
+        kmeans_fit(df, cols, ks, keys, id_col, seed, max_iter=max_iter, n_init=n_init)
+    cents = cents.filter(F.col("k").isin(ks))
     d, kk = _keys(df, keys)
     if not keys:
         cents = cents.withColumn("__all", F.lit(0))

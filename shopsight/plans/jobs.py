@@ -57,8 +57,10 @@ def run_rfm(star: st.Star, reports: ReportStore | None = None, k: int = 3,
     feats = rfm.with_recency(metrics).checkpoint()          # reused by every fit below
     scaled = rfm.standardize(feats, keep_raw=True)
     weighted = rfm.weight(scaled, weights)
-    sweep = rfm.kmeans_sweep(weighted, ks=ks, seed=seed)
-    cents = rfm.kmeans_fit(weighted, k=k, seed=seed).drop("k")
+    ks = sorted(set(ks))
+    models = rfm.kmeans_fit(weighted, k=sorted(set(ks) | {k}), seed=seed).checkpoint()  # every k once
+    sweep = rfm.kmeans_sweep(weighted, ks=ks, centroids=models)
+    cents = models.filter(F.col("k") == k).drop("k")
     assigned = rfm.assign_clusters(weighted, cents)
     perf = rfm.silhouette(assigned).join(rfm.davies_bouldin(assigned), "tenant_id")
     raw = assigned.select("tenant_id", "buyer_id", "cluster_id",
