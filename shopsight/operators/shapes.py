@@ -19,8 +19,12 @@ K = "tenant_id"
 
 
 def _with_row_id(feed: DataFrame) -> DataFrame:
-    """One id per feed row; computed once, so headers and lines share it."""
-    return feed.withColumn("row_id", F.monotonically_increasing_id())
+    """One id per feed row, materialised once (reliable checkpoint in the shared
+    checkpoint folder): ``monotonically_increasing_id`` depends on row order, so
+    headers and lines must read the same written ids, also after a task retry."""
+    from shopsight.session import checkpoint_dir
+    checkpoint_dir(feed.sparkSession)
+    return feed.withColumn("row_id", F.monotonically_increasing_id()).checkpoint()
 
 
 def _first_price(feed: DataFrame, seq: Sequence[str]) -> DataFrame:
