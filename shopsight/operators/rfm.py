@@ -262,13 +262,14 @@ def compare_models(base: DataFrame, weighted: DataFrame, keys: Sequence[str] = (
 def kmeans_fit(df: DataFrame, cols: Sequence[str] = FEATURES, k: int | Iterable[int] = 3,
                keys: Sequence[str] = ("tenant_id",), id_col: str = "buyer_id", seed: int = 42,
                max_iter: int = 30, tol: float = 1e-4, n_init: int = 3,
-               order_by: str = "monetary") -> DataFrame:
+               order_by: str = "monetary", check_every: int = 2) -> DataFrame:
     """Fit K-Means per key (and per k when ``k`` is a list).
 
     Initial centroids: for each restart, the k rows with the smallest seeded hash of
     the id (a map-side top-k per key).  Each iteration assigns rows to the nearest
     centroid and averages per (key, k, restart, cluster); an empty cluster keeps its
-    centroid.  The restart with the lowest inertia wins; clusters are relabelled
+    centroid.  Centroids are checkpointed every iteration; every ``check_every``
+    iterations the largest centroid move is compared with ``tol``.  The restart with the lowest inertia wins; clusters are relabelled
     0..k-1 by centroid ``order_by`` descending.
 
     Returns (keys..., k, cluster_id, cols..., size, inertia).
@@ -290,7 +291,7 @@ def kmeans_fit(df: DataFrame, cols: Sequence[str] = FEATURES, k: int | Iterable[
                 .filter(F.col("__rn") <= max(ks)).filter(F.col("__rn") <= F.col("k"))
                 .select(*g, (F.col("__rn") - 1).alias("cluster_id"), *cols)
                 .checkpoint())
-    for _ in range(max_iter):
+    for it in range(1, max_iter + 1):
         packed = pack_centroids(cents, cols, g)
         assigned = pts.join(packed, g).withColumn(
             "cluster_id", _nearest(F.col("__cents"), cols)["cluster_id"])
@@ -301,7 +302,13 @@ def kmeans_fit(df: DataFrame, cols: Sequence[str] = FEATURES, k: int | Iterable[
         moved = moved.withColumn("__shift", shift)
         nxt = moved.select(*g, "cluster_id",
                            *[F.coalesce(F.col(f"__n_{c}"), F.col(c)).alias(c) for c in cols],
-                           "__shift").checkpoint()
+                           "__shift")
+        # the centroids feed two joins of the next step: checkpoint every step so the
+        # plan does not double per iteration; test convergence every check_every steps
+        nxt = nxt.checkpoint()
+        if it % check_every and it < max_iter:
+            cents = nxt.drop("__shift")
+            continue
         max_shift = nxt.agg(F.max("__shift")).first()[0]
         cents = nxt.drop("__shift")
         if max_shift is None or max_shift <= tol:
