@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shopsight.operators import cleaning, kpi, rfm, star
+from shopsight.session import checkpoint_dir
 from shopsight.sources import testdata as td
 
 SEQ = td.feed_sequence()
@@ -30,8 +31,14 @@ def rfm_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rfm_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tenant_id, buyer_id, last_order_date, recency, frequency, monetary), raw values."""
-    return rfm.with_recency(rfm_metrics(spark, sf_dir))
+    """(tenant_id, buyer_id, last_order_date, recency, frequency, monetary), raw values.
+
+    One row per customer, read by every scaling / clustering / scoring branch:
+    materialised once (reliable checkpoint in the shared checkpoint folder) instead
+    of re-deriving it from the fact table in each branch.
+    """
+    checkpoint_dir(spark)
+    return rfm.with_recency(rfm_metrics(spark, sf_dir)).checkpoint()
 
 
 def rfm_scaled(spark: SparkSession, sf_dir: str, weights: dict | None = None) -> DataFrame:

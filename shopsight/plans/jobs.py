@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from shopsight.operators import basket as bk
 from shopsight.operators import cleaning, kpi, reports as rp, rfm, star as st
+from shopsight.session import checkpoint_dir
 from shopsight.sources.store import ReportStore, StarStore
 
 MIN_CUSTOMERS = 10
@@ -51,6 +52,7 @@ def run_rfm(star: st.Star, reports: ReportStore | None = None, k: int = 3,
             created_at: str | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """RFM report per tenant: (headers, assignment rows); appended to ``reports`` if given."""
     weights = weights or DEFAULT_WEIGHTS
+    checkpoint_dir(star.orders.sparkSession)
     metrics = kpi.rfm_metrics(cleaning.for_tenant(star.orders, tenant_id),
                               cleaning.for_tenant(star.order_items, tenant_id))
     metrics = cleaning.tenants_with_min(metrics, ["tenant_id"], MIN_CUSTOMERS)
@@ -83,6 +85,7 @@ def run_basket(tx: DataFrame, reports: ReportStore | None = None, min_support: f
                ) -> tuple[DataFrame, DataFrame]:
     """Basket report per tenant: (headers, rule rows); tenants with fewer than 10
     orders, no frequent itemset or no rule get no report."""
+    checkpoint_dir(tx.sparkSession)
     b = bk.baskets(bk.keep_top_items(tx, top_n))
     b = cleaning.tenants_with_min(b, ["tenant_id"], MIN_ORDERS).checkpoint()
     sets = bk.frequent_itemsets(b, min_support)

@@ -74,3 +74,9 @@ def test_workbook_coercion(spark):
 def test_min_group_guard(spark):
     df = spark.createDataFrame([(1, i) for i in range(10)] + [(2, 1)], "tenant_id int, x int")
     assert {r.tenant_id for r in C.tenants_with_min(df, ["tenant_id"], 10).collect()} == {1}
+
+
+def test_tenant_scope(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (1, "c")], "tenant_id int, x string")
+    assert sorted(r.x for r in C.for_tenant(df, 1).collect()) == ["a", "c"]
+    assert C.for_tenant(df, None).count() == 3
