@@ -34,8 +34,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Rebalance a scan that yields fewer splits than the cluster has cores (a small
     file with one row group).  Large inputs already have many splits and are left
     alone, so this never adds a shuffle at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()          # planning only, no job
+    except Exception:                               # e.g. Spark Connect: no RDD view
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:

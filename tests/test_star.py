@@ -71,3 +71,16 @@ def test_store_snapshot_matches_memory(spark, tmp_dir):
                        ("order_items", ["order_id", "product_code", "quantity", "price", "batch_id"])]:
         assert _rows(getattr(snap, name), cols) == _rows(getattr(mem, name), cols), name
     assert cleaning.source_count(snap.order_items).first().rows == mem.order_items.count()
+
+
+def test_marker_modes(spark):
+    import datetime as dt
+    tenants = spark.createDataFrame([(1, "A", "key_1", None), (2, "B", "key_2", dt.datetime(2020, 1, 1))],
+                                    td.tenants(spark, SF).schema)
+    batch = spark.createDataFrame([(1, dt.datetime(2021, 5, 1)), (1, dt.datetime(2021, 6, 1))],
+                                  "tenant_id int, transaction_date timestamp_ntz")
+    ev = {r.tenant_id: r.last_sync_date for r in st.update_marker(tenants, batch, "event").collect()}
+    assert ev == {1: dt.datetime(2021, 6, 1), 2: dt.datetime(2020, 1, 1)}   # untouched tenant keeps its marker
+    ing = {r.tenant_id: r.last_sync_date for r in
+           st.update_marker(tenants, batch, "ingest", now="2024-01-01 00:00:00").collect()}
+    assert ing == {1: dt.datetime(2024, 1, 1), 2: dt.datetime(2020, 1, 1)}
