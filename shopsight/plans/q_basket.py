@@ -55,7 +55,7 @@ tx AS (
   JOIN customer c ON o.o_custkey = c.c_custkey JOIN part p ON l.l_partkey = p.p_partkey),
 cnt AS (SELECT tenant_id, product_code, count(*) AS n FROM tx GROUP BY tenant_id, product_code),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY n DESC, product_code) AS rank
+  SELECT *, CAST(row_number() OVER (PARTITION BY tenant_id ORDER BY n DESC, product_code) AS INTEGER) AS rank
   FROM cnt)"""
 
 
@@ -73,7 +73,7 @@ sub(tenant_id, order_id, items, last) AS (
   FROM sub s JOIN bi b ON s.tenant_id = b.tenant_id AND s.order_id = b.order_id AND b.item > s.last),
 fi AS (SELECT tenant_id, items, count(*) AS freq FROM sub GROUP BY tenant_id, items),
 fis AS (
-  SELECT f.tenant_id, f.items, len(f.items) AS n_items, f.freq,
+  SELECT f.tenant_id, f.items, CAST(len(f.items) AS INTEGER) AS n_items, f.freq,
          CAST(f.freq AS DOUBLE) / n.n_orders AS support, n.n_orders
   FROM fi f JOIN nord n ON f.tenant_id = n.tenant_id
   WHERE CAST(f.freq AS DOUBLE) / n.n_orders >= {MIN_SUPPORT}),
@@ -137,7 +137,7 @@ def top_item_rows(spark, sf_dir):
        sql=S.with_(TX_SQL + f""",
 top AS (SELECT tenant_id, product_code FROM ranked WHERE rank <= {TOP_N})""", """
 SELECT tx.tenant_id, tx.order_id, array_to_string(list_sort(list_distinct(list(tx.product_code))), ', ')
-       AS items, len(list_distinct(list(tx.product_code))) AS n_items
+       AS items, CAST(len(list_distinct(list(tx.product_code))) AS INTEGER) AS n_items
 FROM tx JOIN top ON tx.tenant_id = top.tenant_id AND tx.product_code = top.product_code
 GROUP BY tx.tenant_id, tx.order_id"""))
 def baskets(spark, sf_dir):
@@ -163,8 +163,8 @@ def rules(spark, sf_dir):
 @query("rules_top_lift", covers="E7 B14",
        sql=with_rec(_mining_sql(), f"""SELECT tenant_id, label, support, confidence, lift, rank, lift_class
 FROM (SELECT *, array_to_string(antecedent, ', ') || ' -> ' || array_to_string(consequent, ', ') AS label,
-             row_number() OVER (PARTITION BY tenant_id ORDER BY lift DESC, confidence DESC,
-               array_to_string(antecedent, ', '), array_to_string(consequent, ', ')) AS rank,
+             CAST(row_number() OVER (PARTITION BY tenant_id ORDER BY lift DESC, confidence DESC,
+               array_to_string(antecedent, ', '), array_to_string(consequent, ', ')) AS INTEGER) AS rank,
              CASE WHEN lift > 2 THEN 'target' ELSE 'background' END AS lift_class
       FROM rules) WHERE rank <= {CHART_N}"""))
 def rules_top_lift(spark, sf_dir):
