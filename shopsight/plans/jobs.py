@@ -102,11 +102,11 @@ def run_basket(tx: DataFrame, reports: ReportStore | None = None, min_support: f
 
 # --- J3: nightly run -------------------------------------------------------------------
 
-def run_all_tenants(star: st.Star, reports: ReportStore, keep: int = 3,
+def run_all_tenants(star: st.Star, reports: ReportStore, retained_base: str, keep: int = 3,
                     min_support: float = 0.01, min_confidence: float = 0.5,
-                    created_at: str | None = None) -> DataFrame:
-    """Both jobs for every tenant, then retention; returns the kept report headers."""
+                    created_at: str | None = None) -> ReportStore:
+    """Both jobs for every tenant, then retention written to ``retained_base``;
+    returns the retained report store."""
     run_rfm(star, reports, created_at=created_at)
     run_basket(bk.transactions(star), reports, min_support, min_confidence, created_at=created_at)
-    spark = star.orders.sparkSession
-    return rp.retain_latest(reports.headers(spark), keep)
+    return reports.retain(star.orders.sparkSession, retained_base, keep)

@@ -65,5 +65,5 @@ def run_basket(spark, sf_dir):
 def run_all_tenants(spark, sf_dir):
     reports = ReportStore(scratch_path(spark, "reports"))
     star = common.full_star(spark, sf_dir)
-    return jobs.run_all_tenants(star, reports, created_at=REPORT_TS).select(
-        "tenant_id", "report_type", "created_at")
+    kept = jobs.run_all_tenants(star, reports, scratch_path(spark, "reports_kept"), created_at=REPORT_TS)
+    return kept.headers(spark).select("tenant_id", "report_type", "created_at")

@@ -134,5 +134,24 @@ class ReportStore:
     def headers(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.base}/headers")
 
+    def retain(self, spark: SparkSession, new_base: str, keep: int = 3,
+               details: tuple = ("rules", "assignments")) -> "ReportStore":
+        """E1 as a rewrite: the ``keep`` newest reports per (tenant, type) and only
+        their detail rows go to ``new_base`` (the store being read is not overwritten)."""
+        from shopsight.operators.reports import retain_latest
+        kept = retain_latest(self.headers(spark), keep)
+        new = ReportStore(new_base)
+        by_tenant(kept).write.mode("overwrite").partitionBy("tenant_id", "report_type").parquet(
+            f"{new.base}/headers")
+        ids = spark.read.parquet(f"{new.base}/headers").select("report_id")
+        for name in details:
+            try:
+                d = self.details(spark, name)
+            except Exception:          # this store has no such detail table yet
+                continue
+            (by_tenant(d.join(ids, "report_id", "left_semi")).write.mode("overwrite")
+             .partitionBy("tenant_id").parquet(f"{new.base}/{name}"))
+        return new
+
     def details(self, spark: SparkSession, name: str) -> DataFrame:
         return spark.read.parquet(f"{self.base}/{name}")

@@ -59,3 +59,16 @@ def test_prompt_numbers_like_python(spark):
     p = ad.segment_prompt(df, "shop").first().prompt
     assert "Давність покупки: 12.0 днів" in p and "Частота замовлень: 2.5" in p
     assert "Середній чек: 49804976.19 грн." in p
+
+
+def test_report_store_retention(spark, tmp_dir):
+    import os
+    from shopsight.sources.store import ReportStore
+    store = ReportStore(os.path.join(tmp_dir, "r"))
+    heads = _reports(spark)
+    rules = spark.createDataFrame([(r.report_id, r.tenant_id, i) for i, r in enumerate(heads.collect())],
+                                  "report_id string, tenant_id int, x int")
+    store.append(heads, {"rules": rules})
+    kept = store.retain(spark, os.path.join(tmp_dir, "kept"), keep=3)
+    assert sorted(r.report_id for r in kept.headers(spark).collect()) == ["q0", "r1", "r2", "r3"]
+    assert sorted(r.report_id for r in kept.details(spark, "rules").collect()) == ["q0", "r1", "r2", "r3"]
