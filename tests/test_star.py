@@ -84,3 +84,18 @@ def test_marker_modes(spark):
     ing = {r.tenant_id: r.last_sync_date for r in
            st.update_marker(tenants, batch, "ingest", now="2024-01-01 00:00:00").collect()}
     assert ing == {1: dt.datetime(2024, 1, 1), 2: dt.datetime(2020, 1, 1)}
+
+
+def test_store_compact_keeps_snapshot(spark, tmp_dir):
+    import os
+    clean = common.clean_dirty_feed(spark, SF)
+    store = StarStore(os.path.join(tmp_dir, "a"))
+    for b in (0, 1, 2):
+        store.write_batch(td.batch_of(clean, b), b, common.SEQ, load_time="2024-01-01 00:00:00")
+    before = store.snapshot(spark)
+    after = store.compact(spark, os.path.join(tmp_dir, "b")).snapshot(spark)
+    for name, cols in [("customers", ["tenant_id", "customer_hash"]),
+                       ("products", ["tenant_id", "product_code", "price"]),
+                       ("orders", ["order_id", "tenant_id", "transaction_date"]),
+                       ("order_items", ["order_id", "product_code", "quantity", "price", "batch_id"])]:
+        assert _rows(getattr(before, name), cols) == _rows(getattr(after, name), cols), name
