@@ -7,8 +7,8 @@
   rows still moves at most n rows per map task.
 * Frequent itemsets come from MLlib's parallel FP-Growth.  Tenants are mined
   together: items carry a tenant prefix, and tenants whose minimum counts fall
-  in the same power-of-two band share one fit whose threshold is the band's
-  lower bound; each tenant's own threshold is applied afterwards, so results
+  in the same power-of-two band share one fit whose threshold is the smallest
+  count a tenant of the band needs; each tenant's own threshold is applied afterwards, so results
   are exact and the number of fits grows with log(max/min tenant size), not with
   the number of tenants.
 * Rules enumerate every non-empty antecedent / consequent split of an itemset
@@ -95,17 +95,19 @@ def frequent_itemsets(bk: DataFrame, min_support: float = 0.01,
     bk = bk.checkpoint()
     counts = order_counts(bk, keys).withColumn("__kt", _key_text(keys))
     lower = F.greatest(F.lit(1), F.floor(F.col("n_orders") * F.lit(min_support)))
-    counts = counts.withColumn("__band", F.floor(F.log2(lower)).cast("int"))
-    bands = counts.groupBy("__band").agg(F.sum("n_orders").alias("n")).collect()  # few rows
+    counts = counts.withColumn("__lower", lower).withColumn("__band", F.floor(F.log2(lower)).cast("int"))
+    bands = counts.groupBy("__band").agg(F.sum("n_orders").alias("n"),
+                                         F.min("__lower").alias("min_count")).collect()  # few rows
     tagged = bk.join(counts.select(*keys, "__kt", "__band"), keys) if keys else \
         bk.withColumn("__kt", F.lit("")).withColumn("__band", F.lit(bands[0]["__band"]))
     tagged = tagged.withColumn(
         "items", F.transform("items", lambda x: F.concat(F.col("__kt"), F.lit(KEY_SEP), x)))
     found = None
     for row in bands:
-        band, n = int(row["__band"]), int(row["n"])
+        band, n, min_count = int(row["__band"]), int(row["n"]), int(row["min_count"])
         part = tagged.filter(F.col("__band") == band).select("items")
-        fp = FPGrowth(itemsCol="items", minSupport=(2 ** band - 0.5) / n, minConfidence=1.0)
+        # the smallest count any tenant of the band needs (>= 2^band): exact for all of them
+        fp = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / n, minConfidence=1.0)
         if num_partitions:   # default: one conditional-tree partition per input partition
             fp = fp.setNumPartitions(num_partitions)
         fi = fp.fit(part).freqItemsets
