@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shopsight.functions.scalar import compact_currency
-from shopsight.operators import kpi, rfm
+from shopsight.operators import cleaning, kpi, rfm
 from shopsight.plans import common
 from shopsight.plans import sql as S
 from shopsight.plans.catalog import query
@@ -104,3 +104,15 @@ def _corr_sql() -> str:
 @query("rfm_correlation", covers="D8", sql=_corr_sql())
 def rfm_correlation(spark, sf_dir):
     return rfm.correlation_matrix(common.rfm_features(spark, sf_dir))
+
+
+MIN_CUSTOMERS = 10
+
+
+@query("tenant_guard", covers="B16",
+       sql=S.with_(S.RFM_METRICS, f"""SELECT tenant_id, count(*) AS n_customers FROM rfm
+GROUP BY tenant_id HAVING count(*) >= {MIN_CUSTOMERS}"""))
+def tenant_guard(spark, sf_dir):
+    """Tenants with enough customers to be segmented, and their customer counts."""
+    kept = cleaning.tenants_with_min(common.rfm_metrics(spark, sf_dir), ["tenant_id"], MIN_CUSTOMERS)
+    return kept.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_customers"))
