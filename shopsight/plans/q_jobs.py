@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shopsight.operators import basket as bk
 from shopsight.plans import common, jobs, q_star
 from shopsight.plans import sql as S
 from shopsight.plans.catalog import query
