@@ -281,10 +281,11 @@ def kmeans_fit(df: DataFrame, cols: Sequence[str] = FEATURES, k: int | Iterable[
     spark = d.sparkSession
     checkpoint_dir(spark)
     g = kk + ["k", "__run"]
-    pts = (d.select(*kk, id_col, *[F.col(c).cast("double").alias(c) for c in cols])
-             .withColumn("k", F.explode(F.array(*[F.lit(x) for x in ks])))
-             .withColumn("__run", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))))
-             .checkpoint())
+    # materialise the points once; the (k, restart) copies are made on the fly in
+    # each pass (cheap CPU) instead of writing len(ks) * n_init copies to storage
+    base = d.select(*kk, id_col, *[F.col(c).cast("double").alias(c) for c in cols]).checkpoint()
+    pts = (base.withColumn("k", F.explode(F.array(*[F.lit(x) for x in ks])))
+               .withColumn("__run", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1)))))
     w = Window.partitionBy(*g).orderBy(F.xxhash64(F.col(id_col), F.lit(seed), F.col("__run")),
                                        F.col(id_col))
     cents = (pts.withColumn("__rn", F.row_number().over(w))
