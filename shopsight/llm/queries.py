@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopsight.llm import exact_dedup, mixing, near_dedup, piece_codec, quality_pu
+from shopsight.llm import (
+    chat_format,
+    exact_dedup,
+    line_quality,
+    mixing,
+    near_dedup,
+    piece_codec,
+    quality_pu,
+    secret_scan,
+    substring_dedup,
+    token_store,
+)
 from shopsight.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,12 +97,50 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op3_secret_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op4_line_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_quality.judge(docs, line_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op5_quality_classifier")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_pu.score(docs, quality_pu.fit(docs, table(spark, sf_dir, "labels")))
 
 
+# Windows of 35 words as joined text, judged on the input; kept words in order.
+SQL_SUBSTRING = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, i, array_to_string(ws[i:i+34], ' ') AS win
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)),
+r AS (SELECT win FROM p GROUP BY win HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, i + o AS j FROM (SELECT doc_id, i FROM p JOIN r USING (win)), range(0, 35) t(o)),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM d),
+k AS (SELECT w.doc_id, count(g.j) AS n_removed, string_agg(w.word, ' ' ORDER BY w.j) FILTER (g.j IS NULL) AS kept
+      FROM w LEFT JOIN g ON g.doc_id = w.doc_id AND g.j = w.j GROUP BY w.doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op6_substring_dedup", SQL_SUBSTRING)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op7_chat_format")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return chat_format.format_turns(rows, chat_format.fit(rows))
+
+
 SQL_EXACT = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -108,3 +157,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_sentencepiece_codec")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op10_token_store")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
