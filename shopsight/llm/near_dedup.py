@@ -86,7 +86,7 @@ def signatures(values: np.ndarray, starts: np.ndarray, count: int = BANDS * ROWS
 
 
 def _bits(flags: np.ndarray) -> np.ndarray:
-    return np.packbits(flags, axis=1).view("<u8").reshape(len(flags), -1)
+    return np.packbits(flags, axis=1).view("<u8").reshape(len(flags), flags.shape[1] // 64)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
