@@ -45,6 +45,7 @@ OPENING = rf"(?i)^[ \t]*(?:<\|?(?:{_ANY})\|?>|\[(?:{_ANY})\][ \t]*:?|#{{1,4}}[ \
 BOUNDARY = rf"(?i)\n(?=[ \t]*(?:<\|?(?:{_ANY})\|?>|\[(?:{_ANY})\]|#{{1,4}}[ \t]*(?:{_ANY})[ \t]*:?[ \t]*\n|\**(?:{_ANY})\**[ \t]*:))"
 LENGTHS, LINES = 16, 8
 SMOOTH = 0.5
+MARKED = 0.1              # prior share of segments that open with their own role's marker
 
 
 def segments(rows: DataFrame) -> DataFrame:
@@ -99,6 +100,9 @@ def fit(conversations: DataFrame) -> Hmm:
         table = np.zeros((len(ROLES), n))
         for r in seen.groupBy("state", c).count().collect():          # 3 x n rows
             table[r["state"], r[c]] = r["count"]
+        if c == "marker":                     # a marker names its role, also where training text has none
+            table[range(len(ROLES)), range(1, len(ROLES) + 1)] += MARKED * (1 + table.sum(1))
+            table += MARKED / 50 * (1 + table.sum(1, keepdims=True))
         emit[c] = _log(table)
     before = roles.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("state").alias("last"))
     steps = roles.join(before, ["conv_id", "turn"], "left").groupBy("last", "state").count().collect()

@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, n_positive: int = N_POSITIVE,
     picked = pos.withColumn("good", F.lit(1)).unionByName(unl.withColumn("good", F.lit(0)))   # bounded: broadcast
     rows = (open_docs.join(F.broadcast(picked), "doc_id").select("good", "text")
             .mapInArrow(_extract, "good int, x array<double>").collect())
-    x, y = np.array([r.x for r in rows], float).reshape(len(rows), -1), np.array([r.good for r in rows])
+    x, y = np.array([r.x for r in rows], float).reshape(len(rows), N_FEATURES), np.array([r.good for r in rows])
     if not (y == 1).any() or not (y == 0).any():
         return None
     order = np.lexsort(np.c_[x, y].T)                        # the sample in one order, however it arrived

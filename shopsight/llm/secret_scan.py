@@ -136,8 +136,8 @@ def literal_spans(text: str) -> list[tuple[int, int, str]]:
                 found.append(o)
             elif o[1] in given and depth < DEPTH:
                 todo += [(x, depth + 1) for x in given[o[1]]]
-            elif o[1] not in given:
-                found.append(("lit", o[2], o[3]))            # a bare word that names nothing is a value
+            elif o[1] not in given and any(c.isdigit() for c in o[1]):
+                found.append(("lit", o[2], o[3]))            # a bare word with digits that names nothing is a value
         found = sorted(set(found))[:64]                        # an expression has at most 64 literals
         given[key] = found
         weight = sensitivity(name)
