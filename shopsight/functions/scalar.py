@@ -49,8 +49,12 @@ def order_date_text(ts) -> Column:
 
 
 def normalize_marker(col) -> Column:
-    """ISO marker text -> ``yyyy-MM-dd HH:mm:ss``: 'T' becomes a space, cut to seconds."""
-    return F.substring(F.regexp_replace(_c(col).cast("string"), "T", " "), 1, 19)
+    """ISO marker text -> ``yyyy-MM-dd HH:mm:ss``: an offset is applied (UTC), then the
+    fraction is cut off."""
+    text = strip_ws(col)
+    plain = F.substring(F.regexp_replace(text, "T", " "), 1, 19)
+    moved = F.date_format(F.to_utc_timestamp(F.try_to_timestamp(text), F.current_timezone()), ORDER_DATE_FORMAT)
+    return F.when(text.rlike(r"\d(?:Z|[+-]\d{2}(?::?\d{2})?)$") & F.contains(text, F.lit(":")), moved).otherwise(plain)
 
 
 def marker_timestamp(col) -> Column:

@@ -39,7 +39,7 @@ SEGMENT_PROMPT = """
     Напиши маркетингові поради для цього сегмента.
 
     Суворі правила оформлення відповіді (порушення критичне):
-    1. Текст має складатися рівно з двох речень. Одне речення описує одну пораду.
+    1. Текст має складатися рівно з двох речень. Одне речення описує одну пораду. 
     2. Не використовуй жодних списків, маркерів, цифр чи абзаців. Текст повинен йти суцільним рядком із двох речень.
     3. Повністю заборонено використовувати будь-які англійські слова чи абревіатури.
     4. Категорично заборонено використовувати жирний шрифт або символи зірочок. Текст має бути звичайним.
@@ -49,7 +49,7 @@ BUNDLE_PROMPT = """
     Ти — провідний експерт із мерчандайзингу. Ніша бізнесу: "%s".
     Ти аналізуєш асоціативні правила.
 
-    Дані аналізу:
+    Дані аналізу: 
     Користувачі, які купують товар "%s", також купують товар "%s" із впевненістю %s%%.
 
     Завдання:

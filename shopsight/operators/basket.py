@@ -2,18 +2,19 @@
 
 * Baskets are ``collect_set`` arrays per order (bounded by the order size), not
   a dense order x product matrix.
-* Top-N items per tenant use ``row_number() <= n``; Spark plans a partial
-  window-group limit before the shuffle, so a tenant holding a third of the
-  rows still moves at most n rows per map task.
+* Top-N items per tenant are taken in two steps: the n best of each (tenant, salt)
+  share of the products, then the n best of those, so one tenant's products are
+  never sorted in one task.  No product is cut unless the caller asks for it.
 * Frequent itemsets come from MLlib's parallel FP-Growth.  Tenants are mined
   together: items carry a tenant prefix, and tenants whose minimum counts fall
   in the same power-of-two band share one fit whose threshold is the smallest
   count a tenant of the band needs; each tenant's own threshold is applied afterwards, so results
   are exact and the number of fits grows with log(max/min tenant size), not with
   the number of tenants.
-* Rules enumerate every non-empty antecedent / consequent split of an itemset
-  (``explode`` of a bit mask), then look up the supports of both sides with
-  equi-joins on the sorted item arrays.
+* Rules grow their consequents an item at a time: only splits that reach the
+  confidence are extended (a larger consequent never has a higher one), and the
+  supports of both sides are looked up with equi-joins on the sorted item arrays.
+  There is no limit on the size of an itemset.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from shopsight.functions.scalar import ITEM_SEP, rule_label
 from shopsight.operators.cleaning import for_tenant
 
 KEY_SEP = "\u0001"
-MAX_ITEMSET_SIZE = 20  # 2^20 splits per itemset is the hard ceiling of the rule step
+SALTS = 32
 
 
 # --- A6 / C9: transactions --------------------------------------------------------
@@ -49,14 +50,20 @@ def item_counts(tx: DataFrame, keys: Sequence[str] = ("tenant_id",)) -> DataFram
     return tx.groupBy(*keys, "product_code").agg(F.count(F.lit(1)).alias("n"))
 
 
-def top_items(tx: DataFrame, n: int = 2000, keys: Sequence[str] = ("tenant_id",)) -> DataFrame:
+def top_items(tx: DataFrame, n: int, keys: Sequence[str] = ("tenant_id",)) -> DataFrame:
     """The n most frequent products per key (ties: product code ascending)."""
-    w = Window.partitionBy(*keys).orderBy(F.col("n").desc(), F.col("product_code"))
-    return (item_counts(tx, keys).withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= n))
-
-
-def keep_top_items(tx: DataFrame, n: int = 2000, keys: Sequence[str] = ("tenant_id",)) -> DataFrame:
+    order = [F.col("n").desc(), F.col("product_code")]
+    share = Window.partitionBy(*keys, "__salt").orderBy(*order)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return (item_counts(tx, keys).withColumn("__salt", F.pmod(F.xxhash64("product_code"), F.lit(SALTS)))
+            .withColumn("rank", F.row_number().over(share)).filter(F.col("rank") <= n)
+            .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).drop("__salt"))
+
+
+def keep_top_items(tx: DataFrame, n: int | None, keys: Sequence[str] = ("tenant_id",)) -> DataFrame:
+    """Rows of the n most frequent products per key; all rows without ``n``."""
+    if n is None:
+        return tx
     top = top_items(tx, n, keys).select(*keys, "product_code")
     return tx.join(top, [*keys, "product_code"], "left_semi")
 
@@ -93,11 +100,15 @@ def frequent_itemsets(bk: DataFrame, min_support: float = 0.01,
     checkpoint_dir(bk.sparkSession)
     # baskets are read by the band count and by every FP-Growth pass: materialise once
     bk = bk.checkpoint()
-    counts = order_counts(bk, keys).withColumn("__kt", _key_text(keys))
+    counts = order_counts(bk, keys).filter("n_orders > 0").withColumn("__kt", _key_text(keys))
     lower = F.greatest(F.lit(1), F.floor(F.col("n_orders") * F.lit(min_support)))
     counts = counts.withColumn("__lower", lower).withColumn("__band", F.floor(F.log2(lower)).cast("int"))
     bands = counts.groupBy("__band").agg(F.sum("n_orders").alias("n"),
                                          F.min("__lower").alias("min_count")).collect()  # few rows
+    if not bands:
+        key_types = [f"{k} {bk.schema[k].dataType.simpleString()}" for k in keys]
+        return bk.sparkSession.createDataFrame([], ", ".join(
+            [*key_types, "items array<string>", "n_items int", "freq long", "support double", "n_orders long"]))
     tagged = bk.join(counts.select(*keys, "__kt", "__band"), keys) if keys else \
         bk.withColumn("__kt", F.lit("")).withColumn("__band", F.lit(bands[0]["__band"]))
     tagged = tagged.withColumn(
@@ -128,33 +139,49 @@ def frequent_itemsets(bk: DataFrame, min_support: float = 0.01,
 
 # --- G9 / E6: association rules ---------------------------------------------------------------
 
-def _split(items: str, mask: str, bit: int) -> Column:
-    """Items whose position bit in ``mask`` equals ``bit`` (order is kept, so sorted)."""
-    return F.expr(f"filter({items}, (x, i) -> (shiftright({mask}, i) & 1) = {bit})")
-
-
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.5,
                       keys: Sequence[str] = ("tenant_id",)) -> DataFrame:
     """Every rule A -> C with A, C non-empty, A + C a frequent itemset and
-    confidence >= min_confidence; support, confidence and lift as in mlxtend."""
+    confidence >= min_confidence; support, confidence and lift as in mlxtend.
+
+    Level m holds the rules whose consequent has m items; level m + 1 extends a
+    consequent by a later item of the same itemset.  A branch below the confidence
+    is not extended, so a large itemset costs as many rows as it has rules.
+    """
+    from shopsight.session import checkpoint_dir
+
     keys = list(keys)
+    checkpoint_dir(itemsets.sparkSession)
     biggest = itemsets.agg(F.max("n_items")).first()[0] or 0
-    if biggest > MAX_ITEMSET_SIZE:
-        raise ValueError(f"itemset of size {biggest} exceeds {MAX_ITEMSET_SIZE}; raise min_support")
-    multi = itemsets.filter(F.col("n_items") >= 2)
-    masks = multi.withColumn("__mask", F.explode(F.expr("sequence(1L, shiftleft(1L, n_items) - 2)")))
-    cand = masks.select(*keys, "support",
-                        _split("items", "__mask", 1).alias("antecedent"),
-                        _split("items", "__mask", 0).alias("consequent"))
     sup = itemsets.select(*keys, "items", "support")
-    a = sup.withColumnRenamed("items", "antecedent").withColumnRenamed("support", "antecedent_support")
-    c = sup.withColumnRenamed("items", "consequent").withColumnRenamed("support", "consequent_support")
-    r = cand.join(a, [*keys, "antecedent"]).join(c, [*keys, "consequent"])
-    r = r.withColumn("confidence", F.col("support") / F.col("antecedent_support"))
-    r = r.withColumn("lift", F.col("confidence") / F.col("consequent_support"))
-    return (r.filter(F.col("confidence") >= F.lit(min_confidence))
-             .select(*keys, "antecedent", "consequent", "antecedent_support", "consequent_support",
-                     "support", "confidence", "lift"))
+    left = sup.select(*keys, F.col("items").alias("antecedent"), F.col("support").alias("antecedent_support"))
+    right = sup.select(*keys, F.col("items").alias("consequent"), F.col("support").alias("consequent_support"))
+    level = itemsets.filter(F.col("n_items") >= 2).select(
+        *keys, "items", "support", F.array().cast("array<string>").alias("consequent"))
+    levels = []
+    for size in range(1, biggest):
+        last = F.try_element_at("consequent", F.lit(-1))
+        later = F.filter("items", lambda x: last.isNull() | (x > last))
+        grown = (level.filter(F.size("items") > size)
+                 .select(*keys, "items", "support", "consequent", F.explode(later).alias("__x"))
+                 .select(*keys, "items", "support", F.concat("consequent", F.array("__x")).alias("consequent"))
+                 .withColumn("antecedent", F.array_except("items", "consequent")))
+        level = (grown.join(left, [*keys, "antecedent"])
+                 .withColumn("confidence", F.col("support") / F.col("antecedent_support"))
+                 .filter(F.col("confidence") >= F.lit(min_confidence)).checkpoint())
+        levels.append(level)
+        if size + 1 < biggest and level.isEmpty():
+            break
+    if not levels:
+        levels = [level.withColumns({"antecedent": F.col("consequent"), "antecedent_support": F.col("support"),
+                                     "confidence": F.col("support")}).filter("false")]
+    rules = levels[0].select(*keys, "antecedent", "consequent", "antecedent_support", "support", "confidence")
+    for more in levels[1:]:
+        rules = rules.unionByName(more.select(*rules.columns))
+    return (rules.join(right, [*keys, "consequent"])
+            .withColumn("lift", F.col("confidence") / F.col("consequent_support"))
+            .select(*keys, "antecedent", "consequent", "antecedent_support", "consequent_support",
+                    "support", "confidence", "lift"))
 
 
 def rounded_rules(rules: DataFrame, digits: int = 4) -> DataFrame:
@@ -176,7 +203,7 @@ def classify_lift(rules: DataFrame, cut: float = 2.0) -> DataFrame:
     return rules.withColumn("lift_class", F.when(F.col("lift") > cut, "target").otherwise("background"))
 
 
-def rule_chart(rules: DataFrame, n: int = 300, keys: Sequence[str] = ("tenant_id",),
+def rule_chart(rules: DataFrame, n: int, keys: Sequence[str] = ("tenant_id",),
                cut: float = 2.0) -> DataFrame:
     """The n rules with the highest lift per key, split into target / background."""
     w = Window.partitionBy(*keys).orderBy(

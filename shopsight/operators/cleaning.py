@@ -76,9 +76,17 @@ def clean_feed(df: DataFrame, keep: Sequence[str] = ("tenant_id",), salt: str |
                **cols) -> DataFrame:
     """Valid records as (keep..., client_hash, product_code, quantity, price,
     order_date, transaction_date)."""
-    c = classify_feed(df, **cols)
-    keep = list(dict.fromkeys(k for k in keep if k in df.columns and k not in CLEAN_COLUMNS))
-    return (c.filter(F.col("reject_reason").isNull())
+    return clean_classified(classify_feed(df, **cols), keep, salt)
+
+
+def clean_classified(c: DataFrame, keep: Sequence[str] = ("tenant_id",), salt: str | None = None,
+                     all_rows: bool = False) -> DataFrame:
+    """The clean records of a feed that ``classify_feed`` has already read; with ``all_rows``
+    every record in clean form, with its reject reason."""
+    keep = list(dict.fromkeys(k for k in keep if k in c.columns and k not in CLEAN_COLUMNS))
+    if all_rows:
+        keep.append("reject_reason")
+    return ((c if all_rows else c.filter(F.col("reject_reason").isNull()))
              .select(*keep,
                      _sha(F.col("__client"), salt).alias("client_hash"),
                      F.col("__sku").alias("product_code"),
@@ -102,7 +110,10 @@ def rejected_feed(df: DataFrame, **cols) -> DataFrame:
 
 def ingest_stats(df: DataFrame, keys: Sequence[str] = ("tenant_id",), **cols) -> DataFrame:
     """Processed / sent / filtered counters in one aggregation."""
-    c = classify_feed(df, **cols)
+    return classified_stats(classify_feed(df, **cols), keys)
+
+
+def classified_stats(c: DataFrame, keys: Sequence[str] = ("tenant_id",)) -> DataFrame:
     ok = F.col("reject_reason").isNull()
     return (c.groupBy(*keys)
              .agg(F.count(F.lit(1)).alias("processed"),
@@ -120,6 +131,18 @@ def capped(df: DataFrame, n: int, order_cols: Sequence) -> DataFrame:
     return df.orderBy(*order_cols).limit(n)
 
 
+def mark_cap(df: DataFrame, n: int, order_cols: Sequence[str]) -> DataFrame:
+    """A3 / B10 without losing rows: every row, with ``within_cap`` true for the first ``n`` in
+    ascending order (nulls first).  The cut is one key, fetched before: the last of the top n."""
+    types = dict(df.select(*order_cols).dtypes)
+    key = F.struct(*[F.col(c) for c in order_cols])
+    last = df.select(key.alias("k")).orderBy("k").limit(n).agg(F.max("k").alias("k")).first()["k"]
+    if last is None:
+        return df.withColumn("within_cap", F.lit(False))
+    cut = F.struct(*[F.lit(last[c]).cast(types[c]).alias(c) for c in order_cols])
+    return df.withColumn("within_cap", key <= cut)
+
+
 def delta(df: DataFrame, marker: str | None, ts_col: str = "transaction_date") -> DataFrame:
     """Rows strictly after the normalised marker; no marker means no filter."""
     if not marker:

@@ -23,12 +23,18 @@ def analytical_dataset(order_items: DataFrame) -> DataFrame:
         (F.col("quantity") * F.col("price")).cast(_SUM_TYPE).alias("total_amount"))
 
 
-def kpis(order_items: DataFrame, keys: Sequence[str] = ("tenant_id",)) -> DataFrame:
-    """D1 + D2: total revenue, distinct buyers and revenue per buyer (0 if none)."""
+def kpis(order_items: DataFrame, keys: Sequence[str] = ("tenant_id",),
+         tenants: DataFrame | None = None) -> DataFrame:
+    """D1 + D2: total revenue, distinct buyers and revenue per buyer (0 if none).  With the
+    register of ``tenants``, every tenant has a row, those without items zeros."""
     ds = analytical_dataset(order_items)
     agg = ds.groupBy(*keys).agg(
         F.coalesce(F.sum("total_amount"), F.lit(0)).cast("double").alias("total_revenue"),
         F.count_distinct("buyer_id").alias("total_customers"))
+    if tenants is not None:
+        agg = tenants.select(*keys).distinct().join(agg, list(keys), "left").select(
+            *keys, F.coalesce("total_revenue", F.lit(0.0)).alias("total_revenue"),
+            F.coalesce("total_customers", F.lit(0)).alias("total_customers"))
     avg = F.when(F.col("total_customers") > 0,
                  F.col("total_revenue") / F.col("total_customers")).otherwise(F.lit(0.0))
     return agg.withColumn("avg_revenue_per_customer", avg)

@@ -20,6 +20,7 @@ from shopsight.schemas import BASKET_PAYLOAD, RFM_PAYLOAD
 
 RFM_TYPE = "rfm_analysis"
 BASKET_TYPE = "fp_growth_rules"
+SILHOUETTE_METRIC = "squared_euclidean"      # linear in the customers; not the Euclidean score
 RFM_STRATEGY = "feature_weighting_fixed_k"
 BASKET_ALGORITHM = "FP-Growth"
 GROUP = ("tenant_id", "report_type")
@@ -66,7 +67,7 @@ def report_rows(payloads: DataFrame, report_type: str, created_at: Column | None
 # --- H1: RFM document --------------------------------------------------------------------
 
 def rfm_payload(summary: DataFrame, performance: DataFrame, sweep: DataFrame | None,
-                correlation: DataFrame, weights: dict, k: int) -> DataFrame:
+                correlation: DataFrame, weights: dict, k: int, comparison: DataFrame | None = None) -> DataFrame:
     """(tenant_id, payload) of the RFM report.
 
     summary: (tenant_id, cluster_id, recency, frequency, monetary, customer_count)
@@ -90,11 +91,17 @@ def rfm_payload(summary: DataFrame, performance: DataFrame, sweep: DataFrame | N
     else:
         parts = parts.withColumn("tuning_history", F.lit(None).cast(RFM_PAYLOAD["tuning_history"].dataType))
     parts = parts.withColumn("assignments", F.lit(None).cast(RFM_PAYLOAD["assignments"].dataType))
+    if comparison is not None:
+        scores = [c for c in comparison.columns if c != "tenant_id"]
+        parts = parts.join(comparison.select("tenant_id", F.struct(*scores).alias("comparison")), "tenant_id", "left")
+    else:
+        parts = parts.withColumn("comparison", F.lit(None).cast(RFM_PAYLOAD["comparison"].dataType))
     w = F.create_map(*[x for c, v in weights.items() for x in (F.lit(c), F.lit(float(v)))])
     doc = F.struct(
         F.lit(RFM_STRATEGY).alias("strategy"), w.alias("weights"),
-        F.struct(F.lit(k).alias("optimized_k"), F.col("silhouette"), F.col("davies_bouldin")).alias("performance"),
-        "tuning_history", "correlation", "segments", "assignments")
+        F.struct(F.lit(k).alias("optimized_k"), F.col("silhouette"), F.lit(SILHOUETTE_METRIC).alias("silhouette_metric"),
+                 F.col("davies_bouldin")).alias("performance"),
+        "comparison", "tuning_history", "correlation", "segments", "assignments")
     return parts.select("tenant_id", F.to_json(doc).alias("payload"))
 
 

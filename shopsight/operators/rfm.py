@@ -3,15 +3,19 @@
 Design for many tenants and skewed tenants:
 
 * Per-tenant statistics (max date, means, deviations, cluster sums) are hash
-  aggregates with map-side partial aggregation; the small per-tenant result is
-  joined back (AQE turns that join into a broadcast when it is small).
+  aggregates with map-side partial aggregation.  They are joined back by (tenant,
+  salt): customers are salted by their hash and the small statistics repeated per
+  salt, so one tenant with a third of all customers is spread over ``SALTS`` tasks
+  whatever the join strategy.
 * Cluster-level work (k clusters per tenant) is packed into one array per
   tenant and evaluated with higher-order functions; nothing pairs data rows.
 * The silhouette uses the squared-Euclidean definition (as Spark's
   ``ClusteringEvaluator``), which is exact in linear time from per-cluster sums.
   The plain Euclidean variant needs every pair of points and is not built.
 * K-Means is Lloyd's algorithm over all tenants (and all k, all restarts) at
-  once: one aggregation per iteration, centroids checkpointed to cut lineage.
+  once: each pass joins the customers once with their tenant's unfinished models,
+  labels them for all of these and averages with a map-side combine; finished
+  models are frozen, and the passes end when every model has converged.
 """
 
 from __future__ import annotations
@@ -20,12 +24,19 @@ import math
 from typing import Iterable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FEATURES = ("recency", "frequency", "monetary")
+SALTS = 16
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join of rows with one small row per key; a hot key is spread over ``SALTS`` tasks."""
+    salt = F.pmod(F.xxhash64(*[c for c, t in big.dtypes if not t.startswith("map")]), F.lit(SALTS))
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return big.withColumn("__salt", salt).join(copies, [*keys, "__salt"]).drop("__salt")
 
 
 def _keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -42,7 +53,7 @@ def with_recency(metrics: DataFrame, keys: Sequence[str] = ("tenant_id",),
     """Whole days from the last order to (newest order of the tenant + 1 day)."""
     m, k = _keys(metrics, keys)
     ref = m.groupBy(*k).agg((F.max(date_col) + F.expr("INTERVAL 1 DAY")).alias("__ref"))
-    out = m.join(ref, k).withColumn(
+    out = salted_join(m, ref, k).withColumn(
         "recency", F.expr(f"timestampdiff(DAY, `{date_col}`, __ref)")).drop("__ref")
     return out if keys else out.drop("__all")
 
@@ -56,7 +67,7 @@ def standardize(df: DataFrame, cols: Sequence[str] = FEATURES,
     aggs = []
     for c in cols:
         aggs += [F.avg(c).alias(f"__m_{c}"), F.stddev_pop(c).alias(f"__s_{c}")]
-    out = d.join(d.groupBy(*k).agg(*aggs), k)
+    out = salted_join(d, d.groupBy(*k).agg(*aggs), k)
     for c in cols:
         s = F.col(f"__s_{c}")
         if keep_raw:
@@ -134,7 +145,7 @@ def assign_clusters(df: DataFrame, centroids, cols: Sequence[str] = FEATURES,
     as a literal: no join at all) or a DataFrame (keys..., cluster_id, cols...).
     """
     if isinstance(centroids, DataFrame):
-        j = df.join(pack_centroids(centroids, cols, keys), list(keys))
+        j = salted_join(df, pack_centroids(centroids, cols, keys), list(keys))
         return j.withColumn(label, _nearest(F.col("__cents"), cols)["cluster_id"]).drop("__cents")
     return df.withColumn(label, _nearest(literal_centroids(centroids, cols), cols)["cluster_id"])
 
@@ -188,7 +199,7 @@ def silhouette_points(df: DataFrame, cols: Sequence[str] = FEATURES,
     """Per-row silhouette s = (b - a) / max(a, b) with squared Euclidean distance;
     a point alone in its cluster scores 0."""
     d, k = _keys(df, keys)
-    j = d.join(_cluster_sums(d, cols, k, label), k)
+    j = salted_join(d, _cluster_sums(d, cols, k, label), k)
     x = [F.col(c) for c in cols]
     xx = _sqdist(x, [F.lit(0.0)] * len(cols))
 
@@ -223,7 +234,7 @@ def davies_bouldin(df: DataFrame, cols: Sequence[str] = FEATURES,
     """Mean over clusters of max_j (s_i + s_j) / d(c_i, c_j), Euclidean, centroids = means."""
     d, k = _keys(df, keys)
     cent = d.groupBy(*k, label).agg(*[F.avg(c).alias(f"m_{c}") for c in cols])
-    disp = (d.join(cent, k + [label])
+    disp = (salted_join(d, cent, k + [label])
               .withColumn("__d", F.sqrt(_sqdist([F.col(c) for c in cols],
                                                 [F.col(f"m_{c}") for c in cols])))
               .groupBy(*k, label).agg(F.avg("__d").alias("s")))
@@ -261,79 +272,79 @@ def compare_models(base: DataFrame, weighted: DataFrame, keys: Sequence[str] = (
 
 def kmeans_fit(df: DataFrame, cols: Sequence[str] = FEATURES, k: int | Iterable[int] = 3,
                keys: Sequence[str] = ("tenant_id",), id_col: str = "buyer_id", seed: int = 42,
-               max_iter: int = 30, tol: float = 1e-4, n_init: int = 3,
-               order_by: str = "monetary", check_every: int = 2) -> DataFrame:
+               max_iter: int = 300, tol: float = 1e-4, n_init: int = 3,
+               order_by: str = "monetary") -> DataFrame:
     """Fit K-Means per key (and per k when ``k`` is a list).
 
     Initial centroids: for each restart, the k rows with the smallest seeded hash of
-    the id (a map-side top-k per key).  Each iteration assigns rows to the nearest
+    the id (a two-step top-k per key).  Each iteration assigns rows to the nearest
     centroid and averages per (key, k, restart, cluster); an empty cluster keeps its
-    centroid.  Centroids are checkpointed every iteration; every ``check_every``
-    iterations the largest centroid move is compared with ``tol``.  The restart with the lowest inertia wins; clusters are relabelled
-    0..k-1 by centroid ``order_by`` descending.
+    centroid.  A model is finished when no centroid moves by more than ``tol`` (squared)
+    or after ``max_iter`` iterations.  The restart with the lowest inertia wins; clusters
+    are relabelled 0..k-1 by centroid ``order_by`` descending.
 
-    Returns (keys..., k, cluster_id, cols..., size, inertia).
+    Returns (keys..., k, cluster_id, cols..., size, inertia, iterations, converged).
     """
     from shopsight.session import checkpoint_dir
 
     ks = [k] if isinstance(k, int) else sorted(set(k))
     d, kk = _keys(df, keys)
-    spark = d.sparkSession
-    checkpoint_dir(spark)
+    checkpoint_dir(d.sparkSession)
     g = kk + ["k", "__run"]
-    # materialise the points once; the (k, restart) copies are made on the fly in
-    # each pass (cheap CPU) instead of writing len(ks) * n_init copies to storage
     base = d.select(*kk, id_col, *[F.col(c).cast("double").alias(c) for c in cols]).checkpoint()
-    pts = (base.withColumn("k", F.explode(F.array(*[F.lit(x) for x in ks])))
-               .withColumn("__run", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1)))))
-    w = Window.partitionBy(*g).orderBy(F.xxhash64(F.col(id_col), F.lit(seed), F.col("__run")),
-                                       F.col(id_col))
-    cents = (pts.withColumn("__rn", F.row_number().over(w))
-                .filter(F.col("__rn") <= max(ks)).filter(F.col("__rn") <= F.col("k"))
-                .select(*g, (F.col("__rn") - 1).alias("cluster_id"), *cols)
-                .checkpoint())
-    for it in range(1, max_iter + 1):
-        packed = pack_centroids(cents, cols, g)
-        assigned = pts.join(packed, g).withColumn(
-            "cluster_id", _nearest(F.col("__cents"), cols)["cluster_id"])
-        new = assigned.groupBy(*g, "cluster_id").agg(*[F.avg(c).alias(f"__n_{c}") for c in cols])
-        moved = cents.join(new, g + ["cluster_id"], "left")
-        shift = _sqdist([F.coalesce(F.col(f"__n_{c}"), F.col(c)) for c in cols],
-                        [F.col(c) for c in cols])
-        moved = moved.withColumn("__shift", shift)
-        nxt = moved.select(*g, "cluster_id",
-                           *[F.coalesce(F.col(f"__n_{c}"), F.col(c)).alias(c) for c in cols],
-                           "__shift")
-        # the centroids feed two joins of the next step: checkpoint every step so the
-        # plan does not double per iteration; test convergence every check_every steps
-        nxt = nxt.checkpoint()
-        if it % check_every and it < max_iter:
-            cents = nxt.drop("__shift")
-            continue
-        max_shift = nxt.agg(F.max("__shift")).first()[0]
-        cents = nxt.drop("__shift")
-        if max_shift is None or max_shift <= tol:
+    runs = (base.withColumn("__run", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))))
+                .withColumn("__h", F.xxhash64(F.col(id_col), F.lit(seed), F.col("__run")))
+                .withColumn("__salt", F.pmod("__h", F.lit(SALTS))))
+    best_of = lambda *by: F.row_number().over(Window.partitionBy(*kk, "__run", *by).orderBy("__h", id_col))
+    first = (runs.withColumn("__rn", best_of("__salt")).filter(F.col("__rn") <= max(ks))
+                 .withColumn("__rn", best_of()).filter(F.col("__rn") <= max(ks))
+                 .withColumn("k", F.explode(F.array(*[F.lit(x) for x in ks]))).filter(F.col("__rn") <= F.col("k")))
+    cluster = F.struct((F.col("__rn") - 1).alias("cluster_id"), *cols)
+    models = (first.groupBy(*g).agg(F.sort_array(F.collect_list(cluster)).alias("__cents"))
+                   .withColumns({"iterations": F.lit(0), "converged": F.lit(False)}).checkpoint())
+    points = base.select(*kk, *cols)
+
+    def labelled(some: DataFrame) -> DataFrame:
+        """(keys, k, run, cluster_id, d, cols) of every row for every given model of its key."""
+        packed = some.groupBy(*kk).agg(F.collect_list(F.struct("k", "__run", "__cents")).alias("__ms"))
+        near = F.transform("__ms", lambda m: F.struct(m["k"].alias("k"), m["__run"].alias("__run"),
+                                                      _nearest(m["__cents"], cols).alias("n")))
+        return (salted_join(points, packed, kk).select(*kk, *cols, F.explode(near).alias("__l"))
+                .select(*kk, *cols, "__l.k", "__l.__run", "__l.n.cluster_id", "__l.n.d"))
+
+    for _ in range(max_iter):
+        active = models.filter(~F.col("converged"))
+        if active.isEmpty():
             break
-    packed = pack_centroids(cents, cols, g)
-    near = _nearest(F.col("__cents"), cols)
-    final = (pts.join(packed, g).withColumn("__nr", near)
-                .select(*g, F.col("__nr.cluster_id").alias("cluster_id"), F.col("__nr.d").alias("__d")))
-    sizes = final.groupBy(*g, "cluster_id").agg(F.count(F.lit(1)).alias("size"))
-    inertia = final.groupBy(*g).agg(F.sum("__d").alias("inertia"))
+        means = labelled(active).groupBy(*g, "cluster_id").agg(*[F.avg(c).alias(c) for c in cols])
+        fresh = means.groupBy(*g).agg(F.map_from_entries(F.collect_list(
+            F.struct("cluster_id", F.struct(*cols)))).alias("__new"))
+        moved = active.join(fresh, g).withColumn("__next", F.transform("__cents", lambda c: F.struct(
+            c["cluster_id"].alias("cluster_id"),
+            *[F.coalesce(F.try_element_at("__new", c["cluster_id"])[x], c[x]).alias(x) for x in cols])))
+        shift = F.array_max(F.zip_with("__cents", "__next", lambda a, b: _sqdist(
+            [a[x] for x in cols], [b[x] for x in cols])))
+        nxt = moved.select(*g, F.col("__next").alias("__cents"), (F.col("iterations") + 1).alias("iterations"),
+                           (shift <= tol).alias("converged"))
+        models = models.filter("converged").unionByName(nxt).checkpoint()
+    per = labelled(models).groupBy(*g, "cluster_id").agg(F.count(F.lit(1)).alias("size"), F.sum("d").alias("__d"))
+    per = per.checkpoint()
+    inertia = per.groupBy(*g).agg(F.sum("__d").alias("inertia"))
     best = inertia.groupBy(*kk, "k").agg(F.min_by("__run", F.struct("inertia", "__run")).alias("__run"),
                                          F.min("inertia").alias("inertia"))
-    chosen = (cents.join(best, kk + ["k", "__run"])
-                   .join(sizes, g + ["cluster_id"], "left")
-                   .withColumn("size", F.coalesce(F.col("size"), F.lit(0))))
+    chosen = (models.join(best, kk + ["k", "__run"])
+                    .select(*g, "inertia", "iterations", "converged", F.inline("__cents"))
+                    .join(per.drop("__d"), g + ["cluster_id"], "left")
+                    .withColumn("size", F.coalesce(F.col("size"), F.lit(0))))
     rw = Window.partitionBy(*kk, "k").orderBy(F.col(order_by).desc(), F.col("cluster_id"))
     out = (chosen.withColumn("cluster_id", (F.row_number().over(rw) - 1).cast("int"))
-                 .select(*kk, "k", "cluster_id", *cols, "size", "inertia"))
+                 .select(*kk, "k", "cluster_id", *cols, "size", "inertia", "iterations", "converged"))
     return out if keys else out.drop("__all")
 
 
 def kmeans_sweep(df: DataFrame, cols: Sequence[str] = FEATURES, ks: Iterable[int] = range(2, 10),
                  keys: Sequence[str] = ("tenant_id",), id_col: str = "buyer_id", seed: int = 42,
-                 n_init: int = 3, max_iter: int = 30, centroids: DataFrame | None = None) -> DataFrame:
+                 n_init: int = 3, max_iter: int = 300, centroids: DataFrame | None = None) -> DataFrame:
     """Silhouette and Davies-Bouldin per key for every k with k <= n - 1.
 
     ``centroids`` (from ``kmeans_fit`` with a list of k) skips the fit when the caller
@@ -378,19 +389,17 @@ def pca_variance(df: DataFrame, cols: Sequence[str] = FEATURES, keys: Sequence[s
 
     def eig(batches):
         for pdf in batches:
-            rows = []
-            for r in pdf.to_dict("records"):
-                m = np.zeros((n, n))
-                for i in range(n):
-                    for j in range(i, n):
-                        m[i, j] = m[j, i] = r[f"c_{i}_{j}"]
-                vals = np.sort(np.linalg.eigvalsh(m))[::-1]
-                total = float(vals.sum())
-                for c, v in enumerate(vals, start=1):
-                    pct = float(v) / total * 100 if total > 0 else math.nan
-                    rows.append({**{f: r[f] for f in k}, "component": c,
-                                 "explained_variance_pct": pct})
-            yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
+            m = np.zeros((len(pdf), n, n))
+            for i in range(n):
+                for j in range(i, n):
+                    m[:, i, j] = m[:, j, i] = pdf[f"c_{i}_{j}"]
+            vals = np.linalg.eigvalsh(m)[:, ::-1]
+            total = vals.sum(1, keepdims=True)
+            pct = np.where(total > 0, vals / np.where(total > 0, total, 1.0) * 100, math.nan)
+            out = pdf[k].loc[pdf.index.repeat(n)].reset_index(drop=True)
+            out["component"] = np.tile(np.arange(1, n + 1, dtype=np.int32), len(pdf))
+            out["explained_variance_pct"] = pct.ravel()
+            yield out[[f.name for f in schema.fields]]
 
     per = cov.mapInPandas(eig, schema)
     w = Window.partitionBy(*k).orderBy("component").rowsBetween(Window.unboundedPreceding, 0)

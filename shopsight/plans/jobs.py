@@ -32,25 +32,23 @@ def load(feed: DataFrame, store: StarStore, batch_id: int, seq_cols: Sequence[st
     """Full or delta load of a feed batch into the store; returns per-tenant counters.
 
     A feed with ``tenant_key`` is resolved against ``tenants`` first (unknown keys are
-    rejected); delta mode keeps rows strictly after the normalised marker.
+    rejected); delta mode keeps rows strictly after the normalised marker.  The source is
+    read once: rows and counters come from the same staged batch.
     """
     if mode == "delta":
         feed = cleaning.delta(feed, marker)
-    if "tenant_id" not in feed.columns:
-        if tenants is None:
-            raise ValueError("a feed without tenant_id needs the tenant register")
-        feed, _ = st.resolve_tenant(feed, tenants)
-    clean = cleaning.clean_feed(feed, keep=("tenant_id", *keep, *seq_cols))
-    store.write_batch(clean, batch_id, seq_cols)
-    return cleaning.ingest_stats(feed)
+    return store.write_feed(feed, batch_id, seq_cols, keep=keep, tenants=tenants)
 
 
 # --- J1: RFM segmentation ---------------------------------------------------------
 
 def run_rfm(star: st.Star, reports: ReportStore | None = None, k: int = 3,
             weights: dict | None = None, ks: Iterable[int] = range(2, 10), tenant_id: int | None = None,
-            created_at: str | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """RFM report per tenant: (headers, assignment rows); appended to ``reports`` if given."""
+            created_at: str | None = None, seed: int = 42, max_iter: int = 300) -> tuple[DataFrame, DataFrame]:
+    """RFM report per tenant: (headers, assignment rows); appended to ``reports`` if given.
+
+    Tenants with fewer than 10 customers get none (``rfm_status`` says so).  The document
+    compares the weighted model with the unweighted baseline (G7)."""
     weights = weights or DEFAULT_WEIGHTS
     checkpoint_dir(star.orders.sparkSession)
     metrics = kpi.rfm_metrics(cleaning.for_tenant(star.orders, tenant_id),
@@ -60,7 +58,7 @@ def run_rfm(star: st.Star, reports: ReportStore | None = None, k: int = 3,
     scaled = rfm.standardize(feats, keep_raw=True)
     weighted = rfm.weight(scaled, weights)
     ks = sorted(set(ks))
-    models = rfm.kmeans_fit(weighted, k=sorted(set(ks) | {k}), seed=seed).checkpoint()  # every k once
+    models = rfm.kmeans_fit(weighted, k=sorted(set(ks) | {k}), seed=seed, max_iter=max_iter).checkpoint()  # every k once
     sweep = rfm.kmeans_sweep(weighted, ks=ks, centroids=models)
     cents = models.filter(F.col("k") == k).drop("k")
     assigned = rfm.assign_clusters(weighted, cents)
@@ -69,7 +67,12 @@ def run_rfm(star: st.Star, reports: ReportStore | None = None, k: int = 3,
                           *[F.col(f"raw_{c}").alias(c) for c in rfm.FEATURES])
     summary = rfm.cluster_summary(raw)
     corr = rfm.correlation_matrix(feats)
-    payload = rp.rfm_payload(summary, perf, sweep, corr, weights, k)
+    if any(w != 1.0 for w in weights.values()):
+        base = rfm.assign_clusters(scaled, rfm.kmeans_fit(scaled, k=k, seed=seed, max_iter=max_iter).drop("k"))
+        base = rfm.silhouette(base).join(rfm.davies_bouldin(base), "tenant_id")
+    else:
+        base = perf                                  # all weights 1: the baseline is the model itself
+    payload = rp.rfm_payload(summary, perf, sweep, corr, weights, k, rfm.compare_models(base, perf))
     ts = F.lit(created_at) if created_at else None
     headers = rp.report_rows(payload, rp.RFM_TYPE, ts).checkpoint()
     rows = rp.assignment_rows(assigned, headers)
@@ -81,10 +84,10 @@ def run_rfm(star: st.Star, reports: ReportStore | None = None, k: int = 3,
 # --- J2: market basket ----------------------------------------------------------------
 
 def run_basket(tx: DataFrame, reports: ReportStore | None = None, min_support: float = 0.01,
-               min_confidence: float = 0.5, top_n: int = 2000, created_at: str | None = None
+               min_confidence: float = 0.5, top_n: int | None = None, created_at: str | None = None
                ) -> tuple[DataFrame, DataFrame]:
     """Basket report per tenant: (headers, rule rows); tenants with fewer than 10
-    orders, no frequent itemset or no rule get no report."""
+    orders, no frequent itemset or no rule get no report (``basket_status`` says why)."""
     checkpoint_dir(tx.sparkSession)
     b = bk.baskets(bk.keep_top_items(tx, top_n))
     b = cleaning.tenants_with_min(b, ["tenant_id"], MIN_ORDERS).checkpoint()
@@ -100,13 +103,59 @@ def run_basket(tx: DataFrame, reports: ReportStore | None = None, min_support: f
     return headers, rows
 
 
+# --- B16: what became of every tenant ------------------------------------------------------
+
+def job_status(counts: DataFrame, headers: DataFrame, report_type: str, minimum: int, unit: str,
+               no_result: str) -> DataFrame:
+    """(tenant_id, report_type, status, reason, n): done, or skipped and why, for every tenant
+    of ``counts`` (tenant_id, n)."""
+    done = headers.select("tenant_id", F.lit(True).alias("__done"))
+    reason = (F.when(F.col("__done"), F.lit(None).cast("string"))
+              .when(F.col("n") < minimum, F.lit(f"fewer than {minimum} {unit}")).otherwise(F.lit(no_result)))
+    return (counts.join(done, "tenant_id", "left")
+            .select("tenant_id", F.lit(report_type).alias("report_type"),
+                    F.when(F.col("__done"), "done").otherwise("skipped").alias("status"), reason.alias("reason"), "n"))
+
+
+def rfm_status(star: st.Star, headers: DataFrame) -> DataFrame:
+    """Status of every tenant of the register after ``run_rfm``."""
+    n = kpi.rfm_metrics(star.orders, star.order_items).groupBy("tenant_id").agg(F.count("*").alias("n"))
+    counts = star.tenants.select("tenant_id").join(n, "tenant_id", "left").select(
+        "tenant_id", F.coalesce("n", F.lit(0)).alias("n"))
+    return job_status(counts, headers, rp.RFM_TYPE, MIN_CUSTOMERS, "customers", "no model")
+
+
+def basket_status(tx: DataFrame, headers: DataFrame, tenants: DataFrame | None = None) -> DataFrame:
+    """Status of every tenant (of the register, if given) after ``run_basket``."""
+    n = bk.order_counts(bk.baskets(tx)).withColumnRenamed("n_orders", "n")
+    if tenants is not None:
+        n = tenants.select("tenant_id").join(n, "tenant_id", "left").select(
+            "tenant_id", F.coalesce("n", F.lit(0)).alias("n"))
+    return job_status(n, headers, rp.BASKET_TYPE, MIN_ORDERS, "orders", "no frequent itemset or no rule")
+
+
 # --- J3: nightly run -------------------------------------------------------------------
 
 def run_all_tenants(star: st.Star, reports: ReportStore, retained_base: str, keep: int = 3,
                     min_support: float = 0.01, min_confidence: float = 0.5,
-                    created_at: str | None = None) -> ReportStore:
-    """Both jobs for every tenant, then retention written to ``retained_base``;
-    returns the retained report store."""
-    run_rfm(star, reports, created_at=created_at)
-    run_basket(bk.transactions(star), reports, min_support, min_confidence, created_at=created_at)
-    return reports.retain(star.orders.sparkSession, retained_base, keep)
+                    created_at: str | None = None, max_iter: int = 300) -> tuple[ReportStore, DataFrame]:
+    """Both jobs for every tenant, then retention written to ``retained_base``; returns the
+    retained report store and the status of every (tenant, report type).
+
+    A job that fails is reported as failed for its tenants and the other one still runs."""
+    spark = star.orders.sparkSession
+    tx = bk.transactions(star)
+    jobs = ((rp.RFM_TYPE, lambda: run_rfm(star, reports, created_at=created_at, max_iter=max_iter)[0],
+             lambda h: rfm_status(star, h)),
+            (rp.BASKET_TYPE, lambda: run_basket(tx, reports, min_support, min_confidence, created_at=created_at)[0],
+             lambda h: basket_status(tx, h, star.tenants)))
+    statuses = []
+    for kind, job, status in jobs:
+        try:
+            statuses.append(status(job()))
+        except Exception as e:                       # the other job is not stopped; the failure is a result
+            statuses.append(star.tenants.select(
+                "tenant_id", F.lit(kind).alias("report_type"), F.lit("failed").alias("status"),
+                F.lit(f"{type(e).__name__}: {e}"[:500]).alias("reason"), F.lit(None).cast("long").alias("n")))
+    kept = reports.retain(spark, retained_base, keep)
+    return kept, statuses[0].unionByName(statuses[1])

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from shopsight.functions.scalar import ITEM_SEP, cluster_name_ua, fixed
 from shopsight.operators import advice as ad
-from shopsight.operators import basket as bk
 from shopsight.plans import q_basket, q_reports, q_segments
 from shopsight.plans import sql as S
 from shopsight.plans.catalog import query
@@ -29,8 +28,8 @@ def _segments(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    top = bk.rule_chart(q_basket.brand_rules(spark, sf_dir), q_basket.CHART_N)
-    return top.select("tenant_id", F.array_join("antecedent", ITEM_SEP).alias("item_a"),
+    rules = q_basket.brand_rules(spark, sf_dir)
+    return rules.select("tenant_id", F.array_join("antecedent", ITEM_SEP).alias("item_a"),
                       F.array_join("consequent", ITEM_SEP).alias("item_b"), "confidence",
                       fixed(F.col("confidence") * 100, 1).alias("confidence_pct"))
 
@@ -39,16 +38,11 @@ _SEG_SQL = q_reports._SUMMARY_SQL + """,
 segs AS (SELECT *, 'Кластер ' || CAST(cluster_id AS VARCHAR) AS cluster_name FROM summ)"""
 
 _PAIR_SQL = q_basket._mining_sql() + f""",
-chart_top AS (
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY lift DESC, confidence DESC,
-             array_to_string(antecedent, ', '), array_to_string(consequent, ', ')) AS rk
-    FROM rules) WHERE rk <= {q_basket.CHART_N}),
 pairs AS (
   SELECT tenant_id, array_to_string(antecedent, ', ') AS item_a,
          array_to_string(consequent, ', ') AS item_b, confidence,
          CAST(CAST({S.rnd('confidence * 100', 1)} AS DECIMAL(38,1)) AS VARCHAR) AS confidence_pct
-  FROM chart_top)"""
+  FROM rules)"""
 
 _ADVICE_CASE = f"""CASE WHEN contains(cluster_name, 'Champions') OR contains(cluster_name, '1') THEN {_lit(ad.ADVICE_TOP)}
   WHEN contains(cluster_name, 'Risk') OR contains(cluster_name, '3') THEN {_lit(ad.ADVICE_RISK)}
@@ -66,10 +60,11 @@ def segment_advice(spark, sf_dir):
 
 @query("bundle_advice", covers="H7 H9",
        sql=q_basket.with_rec(_PAIR_SQL, f"""SELECT DISTINCT tenant_id, item_a, item_b, confidence,
-  printf({_lit(ad.BUNDLE_TEMPLATE)}, item_a, item_b) AS advice, true AS is_fallback FROM pairs"""))
+  md5(printf({_lit(ad.BUNDLE_TEMPLATE)}, item_a, item_b)) AS advice_md5, true AS is_fallback FROM pairs"""))
 def bundle_advice(spark, sf_dir):
     p = _pairs(spark, sf_dir).select("tenant_id", "item_a", "item_b", "confidence")
-    return ad.bundle_advice(p)
+    # a text of some 250 characters for each of all rules: shown by its digest
+    return ad.bundle_advice(p).withColumn("advice_md5", F.md5("advice")).drop("advice")
 
 
 _SEG_PROMPT_SQL = (f"printf({_lit(ad.SEGMENT_PROMPT)}, {_lit(BUSINESS)}, cluster_name, "
@@ -84,9 +79,10 @@ def segment_prompt(spark, sf_dir):
 
 @query("bundle_prompt", covers="H8",
        sql=q_basket.with_rec(_PAIR_SQL, f"""SELECT tenant_id, item_a, item_b,
-  printf({_lit(ad.BUNDLE_PROMPT)}, {_lit(BUSINESS)}, item_a, item_b, confidence_pct) AS prompt FROM pairs"""))
+  md5(printf({_lit(ad.BUNDLE_PROMPT)}, {_lit(BUSINESS)}, item_a, item_b, confidence_pct)) AS prompt_md5 FROM pairs"""))
 def bundle_prompt(spark, sf_dir):
-    return ad.bundle_prompt(_pairs(spark, sf_dir), BUSINESS).select("tenant_id", "item_a", "item_b", "prompt")
+    p = ad.bundle_prompt(_pairs(spark, sf_dir), BUSINESS)
+    return p.select("tenant_id", "item_a", "item_b", F.md5("prompt").alias("prompt_md5"))
 
 
 @query("advice_clean", covers="F7",

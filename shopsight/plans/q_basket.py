@@ -2,7 +2,7 @@
 
 Transactions for mining: order = l_orderkey, item = p_brand, tenant = customer
 nation.  Parameters: min_support 0.002, min_confidence 0.01 (low enough that
-rules with multi-item consequents occur), top-N guard 2000 items per tenant.
+rules with multi-item consequents occur); all products take part.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from shopsight.sources import testdata as td
 
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.01
-TOP_N = 2000
 TOP_N_SMALL = 10
 CHART_N = 300
 RANGE = (0.02, 0.005, 0.3, 0.8)   # support bounds given swapped on purpose
@@ -27,8 +26,7 @@ RANGE = (0.02, 0.005, 0.3, 0.8)   # support bounds given swapped on purpose
 # --- Spark side -----------------------------------------------------------------
 
 def brand_baskets(spark, sf_dir):
-    tx = bk.keep_top_items(td.brand_transactions(spark, sf_dir), TOP_N)
-    return bk.baskets(tx)
+    return bk.baskets(td.brand_transactions(spark, sf_dir))
 
 
 def brand_itemsets(spark, sf_dir):
@@ -59,12 +57,9 @@ ranked AS (
   FROM cnt)"""
 
 
-def _mining_sql(top_n: int = TOP_N) -> str:
+def _mining_sql(min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> str:
     return TX_SQL + f""",
-top AS (SELECT tenant_id, product_code FROM ranked WHERE rank <= {top_n}),
-bi AS (SELECT DISTINCT tx.tenant_id, tx.order_id, tx.product_code AS item
-       FROM tx JOIN top ON tx.tenant_id = top.tenant_id AND tx.product_code = top.product_code
-       WHERE tx.product_code IS NOT NULL),
+bi AS (SELECT DISTINCT tenant_id, order_id, product_code AS item FROM tx WHERE product_code IS NOT NULL),
 nord AS (SELECT tenant_id, count(DISTINCT order_id) AS n_orders FROM bi GROUP BY tenant_id),
 sub(tenant_id, order_id, items, last) AS (
   SELECT tenant_id, order_id, [item], item FROM bi
@@ -76,7 +71,7 @@ fis AS (
   SELECT f.tenant_id, f.items, CAST(len(f.items) AS INTEGER) AS n_items, f.freq,
          CAST(f.freq AS DOUBLE) / n.n_orders AS support, n.n_orders
   FROM fi f JOIN nord n ON f.tenant_id = n.tenant_id
-  WHERE CAST(f.freq AS DOUBLE) / n.n_orders >= {MIN_SUPPORT}),
+  WHERE CAST(f.freq AS DOUBLE) / n.n_orders >= {min_support}),
 masks AS (
   SELECT tenant_id, items, support, unnest(generate_series(1, (1 << n_items) - 2)) AS mask
   FROM fis WHERE n_items >= 2),
@@ -94,7 +89,7 @@ rules_raw AS (
 rules AS (
   SELECT tenant_id, antecedent, consequent, {S.rnd('support', 4)} AS support,
          {S.rnd('confidence', 4)} AS confidence, {S.rnd('lift', 4)} AS lift
-  FROM rules_raw WHERE confidence >= {MIN_CONFIDENCE})"""
+  FROM rules_raw WHERE confidence >= {min_confidence})"""
 
 
 def with_rec(ctes: str, body: str) -> str:
@@ -134,12 +129,10 @@ def top_item_rows(spark, sf_dir):
 
 
 @query("baskets", covers="D5",
-       sql=S.with_(TX_SQL + f""",
-top AS (SELECT tenant_id, product_code FROM ranked WHERE rank <= {TOP_N})""", """
+       sql=S.with_(TX_SQL, """
 SELECT tx.tenant_id, tx.order_id, array_to_string(list_sort(list_distinct(list(tx.product_code))), ', ')
        AS items, CAST(len(list_distinct(list(tx.product_code))) AS INTEGER) AS n_items
-FROM tx JOIN top ON tx.tenant_id = top.tenant_id AND tx.product_code = top.product_code
-GROUP BY tx.tenant_id, tx.order_id"""))
+FROM tx WHERE tx.product_code IS NOT NULL GROUP BY tx.tenant_id, tx.order_id"""))
 def baskets(spark, sf_dir):
     b = brand_baskets(spark, sf_dir)
     return b.select("tenant_id", "order_id", F.array_join("items", ITEM_SEP).alias("items"),
@@ -172,6 +165,16 @@ def rules_top_lift(spark, sf_dir):
     return c.select("tenant_id", "label", "support", "confidence", "lift", "rank", "lift_class")
 
 
+@query("rules_lift_class", covers="B14",
+       sql=with_rec(_mining_sql(), f"""SELECT {_RULES_TXT},
+  CASE WHEN lift > 2 THEN 'target' ELSE 'background' END AS lift_class FROM rules"""))
+def rules_lift_class(spark, sf_dir):
+    r = bk.classify_lift(brand_rules(spark, sf_dir))
+    return r.select("tenant_id", F.array_join("antecedent", ITEM_SEP).alias("antecedent"),
+                    F.array_join("consequent", ITEM_SEP).alias("consequent"),
+                    "support", "confidence", "lift", "lift_class")
+
+
 @query("rules_in_range", covers="B15",
        sql=with_rec(_mining_sql(), f"""SELECT {_RULES_TXT} FROM rules
 WHERE support BETWEEN {min(RANGE[:2])} AND {max(RANGE[:2])}

@@ -11,7 +11,6 @@ from shopsight.plans.catalog import query
 from shopsight.sources import testdata as td
 
 CAP = 25000
-WORKBOOK_CAP = 50000
 
 _DIRTY_CLEAN = S.DIRTY_FEED + "," + S.classify("dirty") + "," + S.clean("dirty")
 _CLEAN_COLS = ("tenant_id, client_hash, product_code, quantity, CAST(price AS DOUBLE) AS price, "
@@ -64,14 +63,18 @@ _CAP_ORDER = ["transaction_date", "l_orderkey", "l_linenumber", "price", "sku",
 
 
 @query("feed_capped", covers="A3 B10",
-       sql=S.with_(S.DIRTY_FEED + ",\ncapped AS (SELECT * FROM dirty ORDER BY "
-                   + ", ".join(f"{c} NULLS FIRST" for c in _CAP_ORDER) + f" LIMIT {CAP}),"
-                   + S.classify("capped") + "," + S.clean("capped"),
-                   f"SELECT {_CLEAN_COLS} FROM clean"))
+       sql=S.with_(S.DIRTY_FEED + f",\ncapped AS (SELECT *, row_number() OVER (ORDER BY "
+                   + ", ".join(f"{c} NULLS FIRST" for c in _CAP_ORDER) + f") <= {CAP} AS within_cap FROM dirty),"
+                   + S.classify("capped"),
+                   "SELECT tenant_id, sha256(c_txt) AS client_hash, s_txt AS product_code, q_val AS quantity, "
+                   "CAST(p_val AS DOUBLE) AS price, strftime(t_val, '%Y-%m-%d %H:%M:%S') AS order_date, "
+                   "t_val AS transaction_date, within_cap FROM capped_c WHERE reject_reason IS NULL"))
 def feed_capped(spark, sf_dir):
-    capped = cleaning.capped(td.dirty_feed(spark, sf_dir), CAP,
-                             [F.col(c).asc_nulls_first() for c in _CAP_ORDER])
-    return _clean_out(cleaning.clean_feed(capped, keep=common.CLEAN_KEEP))
+    """The whole feed, with a mark on the rows that one delivery of CAP rows takes."""
+    marked = cleaning.mark_cap(td.dirty_feed(spark, sf_dir), CAP, _CAP_ORDER)
+    clean = cleaning.clean_feed(marked, keep=(*common.CLEAN_KEEP, "within_cap"))
+    return clean.select("tenant_id", "client_hash", "product_code", "quantity",
+                        F.col("price").cast("double").alias("price"), "order_date", "transaction_date", "within_cap")
 
 
 @query("feed_count", covers="A2",
@@ -103,9 +106,6 @@ def feed_union(spark, sf_dir):
     return cleaning.union_feeds([sheet_a, sheet_b, sheet_c])
 
 
-_WB_ORDER = ["InvoiceDate", "l_orderkey", "l_linenumber", "Customer ID", "StockCode", "Price", "Quantity"]
-
-
 def _workbook_sql() -> str:
     rows = """
 wb AS (
@@ -124,14 +124,11 @@ wb_c AS (
          coalesce(CAST(trunc(TRY_CAST("Quantity" AS DOUBLE)) AS INTEGER), 0) AS "Quantity",
          "InvoiceDate", l_orderkey, l_linenumber
   FROM wb WHERE "Customer ID" IS NOT NULL)"""
-    order = ", ".join(f'"{c}"' if " " in c or c[0].isupper() else c for c in _WB_ORDER)
     return S.with_(S.FEED + "," + rows,
-                   f'SELECT "Customer ID", "StockCode", "Price", "Quantity", "InvoiceDate" '
-                   f"FROM wb_c ORDER BY {order} LIMIT {WORKBOOK_CAP}")
+                   'SELECT "Customer ID", "StockCode", "Price", "Quantity", "InvoiceDate" FROM wb_c')
 
 
-@query("workbook_coerce", covers="B9 B10", sql=_workbook_sql())
+@query("workbook_coerce", covers="B9", sql=_workbook_sql())
 def workbook_coerce(spark, sf_dir):
     c = cleaning.coerce_workbook(td.workbook_rows(spark, sf_dir))
-    c = cleaning.capped(c, WORKBOOK_CAP, _WB_ORDER)
     return c.select("Customer ID", "StockCode", "Price", "Quantity", "InvoiceDate")

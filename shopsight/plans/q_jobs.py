@@ -1,13 +1,17 @@
-"""Whole-job queries (J1-J4, L1-L3, A4, A13): loads through the star store, the
+"""Whole-job queries (J1-J4, L1-L3, A4, A13, B11): loads through the star store, the
 streaming ingest, and the RFM / basket / nightly jobs."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shopsight.plans import common, jobs, q_star
+from shopsight.functions.scalar import ITEM_SEP
+from shopsight.operators import basket as bk
+from shopsight.operators import reports as rp
+from shopsight.plans import common, jobs, q_basket, q_star
 from shopsight.plans import sql as S
 from shopsight.plans.catalog import query
+from shopsight.schemas import RFM_PAYLOAD
 from shopsight.session import scratch_path
 from shopsight.sources import testdata as td
 from shopsight.sources.store import ReportStore, StarStore
@@ -30,39 +34,174 @@ def load_star(spark, sf_dir):
     return _items(store.snapshot(spark, td.tenants(spark, sf_dir)))
 
 
+PRODUCTS_SQL = S.with_(q_star._DIRTY_ITEMS, """
+SELECT tenant_id, product_code, CAST(price AS DOUBLE) AS price FROM (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id, product_code
+    ORDER BY l_orderkey % 3 DESC, transaction_date DESC, l_orderkey DESC, l_linenumber DESC,
+             price DESC) AS rn
+  FROM items) WHERE rn = 1""")
+
+
+@query("store_compact_replay", covers="C3 L3 A13", sql=PRODUCTS_SQL)
+def store_compact_replay(spark, sf_dir):
+    """Three batches, compaction, then batch 1 again: the last batch's prices stay."""
+    store = StarStore(scratch_path(spark, "star"))
+    dirty = td.dirty_feed(spark, sf_dir)
+    for b in (0, 1, 2):
+        jobs.load(td.batch_of(dirty, b), store, b, common.SEQ)
+    store = store.compact(spark, scratch_path(spark, "star_compact"))
+    jobs.load(td.batch_of(dirty, 1), store, 1, common.SEQ)
+    return store.snapshot(spark).products.withColumn("price", F.col("price").cast("double"))
+
+
+TENANT = 7
+
+
+@query("tenant_scope", covers="B11",
+       sql=S.with_(q_star._DIRTY_ITEMS, f"SELECT {q_star._ITEM_COLS} FROM items WHERE tenant_id = {TENANT}"))
+def tenant_scope(spark, sf_dir):
+    """One tenant of the store: its bucket is read, nothing else."""
+    store = StarStore(scratch_path(spark, "star"))
+    dirty = td.dirty_feed(spark, sf_dir)
+    for b in (0, 1, 2):
+        jobs.load(td.batch_of(dirty, b), store, b, common.SEQ)
+    return _items(store.snapshot(spark, td.tenants(spark, sf_dir), tenant_id=TENANT))
+
+
+def _line_files(spark, sf_dir) -> str:
+    """The order lines as three files, written one after the other."""
+    folder = scratch_path(spark, "lines")
+    for b in range(td.N_BATCHES):
+        td.batch_of(td.table(spark, sf_dir, "lineitem"), b).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def _streamed(spark, sf_dir, to_feed, tenants=None) -> StarStore:
+    folder = _line_files(spark, sf_dir)
+    lines = spark.read.parquet(folder)
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    store = StarStore(scratch_path(spark, "stream_star"))
+    ingest_stream(stream, store, scratch_path(spark, "stream_ckpt"), common.SEQ, to_feed=to_feed,
+                  tenants=tenants).awaitTermination()
+    return store
+
+
 @query("stream_ingest", covers="L1 A4", sql=S.with_(S.STAR_ITEMS, """SELECT order_id, tenant_id,
   product_code, quantity, CAST(price AS DOUBLE) AS price, client_hash AS customer_hash,
-  transaction_date, CAST(0 AS BIGINT) AS batch_id FROM items"""))
+  transaction_date, CAST(l_orderkey % 3 AS BIGINT) AS batch_id FROM items"""))
 def stream_ingest(spark, sf_dir):
-    """Order lines streamed from the lineitem file, enriched per micro-batch, stored."""
-    lines = td.table(spark, sf_dir, "lineitem")
-    stream = (spark.readStream.schema(lines.schema).option("pathGlobFilter", "lineitem.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
-    store = StarStore(scratch_path(spark, "stream_star"))
-    q = ingest_stream(stream, store, scratch_path(spark, "stream_ckpt"), common.SEQ,
-                      to_feed=lambda batch: td.feed_from_lines(spark, sf_dir, batch))
-    q.awaitTermination()
+    """Order lines streamed from three files, a micro-batch each, enriched and stored."""
+    store = _streamed(spark, sf_dir, lambda batch: td.feed_from_lines(spark, sf_dir, batch))
     return _items(store.snapshot(spark, td.tenants(spark, sf_dir)))
 
 
-@query("run_rfm", covers="J1 H1 A8")
+@query("stream_counters", covers="L1 B6 C1",
+       sql=S.with_(S.DIRTY_FEED + "," + S.classify("dirty"), """
+SELECT CAST(l_orderkey % 3 AS BIGINT) AS batch_id,
+  count(*) FILTER (WHERE l_orderkey % 53 <> 0) AS processed,
+  count(*) FILTER (WHERE l_orderkey % 53 <> 0 AND reject_reason IS NULL) AS sent,
+  count(*) FILTER (WHERE l_orderkey % 53 <> 0 AND reject_reason IS NOT NULL) AS filtered,
+  count(*) FILTER (WHERE l_orderkey % 53 = 0) AS unknown_key
+FROM dirty_c GROUP BY 1"""))
+def stream_counters(spark, sf_dir):
+    """Counters of every micro-batch, from the pass that stored it; every 53rd order comes
+    with an unknown integration key."""
+    def keyed(batch):
+        f = td.with_defects(td.feed_from_lines(spark, sf_dir, batch))
+        bad = F.col("l_orderkey") % 53 == 0
+        return f.withColumn("tenant_key", F.when(bad, F.lit(td.UNKNOWN_TENANT_KEY)).otherwise(F.col("tenant_key"))) \
+            .drop("tenant_id")
+
+    store = _streamed(spark, sf_dir, keyed, td.tenants(spark, sf_dir))
+    return store.commits(spark).select("batch_id", "processed", "sent", "filtered", "unknown_key")
+
+
+@query("run_rfm", covers="J1 H1 A8 G7",
+       sql=S.with_(S.RFM_METRICS, """SELECT tenant_id, 'rfm_analysis' AS report_type,
+  CAST(3 AS BIGINT) AS segments, count(*) AS customers, count(*) AS assignments,
+  true AS compared FROM rfm GROUP BY tenant_id"""))
 def run_rfm(spark, sf_dir):
+    """Every tenant's report: its segments hold all customers, each customer has a label."""
     reports = ReportStore(scratch_path(spark, "reports"))
     jobs.run_rfm(common.full_star(spark, sf_dir), reports, created_at=REPORT_TS)
-    return reports.headers(spark).select("tenant_id", "report_type", "created_at", "payload")
+    doc = reports.headers(spark).withColumn("p", F.from_json("payload", RFM_PAYLOAD))
+    doc = doc.select("tenant_id", "report_type", F.size("p.segments").cast("long").alias("segments"),
+                     F.expr("aggregate(map_values(p.segments), 0L, (s, x) -> s + x.customer_count)").alias("customers"),
+                     F.col("p.comparison").isNotNull().alias("compared"))
+    labels = reports.details(spark, "assignments").groupBy("tenant_id").agg(F.count("*").alias("assignments"))
+    return doc.join(labels, "tenant_id")
 
 
-@query("run_basket", covers="J2 H2 A8")
+@query("run_basket", covers="J2 H2 A8",
+       sql=q_basket.with_rec(q_basket._mining_sql(0.01, 0.5), f"SELECT {q_basket._RULES_TXT} FROM rules"))
 def run_basket(spark, sf_dir):
     reports = ReportStore(scratch_path(spark, "reports"))
     jobs.run_basket(td.brand_transactions(spark, sf_dir), reports, min_support=0.01,
                     min_confidence=0.5, created_at=REPORT_TS)
-    return reports.details(spark, "rules")
-
-
-@query("run_all_tenants", covers="J3 E1")
+    rows = reports.details(spark, "rules")
+    return rows.select("tenant_id", F.array_join("if_bought", ITEM_SEP).alias("antecedent"),
+                       F.array_join("then_buy", ITEM_SEP).alias("consequent"), "support", "confidence", "lift")
+
+
+NIGHT_SUPPORT, NIGHT_CONFIDENCE = 0.01, 0.01
+_NIGHT = S.FEED + f""",
+night AS (SELECT tenant_id, client, transaction_date, brand FROM feed
+          WHERE tenant_id % 5 <> 1
+            AND (tenant_id % 5 <> 0 OR CAST(regexp_extract(client, '([0-9]+)$', 1) AS INTEGER) % 20 = 0)),
+cust AS (SELECT tenant_id, count(DISTINCT client) AS n FROM night GROUP BY tenant_id),
+bi AS (SELECT DISTINCT tenant_id, client, transaction_date, brand FROM night),
+ords AS (SELECT tenant_id, count(*) AS n FROM (SELECT DISTINCT tenant_id, client, transaction_date FROM bi) GROUP BY tenant_id),
+one AS (SELECT tenant_id, brand, count(*) AS c FROM bi GROUP BY ALL),
+two AS (SELECT a.tenant_id, a.brand AS a, b.brand AS b, count(*) AS c FROM bi a JOIN bi b
+        ON a.tenant_id = b.tenant_id AND a.client = b.client AND a.transaction_date = b.transaction_date
+        AND a.brand <> b.brand GROUP BY ALL),
+ruled AS (SELECT DISTINCT two.tenant_id FROM two JOIN ords USING (tenant_id) JOIN one
+          ON one.tenant_id = two.tenant_id AND one.brand = two.a
+          WHERE two.c::DOUBLE / ords.n >= {NIGHT_SUPPORT} AND two.c::DOUBLE / one.c >= {NIGHT_CONFIDENCE}),
+st AS (
+  SELECT CAST(n_nationkey AS INTEGER) AS tenant_id, 'rfm_analysis' AS report_type, coalesce(cust.n, 0) AS n,
+         coalesce(cust.n, 0) >= 10 AS ok, 'fewer than 10 customers' AS few, 'no model' AS none
+  FROM nation LEFT JOIN cust ON cust.tenant_id = n_nationkey
+  UNION ALL
+  SELECT CAST(n_nationkey AS INTEGER), 'fp_growth_rules', coalesce(ords.n, 0),
+         coalesce(ords.n, 0) >= 10 AND ruled.tenant_id IS NOT NULL, 'fewer than 10 orders',
+         'no frequent itemset or no rule'
+  FROM nation LEFT JOIN ords ON ords.tenant_id = n_nationkey LEFT JOIN ruled ON ruled.tenant_id = n_nationkey)"""
+
+
+@query("run_all_tenants", covers="J3 E1 B16",
+       sql=S.with_(_NIGHT, """SELECT tenant_id, report_type,
+  CASE WHEN ok THEN 'done' ELSE 'skipped' END AS status,
+  CASE WHEN ok THEN NULL WHEN n < 10 THEN few ELSE none END AS reason, n,
+  CAST(CASE WHEN ok THEN 1 ELSE 0 END AS BIGINT) AS kept_reports FROM st"""))
 def run_all_tenants(spark, sf_dir):
+    """The nightly run over brands, after an earlier basket run, keeping one report: status of
+    all tenants.  Every 5th tenant has few customers, another 5th no data at all."""
+    f = td.feed(spark, sf_dir).withColumn("sku", F.col("brand"))
+    few = F.regexp_extract("client", r"([0-9]+)$", 1).cast("int") % 20 == 0
+    f = f.filter((F.col("tenant_id") % 5 != 1) & ((F.col("tenant_id") % 5 != 0) | few))
+    store = StarStore(scratch_path(spark, "star"))
+    jobs.load(f, store, 0, common.SEQ)
+    star = store.snapshot(spark, td.tenants(spark, sf_dir))
+    reports = ReportStore(scratch_path(spark, "reports"))
+    jobs.run_basket(bk.transactions(star), reports, NIGHT_SUPPORT, NIGHT_CONFIDENCE, created_at="2024-05-01 00:00:00")
+    kept, status = jobs.run_all_tenants(star, reports, scratch_path(spark, "reports_kept"), 1, NIGHT_SUPPORT,
+                                        NIGHT_CONFIDENCE, created_at=REPORT_TS)
+    left = kept.headers(spark).groupBy("tenant_id", "report_type").agg(F.count("*").alias("kept_reports"))
+    return status.join(left, ["tenant_id", "report_type"], "left").withColumn(
+        "kept_reports", F.coalesce("kept_reports", F.lit(0)))
+
+
+@query("export_reports", covers="A11 H1",
+       sql=S.with_(S.RFM_METRICS, """SELECT tenant_id, 'feature_weighting_fixed_k' AS strategy,
+  CAST(3 AS INTEGER) AS optimized_k, 'squared_euclidean' AS silhouette_metric, count(*) AS customers
+FROM rfm GROUP BY tenant_id"""))
+def export_reports(spark, sf_dir):
+    """The RFM documents of a job, exported as JSON lines per tenant and read back."""
     reports = ReportStore(scratch_path(spark, "reports"))
-    star = common.full_star(spark, sf_dir)
-    kept = jobs.run_all_tenants(star, reports, scratch_path(spark, "reports_kept"), created_at=REPORT_TS)
-    return kept.headers(spark).select("tenant_id", "report_type", "created_at")
+    headers, _ = jobs.run_rfm(common.full_star(spark, sf_dir), reports, ks=(2,), created_at=REPORT_TS)
+    out = scratch_path(spark, "report_json")
+    rp.export_report_json(headers, rp.RFM_TYPE, RFM_PAYLOAD, out)
+    doc = spark.read.schema(RFM_PAYLOAD).json(out)
+    return doc.select("tenant_id", "strategy", "performance.optimized_k", "performance.silhouette_metric",
+                      F.expr("aggregate(map_values(segments), 0L, (s, x) -> s + x.customer_count)").alias("customers"))

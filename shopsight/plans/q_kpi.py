@@ -35,7 +35,20 @@ def compact_sql(v: str) -> str:
 @query("kpis_by_tenant", covers="D1 D2 D3",
        sql=S.with_(S.CLEAN_FEED + "," + _KPI_SQL, "SELECT * FROM kpi2"))
 def kpis_by_tenant(spark, sf_dir):
-    return kpi.kpis(common.full_star(spark, sf_dir).order_items)
+    star = common.full_star(spark, sf_dir)
+    return kpi.kpis(star.order_items, tenants=star.tenants)
+
+
+# Every 5th nation has no items here, so that it shows as zeros.
+@query("kpis_without_items", covers="D1 D2",
+       sql=S.with_(S.CLEAN_FEED + "," + _KPI_SQL, """SELECT CAST(n_nationkey AS INTEGER) AS tenant_id,
+  CASE WHEN n_nationkey % 5 = 0 THEN 0.0 ELSE coalesce(total_revenue, 0.0) END AS total_revenue,
+  CASE WHEN n_nationkey % 5 = 0 THEN 0 ELSE coalesce(total_customers, 0) END AS total_customers,
+  CASE WHEN n_nationkey % 5 = 0 THEN 0.0 ELSE coalesce(avg_revenue_per_customer, 0.0) END AS avg_revenue_per_customer
+FROM nation LEFT JOIN kpi2 ON tenant_id = n_nationkey"""))
+def kpis_without_items(spark, sf_dir):
+    star = common.full_star(spark, sf_dir)
+    return kpi.kpis(star.order_items.filter(F.col("tenant_id") % 5 != 0), tenants=star.tenants)
 
 
 @query("kpi_display", covers="F1 D2",

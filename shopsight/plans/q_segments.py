@@ -175,6 +175,41 @@ def kmeans_fit(spark, sf_dir):
     return rfm.kmeans_fit(common.rfm_scaled(spark, sf_dir), k=3)
 
 
+@query("kmeans_checks", covers="G3",
+       sql=S.with_(S.RFM_METRICS, """SELECT tenant_id, count(*) AS customers, true AS sizes_add_up,
+  true AS centroids_are_means, true AS nearest, true AS converged FROM rfm GROUP BY tenant_id"""))
+def kmeans_checks(spark, sf_dir):
+    """What every converged fit must show, per tenant: sizes add up, centroids are their
+    members' means (within the tolerance), each customer is at the nearest centroid."""
+    z = common.rfm_scaled(spark, sf_dir)
+    cents = rfm.kmeans_fit(z, k=3).checkpoint()
+    a = rfm.assign_clusters(z, cents)
+    near = a.join(cents.select("tenant_id", *[F.col(c).alias(f"o_{c}") for c in ("cluster_id", *rfm.FEATURES)]), "tenant_id")
+    own = F.col("cluster_id") == F.col("o_cluster_id")
+    d = sum(((F.col(c) - F.col(f"o_{c}")) ** 2 for c in rfm.FEATURES), F.lit(0.0))
+    per = near.groupBy("tenant_id", "buyer_id").agg(F.min(d).alias("best"), F.min(F.when(own, d)).alias("own"))
+    nearest = per.groupBy("tenant_id").agg(F.count("*").alias("customers"),
+                                           F.bool_and(F.col("own") <= F.col("best") + 1e-9).alias("nearest"))
+    means = a.groupBy("tenant_id", "cluster_id").agg(F.count("*").alias("m_n"), *[F.avg(c).alias(f"m_{c}") for c in rfm.FEATURES])
+    off = F.greatest(*[F.abs(F.col(f"m_{c}") - F.col(c)) for c in rfm.FEATURES])
+    fits = cents.join(means, ["tenant_id", "cluster_id"], "left").groupBy("tenant_id").agg(
+        F.sum("size").alias("sizes"), F.bool_and(F.coalesce(off <= 0.02, F.lit(True))).alias("centroids_are_means"),
+        F.bool_and("converged").alias("converged"))
+    return nearest.join(fits, "tenant_id").select(
+        "tenant_id", "customers", (F.col("sizes") == F.col("customers")).alias("sizes_add_up"),
+        "centroids_are_means", "nearest", "converged")
+
+
+@query("kmeans_sweep_range", covers="G4",
+       sql=S.with_(S.RFM_METRICS, """SELECT tenant_id, CAST(k AS INTEGER) AS k, true AS in_range
+FROM (SELECT tenant_id, count(*) AS n FROM rfm GROUP BY tenant_id), range(2, 10) t(k) WHERE k <= n - 1"""))
+def kmeans_sweep_range(spark, sf_dir):
+    """Every tenant is scored for every k it allows, with scores in their ranges."""
+    s = kmeans_sweep(spark, sf_dir)
+    fine = F.coalesce(F.col("silhouette").between(-1, 1), F.lit(True)) & F.coalesce(F.col("db_index") >= 0, F.lit(True))
+    return s.select("tenant_id", "k", fine.alias("in_range"))
+
+
 @query("kmeans_sweep", covers="G4")
 def kmeans_sweep(spark, sf_dir):
     return rfm.kmeans_sweep(common.rfm_scaled(spark, sf_dir), ks=range(2, 10))

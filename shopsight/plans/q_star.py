@@ -105,6 +105,17 @@ def items_replay(spark, sf_dir):
     return _items_out(loaded_star(spark, sf_dir, batches=(0, 1, 1, 2)).order_items)
 
 
+@query("items_known_only", covers="C7",
+       sql=S.with_(_DIRTY_ITEMS, f"""SELECT {_ITEM_COLS} FROM items
+WHERE substr(client_hash, 1, 1) < '8' AND NOT contains(product_code, '7')"""))
+def items_known_only(spark, sf_dir):
+    """Line items whose customer or product is unknown are skipped."""
+    s = loaded_star(spark, sf_dir)
+    customers = s.customers.filter(F.substring("customer_hash", 1, 1) < "8")
+    products = s.products.filter(~F.contains("product_code", F.lit("7")))
+    return _items_out(st.append_items(None, s.order_items, 0, customers, products))
+
+
 @query("sync_marker", covers="C8 L2",
        sql=S.with_(_DIRTY_ITEMS, """
 SELECT n.n_nationkey AS tenant_id, 'key_' || CAST(n.n_nationkey AS VARCHAR) AS tenant_key,

@@ -79,8 +79,14 @@ RFM_PAYLOAD = T.StructType([
     T.StructField("performance", T.StructType([
         T.StructField("optimized_k", T.IntegerType()),
         T.StructField("silhouette", T.DoubleType()),
+        T.StructField("silhouette_metric", T.StringType()),
         T.StructField("davies_bouldin", T.DoubleType()),
     ])),
+    T.StructField("comparison", T.StructType([
+        T.StructField(c, T.DoubleType()) for c in (
+            "base_silhouette", "base_davies_bouldin", "weighted_silhouette", "weighted_davies_bouldin",
+            "silhouette_diff", "davies_bouldin_diff")
+    ])),
     T.StructField("tuning_history", T.MapType(T.StringType(), T.StructType([
         T.StructField("silhouette", T.DoubleType()),
         T.StructField("db_index", T.DoubleType()),

@@ -2,13 +2,14 @@
 
 Everything that has to survive executor loss (lineage cuts, staged tables,
 stream checkpoints) goes below ``spark.checkpoint.dir``.  On a cluster that
-setting names a shared folder; a local folder is created only when it is unset
-(tests, laptops).
+setting must name a shared folder, and a session without it is refused; only a
+local master gets a temporary folder of its own (tests, laptops).
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -25,6 +26,7 @@ DEFAULTS = {
     # HotSpot does not JIT-compile methods over 8000 bytes of bytecode; a fused stage
     # that large would run interpreted, so let Spark fall back to per-operator code.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -50,18 +52,25 @@ def get_session(app: str = "shopsight", master: str | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; set a local one only if unset."""
+    """The shared checkpoint folder of the session (a local one only on a local master)."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="shopsight-ckpt-")
-    sc.setCheckpointDir(configured)
+    sc.setCheckpointDir(checkpoint_root(sc.master, sc.getConf().get("spark.checkpoint.dir", None)))
     return sc.getCheckpointDir()
 
 
+def checkpoint_root(master: str, configured: str | None) -> str:
+    """The configured folder; without one a temporary folder, but only where driver and
+    executors are one process."""
+    if configured:
+        return configured
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
+    return tempfile.mkdtemp(prefix="shopsight-ckpt-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the checkpoint dir for one staged table or stream."""
     return os.path.join(checkpoint_dir(spark), "shopsight", f"{name}-{uuid.uuid4().hex}")

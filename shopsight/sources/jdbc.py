@@ -9,6 +9,8 @@ arrive ``fetchsize`` at a time.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 
 FEED_COLUMNS = ("client", "sku", "qty", "price", "transaction_date")
@@ -22,8 +24,13 @@ DELTA_PREDICATE = {
 
 
 def normalize_marker_text(marker: str | None) -> str | None:
-    """ISO text -> 'yyyy-MM-dd HH:mm:ss' (driver-side twin of ``scalar.normalize_marker``)."""
-    return marker.replace("T", " ")[:19] if marker else None
+    """ISO text -> 'yyyy-MM-dd HH:mm:ss' in UTC (driver-side twin of ``scalar.normalize_marker``)."""
+    if not marker:
+        return None
+    when = datetime.fromisoformat(marker.strip())
+    if when.tzinfo:
+        when = when.astimezone(timezone.utc)
+    return when.strftime("%Y-%m-%d %H:%M:%S")
 
 
 def source_query(query: str, dialect: str, marker: str | None = None) -> str:
@@ -40,7 +47,14 @@ def source_query(query: str, dialect: str, marker: str | None = None) -> str:
 def read_source(spark: SparkSession, url: str, query: str, dialect: str, marker: str | None = None,
                 partition_column: str | None = None, lower_bound=None, upper_bound=None,
                 num_partitions: int | None = None, fetchsize: int = 1000, **options) -> DataFrame:
-    """A1: the source query as a DataFrame with the five feed columns (by position)."""
+    """A1: the source query as a DataFrame with the five feed columns (by position).
+
+    A split read needs ``partition_column`` and its bounds; ``num_partitions=1`` asks for
+    one connection on purpose (a small source)."""
+    if partition_column is None and num_partitions != 1:
+        raise ValueError("name a partition_column with bounds, or ask for num_partitions=1")
+    if partition_column is not None and (lower_bound is None or upper_bound is None):
+        raise ValueError("partition_column needs lower_bound and upper_bound")
     reader = (spark.read.format("jdbc").option("url", url)
               .option("dbtable", f"({source_query(query, dialect, marker)}) src")
               .option("fetchsize", str(fetchsize)))

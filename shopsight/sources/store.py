@@ -3,32 +3,48 @@
 Plain Parquet has no MERGE and a folder that is being read cannot be
 overwritten, so the star is kept as a log of batches and merged on read:
 
-    <base>/_staging/batch_id=<b>/      the clean batch with order ids (lineage cut)
-    <base>/customers/batch_id=<b>/tenant_id=<t>/
-    <base>/products/batch_id=<b>/tenant_id=<t>/   last price per product in the batch
-    <base>/orders/batch_id=<b>/tenant_id=<t>/
-    <base>/order_items/batch_id=<b>/tenant_id=<t>/
-    <base>/markers/batch_id=<b>/tenant_id=<t>/    newest event time and load time
-
-A batch folder is written with ``overwrite``, so delivering a batch again
-replaces it (idempotent; the reference duplicates line items instead).
+    <base>/_commits/                                one row per delivered batch
+    <base>/_staging/attempt=<a>/                    the batch as read (lineage cut)
+    <base>/<table>/attempt=<a>/tenant_bucket=<n>/   its rows of customers, products (last
+                                                    price per product), orders, order_items
+                                                    and markers (newest event, load time)
+
+Every delivery writes a new attempt and becomes visible with its commit row, so a
+failure between two tables leaves the snapshot as it was.  A batch is known by
+(source, batch id); its newest commit counts, so delivering it again replaces all
+of its rows, tenants that are missing from the new delivery included (the reference
+duplicates line items instead), and streams or loads with equal numbers stay apart.
+Batches take effect in the order of their first commit (``seq``).
+
 ``snapshot`` applies the upsert rules: customers distinct, products last batch
 wins, orders first batch wins, items all rows, markers newest.  ``compact``
-writes a merged snapshot as batch 0 of a new store.
+writes the merged dimensions with the winning ``seq`` and the items under their own
+batches, so a batch that is delivered again afterwards still replaces its items and
+never outranks a later price.  Tenants are dealt over a fixed number of buckets:
+the folders do not grow with the tenants, and a tenant filter reads one bucket.
+
+One loader writes a store at a time.  The commit log (a row per delivery) is read on
+the driver, like any table's list of versions.
 """
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopsight.operators import cleaning
 from shopsight.operators import star as st
 from shopsight.schemas import PRODUCTS
 
 TABLES = ("customers", "products", "orders", "order_items", "markers")
+PER_BATCH = ("order_items", "markers")          # rows that a new delivery replaces even after compaction
+BUCKETS = 16
+COMMIT = ("batch_key string, batch_id long, seq long, attempt string, commit_no long, "
+          "processed long, sent long, filtered long, unknown_key long")
 
 
 def by_tenant(df: DataFrame, *cols: str) -> DataFrame:
@@ -38,56 +54,129 @@ def by_tenant(df: DataFrame, *cols: str) -> DataFrame:
     return df.hint("rebalance", "tenant_id", *cols)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 class StarStore:
-    def __init__(self, base: str):
+    def __init__(self, base: str, buckets: int = BUCKETS):
         self.base = base.rstrip("/")
+        self.buckets = buckets
 
     def path(self, table: str) -> str:
         return f"{self.base}/{table}"
 
+    # --- commit log ---------------------------------------------------------------
+
+    def commits(self, spark: SparkSession) -> DataFrame:
+        """The newest commit of every batch."""
+        if not path_exists(spark, self.path("_commits")):
+            return spark.createDataFrame([], COMMIT)
+        log = spark.read.schema(COMMIT).parquet(self.path("_commits"))
+        newest = F.max_by(F.struct(*log.columns), "commit_no")
+        return log.groupBy(F.col("batch_key").alias("__k")).agg(newest.alias("c")).select("c.*")
+
+    def _commit(self, spark: SparkSession, rows: list[dict]) -> None:
+        names = [c.split()[0] for c in COMMIT.split(", ")]
+        (spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], COMMIT).coalesce(1)
+         .write.mode("append").parquet(self.path("_commits")))
+
+    # --- writing --------------------------------------------------------------------
+
+    def write_feed(self, feed: DataFrame, batch_id: int, seq_cols: Sequence[str], source: str = "load",
+                   keep: Sequence[str] = (), load_time: str | None = None, tenants: DataFrame | None = None
+                   ) -> DataFrame:
+        """One raw feed batch: read and classified once, its clean rows committed; returns the
+        counters per tenant.  With ``tenants``, the integration key is resolved first and
+        rows of unknown keys are only counted."""
+        spark = feed.sparkSession
+        attempt = uuid.uuid4().hex
+        if "tenant_id" not in feed.columns:
+            if tenants is None:
+                raise ValueError("a feed without tenant_id needs the tenant register")
+            feed = feed.drop("tenant_id").join(tenants.select("tenant_key", "tenant_id"), "tenant_key", "left")
+        stage = f"{self.base}/_staging/attempt={attempt}"
+        rows = cleaning.clean_classified(cleaning.classify_feed(feed), ("tenant_id", *keep, *seq_cols), all_rows=True)
+        st.with_order_id(rows).write.parquet(stage)
+        read = spark.read.parquet(stage)
+        known = read.filter(F.col("tenant_id").isNotNull())
+        n = read.agg(F.count("tenant_id").alias("processed"),
+                     F.count_if(F.col("tenant_id").isNotNull() & F.col("reject_reason").isNull()).alias("sent"),
+                     F.count_if(F.col("tenant_id").isNull()).alias("unknown_key")).first()
+        clean = known.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+        self.write_batch(clean, batch_id, seq_cols, load_time, source,
+                         {"processed": n.processed, "sent": n.sent, "filtered": n.processed - n.sent,
+                          "unknown_key": n.unknown_key}, attempt, staged=True)
+        return cleaning.classified_stats(known)
+
     def write_batch(self, clean: DataFrame, batch_id: int, seq_cols: Sequence[str],
-                    load_time: str | None = None) -> None:
-        """Write one clean batch (``clean_feed`` columns + tenant_id + sequence columns)."""
+                    load_time: str | None = None, source: str = "load", counters: dict | None = None,
+                    attempt: str | None = None, staged: bool = False) -> None:
+        """Write and commit one clean batch (``clean_feed`` columns + tenant_id + sequence columns)."""
         spark = clean.sparkSession
-        stage = f"{self.base}/_staging/batch_id={batch_id}"
-        st.with_order_id(clean).write.mode("overwrite").parquet(stage)
-        b = spark.read.parquet(stage)
+        attempt = attempt or uuid.uuid4().hex
+        key = f"{source}:{batch_id}"
+        log = {r.batch_key: r for r in self.commits(spark).select("batch_key", "seq", "commit_no").collect()}
+        last = max((r.commit_no for r in log.values()), default=0)
+        seq = log[key].seq if key in log else max((r.seq for r in log.values()), default=0) + 1
+        b = clean
+        if not staged:
+            stage = f"{self.base}/_staging/attempt={attempt}"
+            st.with_order_id(clean).write.parquet(stage)
+            b = spark.read.parquet(stage)
         stamp = F.lit(load_time).cast("timestamp_ntz") if load_time else F.localtimestamp()
-        parts = {
+        self._write(attempt, {
             "customers": b.select("tenant_id", F.col("client_hash").alias("customer_hash")).distinct(),
             "products": st.latest_prices(b, seq_cols),
             "orders": st.batch_orders(b),
-            "order_items": st.batch_items(b, batch_id).drop("batch_id"),
+            "order_items": st.batch_items(b, batch_id),
             "markers": b.groupBy("tenant_id").agg(F.max("transaction_date").alias("event_marker"),
                                                   F.count(F.lit(1)).alias("rows"))
                          .withColumn("ingest_marker", stamp),
-        }
-        # five independent writes of the staged batch: submit them as concurrent jobs
+        }, F.lit(key), F.lit(seq).cast("long"))
+        self._commit(spark, [{"batch_key": key, "batch_id": batch_id, "seq": seq, "attempt": attempt,
+                              "commit_no": last + 1, **(counters or {})}])
+
+    def _write(self, attempt: str, parts: dict[str, DataFrame], key=None, seq=None) -> None:
+        """Five independent writes of one attempt, submitted as concurrent jobs."""
         def write(item):
             name, df = item
-            (by_tenant(df).write.mode("overwrite").partitionBy("tenant_id")
-               .parquet(f"{self.path(name)}/batch_id={batch_id}"))
+            if key is not None:
+                df = df.withColumns({"batch_key": key, "seq": seq})
+            df = df.withColumn("tenant_bucket", F.pmod(F.hash(F.col("tenant_id").cast("long")), F.lit(self.buckets)))
+            (df.hint("rebalance", "tenant_bucket").write.partitionBy("tenant_bucket")
+               .parquet(f"{self.path(name)}/attempt={attempt}"))
 
         with ThreadPoolExecutor(max_workers=len(parts)) as pool:
             list(pool.map(write, parts.items()))
 
-    def _read(self, spark: SparkSession, table: str) -> DataFrame:
-        return spark.read.option("basePath", self.path(table)).parquet(self.path(table))
+    # --- reading ----------------------------------------------------------------------
+
+    def _read(self, spark: SparkSession, table: str, tenant_id: int | None = None) -> DataFrame:
+        """Committed rows of a table, of one tenant if asked (one bucket is read)."""
+        log = self.commits(spark).select("batch_key", "attempt")
+        attempts = sorted({r.attempt for r in log.collect()})
+        if not attempts:
+            raise ValueError(f"{self.base} holds no committed batch")
+        df = spark.read.option("basePath", self.path(table)).parquet(
+            *[f"{self.path(table)}/attempt={a}" for a in attempts])
+        if tenant_id is not None:
+            bucket = F.pmod(F.hash(F.lit(tenant_id).cast("long")), F.lit(self.buckets))
+            df = df.filter((F.col("tenant_bucket") == bucket) & (F.col("tenant_id") == tenant_id))
+        if table in PER_BATCH:
+            df = df.join(log, ["batch_key", "attempt"], "left_semi")
+        return df
 
     def snapshot(self, spark: SparkSession, tenants: DataFrame | None = None,
-                 marker_mode: str = "event") -> st.Star:
-        cust = self._read(spark, "customers").select("tenant_id", "customer_hash").distinct()
-        prod = (self._read(spark, "products").groupBy("tenant_id", "product_code")
-                .agg(F.max_by("price", "batch_id").cast(PRODUCTS["price"].dataType).alias("price")))
-        o = self._read(spark, "orders")
-        orders = (o.groupBy("order_id").agg(F.min_by(F.struct(
-                      "tenant_id", "customer_hash", "transaction_date", "order_number"), "batch_id").alias("o"))
-                   .select("order_id", "o.tenant_id", "o.customer_hash", "o.transaction_date",
-                           "o.order_number"))
-        items = self._read(spark, "order_items").select(
+                 marker_mode: str = "event", tenant_id: int | None = None) -> st.Star:
+        cust = self._read(spark, "customers", tenant_id).select("tenant_id", "customer_hash").distinct()
+        prod = self._products(spark, tenant_id).drop("seq", "batch_key")
+        orders = self._orders(spark, tenant_id).drop("seq", "batch_key")
+        items = self._read(spark, "order_items", tenant_id).select(
             "order_id", "tenant_id", "product_code", "quantity", "price", "customer_hash",
             "transaction_date", F.col("batch_id").cast("long").alias("batch_id"))
-        m = self._read(spark, "markers").groupBy("tenant_id").agg(
+        m = self._read(spark, "markers", tenant_id).groupBy("tenant_id").agg(
             F.max("event_marker" if marker_mode == "event" else "ingest_marker").alias("__m"))
         if tenants is None:
             tenants = m.select("tenant_id").withColumn("company_name", F.lit(None).cast("string")) \
@@ -98,18 +187,34 @@ class StarStore:
               if c == "last_sync_date" else F.col(c) for c in tenants.columns])
         return st.Star(tenants=t, customers=cust, products=prod, orders=orders, order_items=items)
 
+    def _products(self, spark: SparkSession, tenant_id: int | None = None) -> DataFrame:
+        return (self._read(spark, "products", tenant_id).groupBy("tenant_id", "product_code")
+                .agg(F.max_by(F.struct("price", "batch_key"), "seq").alias("p"), F.max("seq").alias("seq"))
+                .select("tenant_id", "product_code", F.col("p.price").cast(PRODUCTS["price"].dataType).alias("price"),
+                        "p.batch_key", "seq"))
+
+    def _orders(self, spark: SparkSession, tenant_id: int | None = None) -> DataFrame:
+        # the tenant is part of the key, so a tenant filter reaches the scan
+        return (self._read(spark, "orders", tenant_id).groupBy("tenant_id", "order_id")
+                .agg(F.min_by(F.struct("customer_hash", "transaction_date", "order_number", "batch_key"), "seq")
+                     .alias("o"), F.min("seq").alias("seq"))
+                .select("order_id", "tenant_id", "o.customer_hash", "o.transaction_date", "o.order_number",
+                        "o.batch_key", "seq"))
+
     def compact(self, spark: SparkSession, new_base: str) -> "StarStore":
-        """Write the merged snapshot into a new store (the old one is left untouched):
-        dimensions and headers as batch 0, items and markers under their own batch ids."""
-        s = self.snapshot(spark)
-        new = StarStore(new_base)
-        for name in ("customers", "products", "orders"):
-            (by_tenant(getattr(s, name)).write.mode("overwrite").partitionBy("tenant_id")
-             .parquet(f"{new.path(name)}/batch_id=0"))
-        (by_tenant(s.order_items, "batch_id")
-         .write.mode("overwrite").partitionBy("batch_id", "tenant_id").parquet(new.path("order_items")))
-        (self._read(spark, "markers").write.mode("overwrite").partitionBy("batch_id", "tenant_id")
-         .parquet(new.path("markers")))
+        """Write the merged snapshot into a new store (the old one is left untouched)."""
+        new = StarStore(new_base, self.buckets)
+        attempt = f"compact-{uuid.uuid4().hex}"
+        own = lambda name: self._read(spark, name).drop("attempt", "tenant_bucket")
+        new._write(attempt, {
+            "customers": own("customers").groupBy("tenant_id", "customer_hash").agg(
+                F.min_by("batch_key", "seq").alias("batch_key"), F.min("seq").alias("seq")),
+            "products": self._products(spark), "orders": self._orders(spark),
+            "order_items": own("order_items"), "markers": own("markers")})
+        rows = [r.asDict() | {"attempt": attempt} for r in self.commits(spark).collect()]
+        # the compacted dimensions stay, also when all their batches are delivered again
+        rows.append({"batch_key": f"{attempt}:0", "seq": 0, "attempt": attempt, "commit_no": 0})
+        new._commit(spark, rows)
         return new
 
 
@@ -134,21 +239,25 @@ class ReportStore:
     def headers(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.base}/headers")
 
+    def is_empty(self, spark: SparkSession) -> bool:
+        return not path_exists(spark, f"{self.base}/headers")
+
     def retain(self, spark: SparkSession, new_base: str, keep: int = 3,
                details: tuple = ("rules", "assignments")) -> "ReportStore":
         """E1 as a rewrite: the ``keep`` newest reports per (tenant, type) and only
         their detail rows go to ``new_base`` (the store being read is not overwritten)."""
         from shopsight.operators.reports import retain_latest
-        kept = retain_latest(self.headers(spark), keep)
         new = ReportStore(new_base)
+        if self.is_empty(spark):
+            return new
+        kept = retain_latest(self.headers(spark), keep)
         by_tenant(kept).write.mode("overwrite").partitionBy("tenant_id", "report_type").parquet(
             f"{new.base}/headers")
         ids = spark.read.parquet(f"{new.base}/headers").select("report_id")
         for name in details:
-            try:
-                d = self.details(spark, name)
-            except Exception:          # this store has no such detail table yet
-                continue
+            if not path_exists(spark, f"{self.base}/{name}"):
+                continue               # this store has no such detail table yet
+            d = self.details(spark, name)
             (by_tenant(d.join(ids, "report_id", "left_semi")).write.mode("overwrite")
              .partitionBy("tenant_id").parquet(f"{new.base}/{name}"))
         return new

@@ -21,25 +21,8 @@ UNKNOWN_TENANT_KEY = "key_unknown"
 N_BATCHES = 3
 
 
-# Fact tables whose scans carry the per-row work (hashing, parsing).
-FACT_TABLES = ("lineitem", "orders", "events")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in FACT_TABLES else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a scan that yields fewer splits than the cluster has cores (a small
-    file with one row group).  Large inputs already have many splits and are left
-    alone, so this never adds a shuffle at scale."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()          # planning only, no job
-    except Exception:                               # e.g. Spark Connect: no RDD view
-        return df
-    return df.repartition(cores) if splits < cores else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +54,11 @@ def feed_from_lines(spark: SparkSession, sf_dir: str, lineitem: DataFrame) -> Da
 
 def dirty_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed with fixed defects keyed on ``l_orderkey`` (quantity as text)."""
-    f = feed(spark, sf_dir)
+    return with_defects(feed(spark, sf_dir))
+
+
+def with_defects(f: DataFrame) -> DataFrame:
+    """A clean feed (a whole table or one streamed batch) with the fixed defects."""
     k = F.col("l_orderkey")
     client = (F.when(k % 17 == 0, F.lit(None).cast("string"))
                .when(k % 19 == 0, F.lit("  "))

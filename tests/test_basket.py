@@ -77,3 +77,51 @@ def test_rules_in_range_and_lift_class(spark):
     assert bk.rules_in_range(r, 0.1, 0.1, 0.3, 0.6).count() == 3       # empty range: no filter
     cls = [x.lift_class for x in bk.classify_lift(r).orderBy("support").collect()]
     assert cls == ["target", "background", "background"]
+
+
+def test_no_product_is_cut_by_default(spark):
+    from shopsight.plans import jobs
+    n = 2100
+    rows = [(1, f"o{i % 700}", f"p{i}") for i in range(n)]
+    tx = spark.createDataFrame(rows, "tenant_id int, order_id string, product_code string")
+    assert bk.keep_top_items(tx, None).count() == n
+    assert bk.frequent_itemsets(bk.baskets(tx), 0.001).filter("n_items = 1").count() == n
+    headers, rules = jobs.run_basket(tx, min_support=0.001, min_confidence=0.9)
+    assert headers.count() == 1 and rules.count() == 700 * 12        # every triple: 6 single and 6 double splits
+
+
+def test_large_itemset_gives_rules(spark):
+    """A 21-item set whose confidences are only reached with one item on the right."""
+    items = [f"i{k:02d}" for k in range(21)]
+    sets = [(1, items, 21, 0.5)] + [(1, [x], 1, 0.5) for x in items]
+    sets += [(1, items[:k] + items[k + 1:], 20, 0.6) for k in range(21)]
+    sets += [(1, [x for x in items if x not in pair], 19, 0.9) for pair in itertools.combinations(items, 2)]
+    df = spark.createDataFrame(sets, "tenant_id int, items array<string>, n_items int, support double")
+    rules = bk.association_rules(df, 0.8)
+    assert rules.filter("size(consequent) = 1 and size(antecedent) = 20").count() == 21
+    assert rules.filter("size(consequent) > 1").count() == 0
+
+
+def test_empty_baskets_and_no_frequent_sets(spark):
+    tx = spark.createDataFrame([], "tenant_id int, order_id string, product_code string")
+    sets = bk.frequent_itemsets(bk.baskets(tx), 0.1)
+    assert sets.count() == 0 and bk.association_rules(sets, 0.1).count() == 0
+    assert bk.frequent_itemsets(bk.baskets(tx, ()), 0.1, keys=()).count() == 0
+    lone = spark.createDataFrame([(1, f"o{i}", f"p{i}") for i in range(20)], tx.schema)
+    sets = bk.frequent_itemsets(bk.baskets(lone), 0.5)
+    assert sets.count() == 0 and bk.association_rules(sets, 0.1).count() == 0
+
+
+def test_every_tenant_has_a_status(spark):
+    from shopsight.plans import jobs
+    rows = [(1, f"o{i}", p) for i in range(12) for p in "ab"]                    # done
+    rows += [(2, f"o{i}", p) for i in range(9) for p in "ab"]                    # too few orders
+    rows += [(3, f"o{i}", f"p{i}") for i in range(12)]                           # nothing frequent
+    rows += [(4, f"o{i}", "a") for i in range(12)]                               # frequent, but no rule
+    tx = spark.createDataFrame(rows, "tenant_id int, order_id string, product_code string")
+    tenants = spark.createDataFrame([(i,) for i in range(1, 6)], "tenant_id int")
+    headers, _ = jobs.run_basket(tx, min_support=0.5)
+    got = {r.tenant_id: (r.status, r.reason, r.n) for r in jobs.basket_status(tx, headers, tenants).collect()}
+    none = "no frequent itemset or no rule"
+    assert got == {1: ("done", None, 12), 2: ("skipped", "fewer than 10 orders", 9), 3: ("skipped", none, 12),
+                   4: ("skipped", none, 12), 5: ("skipped", "fewer than 10 orders", 0)}

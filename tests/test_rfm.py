@@ -104,3 +104,41 @@ def test_exact_mean_rounding_ties(spark):
     assert r.m == 0.79                     # (0.175 + 0.195 + 2.0) / 3 = 0.79
     df2 = spark.createDataFrame([(1, 0, 0.37), (1, 0, 0.0)], "tenant_id int, cluster_id int, m double")
     assert rfm.cluster_summary(df2, cols=("m",)).first().m == 0.19     # 0.185 rounds half up
+
+
+def test_salted_join_spreads_a_hot_tenant(spark):
+    from pyspark.sql import functions as F
+    from shopsight.operators import rfm
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 300).cast("int").alias("tenant_id"),
+                                    F.col("id").alias("buyer_id"), (F.col("id") % 97).cast("double").alias("recency"),
+                                    (F.col("id") % 13).cast("double").alias("frequency"), (F.col("id") % 31).cast("double").alias("monetary"))
+    z = rfm.standardize(rows)
+    assert z.count() == 9000
+    got = z.groupBy("tenant_id").agg(F.avg("recency").alias("m"), F.stddev_pop("recency").alias("s")).filter("abs(m) > 1e-9 or abs(s - 1) > 1e-9 and s <> 0")
+    assert got.count() == 0
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rfm.standardize(rows)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "hashpartitioning(tenant_id" in plan and "__salt" in plan
+
+
+def test_kmeans_reports_convergence(spark):
+    from shopsight.operators import rfm
+    rows = [(1, i, float(i % 2) * 10 + i * 0.001, 0.0, float(i % 2) * 10) for i in range(60)]
+    df = spark.createDataFrame(rows, "tenant_id int, buyer_id long, recency double, frequency double, monetary double")
+    done = rfm.kmeans_fit(df, k=2).collect()
+    assert all(r.converged and 1 <= r.iterations < 300 for r in done) and sorted(r.size for r in done) == [30, 30]
+    cut = rfm.kmeans_fit(df, k=[2, 5], max_iter=1).collect()
+    assert {r.iterations for r in cut} == {1} and len(cut) == 7
+
+
+def test_kpis_of_tenants_without_items(spark):
+    from shopsight.operators import kpi
+    items = spark.createDataFrame([(1, "a", 2, 3.0)], "tenant_id int, customer_hash string, quantity int, price double")
+    tenants = spark.createDataFrame([(1,), (2,)], "tenant_id int")
+    got = {r.tenant_id: (r.total_revenue, r.total_customers, r.avg_revenue_per_customer)
+           for r in kpi.kpis(items, tenants=tenants).collect()}
+    assert got == {1: (6.0, 1, 6.0), 2: (0.0, 0, 0.0)}

@@ -57,3 +57,19 @@ def test_clean_advice(spark):
     df = spark.createDataFrame([("  **Порада** один.\n* Два • три.  ",)], "t string")
     assert df.select(S.clean_advice("t")).first()[0] == "Порада один.  Два  три."
     assert not math.isnan(0.0)
+
+
+def test_marker_offsets_are_applied(spark):
+    from shopsight.sources.jdbc import normalize_marker_text
+    cases = {"2024-05-01T10:11:12.999+00:00": "2024-05-01 10:11:12", "2024-05-01T10:11:12+02:00": "2024-05-01 08:11:12",
+             "2024-05-01T00:30:00-05:30": "2024-05-01 06:00:00", "2024-05-01T10:11:12Z": "2024-05-01 10:11:12",
+             "2024-05-01 10:11:12.5": "2024-05-01 10:11:12"}
+    df = spark.createDataFrame([(k,) for k in cases], "m string")
+    assert {r.m: r.t for r in df.select("m", S.normalize_marker("m").alias("t")).collect()} == cases
+    assert {k: normalize_marker_text(k) for k in cases} == cases
+
+
+def test_prompt_texts():
+    from shopsight.operators import advice
+    assert "Одне речення описує одну пораду. \n    2. " in advice.SEGMENT_PROMPT
+    assert "    Дані аналізу: \n    Користувачі" in advice.BUNDLE_PROMPT
