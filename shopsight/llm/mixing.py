@@ -11,8 +11,8 @@ take every document; the rest of the budget goes down the key order.
 
 Scale: the prefix sum of a source is never one task.  Rows are dealt over ``buckets`` key
 ranges per source, bucket totals (at most ``buckets`` rows a source) are summed up in
-order, and each bucket sums its own rows from there.  One shuffle of (id, source, size,
-key) rows; texts never move.
+order, and each bucket sums its own rows from there.  Texts are read once, for their size
+and quality; after that one shuffle of (id, source, size, key) rows.
 
 Defined cases: null text has size 0 and takes 0; the null source is a source of its own,
 last in order; a null doc_id gets the key of the empty string; repeated ids are separate
@@ -25,14 +25,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
+from shopsight.llm.common import staged
+
 SYMBOLS = "#*$%&|<>"
 WEIGHTS = (5, 2, 1)
 SEED = "mix-1"
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+    """Runs of characters other than the six ASCII blanks: blanks become single spaces, which
+    are counted by length, so no word is ever built."""
+    for blank in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    flat = F.trim(F.regexp_replace(text, " {2,}", " "))
+    gaps = F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit("")))
+    return F.when(F.length(flat) > 0, gaps + 1).otherwise(0).cast("bigint")
 
 
 def quality(text: Column, size: Column) -> Column:
@@ -72,9 +79,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0, max_epochs: i
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_epochs: int = 3,
         buckets: int = 1024, seed: str = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for every row of (doc_id, text, source)."""
-    size = n_words(F.col("text"))
-    rows = (docs.select("doc_id", "source", "text").withColumn("size", size)
-            .withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / quality(F.col("text"), F.col("size")))
+    size, quality_of = F.col("size"), quality(F.col("text"), F.col("size"))
+    read = docs.select("doc_id", "source", "text", n_words(F.col("text")).alias("size"))
+    weighed = staged(read.select("doc_id", "source", size, quality_of.alias("quality")), "mix-sizes")   # texts are read once
+    rows = (weighed.withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("quality"))
             .select("doc_id", "source", "size", "key",
                     F.floor(F.lit(buckets) * F.col("key") / (1 + F.col("key"))).alias("bucket")))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
