@@ -45,3 +45,11 @@ def test_stream_equals_batch(spark, tmp_dir):
     q2.awaitTermination()
     assert store.snapshot(spark).order_items.count() == len(exp)
     assert F is not None
+
+
+def test_entry_without_the_training_data_modules(monkeypatch):
+    import sys
+    m = _entry()
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)       # as if it were not installed
+    assert m._training_data() == ({}, {})
+    assert "kpis_by_tenant" in m.queries() and "pipeline" not in m.queries()
