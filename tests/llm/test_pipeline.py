@@ -53,3 +53,9 @@ def test_stages_keep_the_columns(spark, tmp_dir):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == docs.columns, name
         assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
+def test_all_operators_are_registered():
+    from shopsight.llm.queries import QUERIES, SQL
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert set(SQL) <= set(QUERIES) and 4 <= len(corpus_pipeline.STAGES) <= 5
