@@ -7,13 +7,13 @@ at similarity 0.75 misses all bands with probability (1 - 0.75^4)^32 = 5e-6.
 
 Links without all pairs:
 1. Equal sets collapse to one node (128-bit set digest, map-side combined).
-2. In every bucket each node is paired with the bucket's smallest node; a node keeps the
-   centre it meets in most bands.  One edge per node, verified by exact Jaccard.
-3. A bucket whose nodes are all in one component is settled.  In the others only nodes of
-   different components are compared, if sizes allow 0.75 and 128 one-bit coordinates agree
-   in 88 or more (a linked pair fails that with probability below 1e-9); what remains is
-   verified exactly.  So no link between different texts of a shared bucket is lost and no
-   group of copies is expanded.
+2. In every bucket each node is paired with the bucket's centre, the node that shares most
+   buckets; a node keeps the centre it meets in most bands.  One edge per node, verified by
+   exact Jaccard.
+3. A bucket whose nodes are all in one component is settled.  The nodes of the others go
+   through an exact similarity join by rarest shingles, across components only, and what
+   meets there is verified.  So no link between different texts of a shared bucket is lost
+   and no group of copies is expanded.
 Verification reads the whole sets again, for the texts of some candidate edge only.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; a text of
@@ -37,7 +37,6 @@ from shopsight.llm.components import components
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
-AGREE = 88
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -85,10 +84,6 @@ def signatures(values: np.ndarray, starts: np.ndarray, count: int = BANDS * ROWS
     return out
 
 
-def _bits(flags: np.ndarray) -> np.ndarray:
-    return np.packbits(flags, axis=1).view("<u8").reshape(len(flags), flags.shape[1] // 64)
-
-
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in ta.text_batches(batches):
         values, off = shingle_sets(b.column("text"))
@@ -100,17 +95,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for j in range(ROWS):
             keys = ta.mix(keys * ta.U(3) + sig[:, j::ROWS].astype(ta.U) + ta.U(1))
         keys = ta.mix(keys + np.arange(BANDS, dtype=ta.U) * ta.U(0x9E3779B97F4A7C15))
-        sketch = _bits((sig & np.uint32(1)).astype(bool))
-        total = np.zeros((b.num_rows, 4), np.int64)
+        total = np.zeros((b.num_rows, 2), np.int64)
         if len(some):
             total[some, 0] = ta.signed(np.add.reduceat(ta.mix(values), starts))
             total[some, 1] = ta.signed(np.add.reduceat(ta.mix(values ^ ta.U(0x5851F42D4C957F2D)), starts))
-            total[some, 2:] = sketch.view(np.int64)
         boff = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))])
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(sizes), *[pa.array(np.ascontiguousarray(total[:, c])) for c in range(4)],
+            [b.column("doc_id"), pa.array(sizes), *[pa.array(np.ascontiguousarray(total[:, c])) for c in range(2)],
              ta.list_array(ta.signed(keys.ravel()), boff)],
-            names=["doc_id", "n_shingles", "d1", "d2", "s1", "s2", "bands"])
+            names=["doc_id", "n_shingles", "d1", "d2", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,13 +113,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["id", "shingles"])
 
 
-def _verified(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """The edges (a, b) with Jaccard similarity of 0.75 or more on the whole sets."""
-    edges = staged(edges, "candidates")
-    ids = staged(edges.select(F.col("a").alias("doc_id"))
-                 .unionByName(edges.select(F.col("b").alias("doc_id"))).distinct(), "candidate-ids")
-    sets = staged(docs.join(small(ids), "doc_id", "left_semi")
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, shingles): whole sets of the given documents (ids: staged, distinct)."""
+    return staged(docs.join(small(ids), "doc_id", "left_semi")
                   .mapInArrow(_sets, "id bigint, shingles array<bigint>"), "candidate-sets")
+
+
+def _verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """The edges (a, b) with Jaccard similarity of 0.75 or more on the whole sets."""
     pairs = (edges.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
              .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -139,44 +133,70 @@ def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per input row."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed = staged(docs.mapInArrow(_sign, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, "
-                                           "s1 bigint, s2 bigint, bands array<bigint>"), "signatures")
+                                           "bands array<bigint>"), "signatures")
     named = signed.filter("n_shingles > 0 and doc_id is not null")
     nodes = staged(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "nodes")
     reps = (named.join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "d1", "d2"])
-            .select(F.col("doc_id").alias("node"), "n_shingles", "s1", "s2", "bands"))
+            .select(F.col("doc_id").alias("node"), "bands"))
     entries = reps.select("node", F.explode("bands").alias("key"))
-    centres = entries.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other")) \
-        .filter("centre <> other").drop("other")
-    shared = staged(entries.join(centres, "key"), "buckets")
-    met = (shared.filter("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("hits"))
-           .groupBy("node").agg(F.max(F.struct("hits", (-F.col("centre")).alias("minus"))).alias("best")))
-    first = _verified(docs, met.select(F.col("node").alias("a"), (-F.col("best.minus")).alias("b")))
+    sizes = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = staged(entries.join(sizes, "key"), "buckets")
+    # a bucket's centre: the node that shares most buckets with most nodes
+    weight = shared.groupBy("node").agg(F.sum("n").alias("w"))
+    centres = (shared.join(weight, "node").groupBy("key")
+               .agg(F.max(F.struct("w", (-F.col("node")).alias("minus"))).alias("c"))
+               .select("key", (-F.col("c.minus")).alias("centre"), F.col("c.w").alias("w")))
+    met = (shared.join(centres, "key").filter("node <> centre")
+           .groupBy("node", "centre", "w").agg(F.count("*").alias("hits"))
+           .groupBy("node").agg(F.max(F.struct("hits", "w", (-F.col("centre")).alias("minus"))).alias("best")))
+    star = staged(met.select(F.col("node").alias("a"), (-F.col("best.minus")).alias("b")), "star")
+    ends = star.select(F.col("a").alias("doc_id")).unionByName(star.select(F.col("b").alias("doc_id")))
+    first = _verified(star, _sets_of(docs, staged(ends.distinct(), "star-ids")))
     one = components(first)
-    links = first.unionByName(_cross_links(docs, reps, shared, one))
+    links = first.unionByName(_cross_links(docs, shared, one))
     comp = staged(nodes.join(components(links).withColumnRenamed("id", "node"), "node", "left")
                   .select("d1", "d2", "node", F.coalesce("component", "node").alias("component")), "classes")
-    rows = signed.drop("s1", "s2", "bands").join(comp.select("d1", "d2", "component"), ["d1", "d2"], "left")
+    rows = signed.drop("bands").join(comp.select("d1", "d2", "component"), ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _cross_links(docs: DataFrame, reps: DataFrame, shared: DataFrame, comp: DataFrame) -> DataFrame:
-    """Verified links between different components that still share a bucket."""
-    marked = shared.join(comp.select(F.col("id").alias("node"), "component"), "node", "left") \
-        .select("key", "node", F.coalesce("component", "node").alias("component"))
-    marked = staged(marked, "marked")
-    open_keys = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
-        .filter("lo <> hi").select("key")
-    sketches = reps.select("node", "n_shingles", "s1", "s2")
-    rows = staged(marked.join(open_keys, "key").join(sketches, "node"), "open-buckets")
+def _cross_links(docs: DataFrame, shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """Verified links between different components, among the nodes of buckets that hold
+    more than one component: an exact similarity join by rarest shingles.
+
+    With shingles in one global order, rarest first, a pair at 0.75 has its first common
+    shingle among the first quarter of both sets, early enough that the rest of either set
+    can still hold the overlap that the two sizes ask for.  Far copies of one text spend
+    these places on their own changes, so they are never paired."""
+    marked = staged(shared.join(comp.select(F.col("id").alias("node"), "component"), "node", "left")
+                    .select("key", "node", F.coalesce("component", "node").alias("component")), "marked")
+    nodes = staged(_several(marked, "key").select("node", "component").distinct(), "open-nodes")
+    sets = _sets_of(docs, staged(nodes.select(F.col("node").alias("doc_id")).distinct(), "open-ids"))
+    words = (sets.join(nodes, sets["id"] == nodes["node"])
+             .select("node", "component", F.xxhash64("shingles").alias("set"), F.explode("shingles").alias("s")))
+    common = words.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
+    rarest = (words.join(common, "s", "left").groupBy("node", "component", "set")
+              .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("w"))
+              .withColumn("n", F.size("w")))
+    first = F.slice("w", F.lit(1), F.col("n") - F.floor((3 * F.col("n") + 3) / 4).cast("int") + 1)
+    places = staged(rarest.select("node", "component", "n", F.posexplode(first).alias("at", "x"))
+                    .filter("x.df > 1").select("node", "component", "n", "at", "x.s"), "places")
+    rows = staged(_several(places, "s"), "meeting-places")
     x, y = rows.alias("x"), rows.alias("y")
-    agree = 128 - F.bit_count(F.expr("x.s1 ^ y.s1")) - F.bit_count(F.expr("x.s2 ^ y.s2"))
-    near = ((F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
-            & (100 * F.least("x.n_shingles", "y.n_shingles") >= 75 * F.greatest("x.n_shingles", "y.n_shingles"))
-            & (agree >= AGREE))
+    rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    near = ((F.col("x.s") == F.col("y.s")) & (F.col("x.component") < F.col("y.component"))
+            & (175 * rest >= 75 * (F.col("x.n") + F.col("y.n"))))
     pairs = x.join(y, near).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
-    return _verified(docs, pairs.distinct())
+    return _verified(staged(pairs.distinct(), "cross-pairs"), sets)
+
+
+def _several(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of keys that hold more than one component."""
+    keys = rows.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
+        .filter("lo <> hi").select(key)
+    return rows.join(keys, key)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
