@@ -174,8 +174,9 @@ def _cross_links(docs: DataFrame, shared: DataFrame, comp: DataFrame) -> DataFra
                     .select("key", "node", F.coalesce("component", "node").alias("component")), "marked")
     nodes = staged(_several(marked, "key").select("node", "component").distinct(), "open-nodes")
     sets = _sets_of(docs, staged(nodes.select(F.col("node").alias("doc_id")).distinct(), "open-ids"))
-    words = (sets.join(nodes, sets["id"] == nodes["node"])
-             .select("node", "component", F.xxhash64("shingles").alias("set"), F.explode("shingles").alias("s")))
+    named = sets.select("id", "shingles", F.xxhash64("shingles").alias("set"))     # once a set, not once a shingle
+    words = (named.join(nodes, named["id"] == nodes["node"])
+             .select("node", "component", "set", F.explode("shingles").alias("s")))
     common = words.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
     rarest = (words.join(common, "s", "left").groupBy("node", "component", "set")
               .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("w"))
