@@ -41,6 +41,7 @@ from shopsight.llm import textarrays as ta
 from shopsight.llm.common import staged
 
 SIZE = 35
+BLOCK_BYTES = 4 << 20             # of text
 ROUNDS = 16                       # a round shortens every window; none of 35 words lasts so long
 MIN_SLOTS = 64
 BROADCAST_BYTES = 64 << 20        # answers of all blocks together up to this size are broadcast
@@ -139,7 +140,7 @@ def _flags(masks, slot: np.ndarray) -> np.ndarray:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
-    for k, b in enumerate(ta.text_batches(batches)):
+    for k, b in enumerate(ta.text_batches(batches, max_bytes=BLOCK_BYTES)):
         data, off = ta.bytes_of(b.column("text"))
         yield pa.RecordBatch.from_arrays(
             [pa.array([(part << 32) + k], pa.int64()),

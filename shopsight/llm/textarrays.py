@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 9, 10, 11, 12, 13]] = True
 U = np.uint64

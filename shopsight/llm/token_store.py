@@ -2,7 +2,7 @@
 
 Documents are ranged by id over tasks, each task encodes its texts with the ``tokenizers``
 library (asked once per distinct piece: the pattern drops blanks, so a text's ids are its
-pieces' ids), ends every document with ``END`` and writes blocks of about 4 MB of text.
+pieces' ids), ends every document with ``END`` and writes blocks of about 8 MB of text.
 
 Block format (one Parquet row): ``shard, block`` order the blocks by document id;
 ``doc_ids`` and ``doc_symbols`` give every document and its number of grammar symbols;
@@ -41,6 +41,7 @@ from shopsight.llm.common import small
 from shopsight.session import scratch_path
 
 END = 2
+BLOCK_BYTES = 8 << 20    # of text
 FREQUENT = 1024          # symbols whose pairs a round counts
 PER_ROUND = 512          # nonterminals a round may add
 MIN_COUNT = 24           # a pair must occur so often in a block to pay for its rule
@@ -261,7 +262,7 @@ def _writer(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, enc = TaskContext.get().partitionId(), encoder(path)
         base = enc.base
-        for k, b in enumerate(ta.text_batches(batches, max_bytes=2 * ta.BATCH_BYTES)):
+        for k, b in enumerate(ta.text_batches(batches, max_bytes=BLOCK_BYTES)):
             ids, off = enc.encode(b.column("text"), end)
             sym, soff, rules = compress(ids, off, base)
             width = 2 if base + len(rules) <= 1 << 16 else 4
