@@ -11,8 +11,12 @@ Block format (one Parquet row): ``shard, block`` order the blocks by document id
 id range of a document is found from running lengths and only its symbols are expanded.
 Pairs never cross documents.  ``width`` is the bytes per symbol.
 
-Re-Pair: rounds count adjacent pairs among the block's most frequent symbols, give the
-frequent ones nonterminals and replace them left to right, until no pair pays.
+Re-Pair: rounds count all adjacent pairs, give the frequent ones nonterminals and replace
+them, the most frequent first, until no pair pays: ``RULE_BYTES`` a rule against ``width`` a
+hit.  What counts as frequent falls by eighths down to what pays; within a step only pairs
+that are new or were frequent are counted again.  Where the nonterminals use up two bytes,
+rounds go on with four, unless the places left cannot make up for the wider symbols, and the
+smaller of both results is kept.
 
 Spark's own Parquet writer commits the files in the shared folder, so a lost executor's
 blocks are written again and never seen twice.  Offsets: block totals are summed per
@@ -42,10 +46,7 @@ from shopsight.session import scratch_path
 
 END = 2
 BLOCK_BYTES = 8 << 20    # of text
-FREQUENT = 1024          # symbols whose pairs a round counts
-PER_ROUND = 512          # nonterminals a round may add
-MIN_COUNT = 24           # a pair must occur so often in a block to pay for its rule
-ROUNDS = 10
+RULE_BYTES = 12          # a rule's pair and its length
 SPLIT = "<|startoftext|>"
 
 BLOCK_SCHEMA = ("shard int, block int, n_tokens bigint, base int, width int, doc_ids array<bigint>, "
@@ -174,70 +175,182 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _width(symbols: int) -> int:
+    """Bytes per symbol."""
+    return 2 if symbols <= 1 << 16 else 4
+
+
+def _apart(rank: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Places taken highest rank first, none next to another; ``near`` says which follow each other."""
+    place, taken = np.arange(len(rank)), []
+    while len(place):
+        r = rank[place]
+        by = near[place[:-1]] & (np.diff(place) == 1)
+        win = np.ones(len(place), bool)
+        win[1:] &= ~(by & (r[:-1] > r[1:]))
+        win[:-1] &= ~(by & (r[:-1] < r[1:]))
+        gone = win.copy()
+        gone[1:] |= win[:-1] & by
+        gone[:-1] |= win[1:] & by
+        taken.append(place[win])
+        place = place[~gone]
+    return np.sort(np.concatenate(taken)) if taken else place
+
+
+class _Sequence:
+    """A block's symbols, linked within their documents; replaced symbols are -1."""
+
+    def __init__(self, ids: np.ndarray, off: np.ndarray):
+        n = self.n = len(ids)
+        self.off = off
+        self.sym = np.append(ids.astype(np.int32), np.int32(-1))
+        self.after, self.before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        self.after[off[1:] - 1] = self.before[off[:-1]] = n
+
+    def pairs(self) -> np.ndarray:
+        """Where pairs start, after closing the gaps."""
+        left = np.flatnonzero(self.sym[:-1] >= 0)
+        if len(left) < self.n:
+            ends = self.after[left] == self.n
+            self.off = np.searchsorted(left, self.off)
+            n = self.n = len(left)
+            self.sym = np.append(self.sym[left], np.int32(-1))
+            self.after, self.before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+            self.after[:-1][ends] = self.before[:-1][np.concatenate([[True], ends[:-1]])] = n
+        return np.flatnonzero(self.after[:-1] < self.n).astype(np.int32)
+
+    def repeated(self, live: np.ndarray, fresh: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """``live`` and pair codes, without most places whose pair is there less than ``least`` times."""
+        a, b = self.sym[live], self.sym[self.after[live]]
+        bits = min(max((8 * len(live) // least).bit_length(), 8), 24)
+        slot = a.view(np.uint32) * np.uint32(0x9E3779B1)
+        slot ^= slot >> np.uint32(15)
+        slot += b.view(np.uint32)
+        slot *= np.uint32(0x85EBCA6B)
+        slot >>= np.uint32(32 - bits)
+        keep = np.flatnonzero((np.bincount(slot.view(np.int32), minlength=1 << bits) >= least)[slot])
+        return live[keep], a[keep].astype(np.int64) * fresh + b[keep]
+
+    def round(self, live: np.ndarray, fresh: int, least: int, room: int) -> tuple[np.ndarray, np.ndarray]:
+        """Replace pairs among the places ``live`` that are hit ``least`` times, at most ``room`` of them.
+
+        Returns the places to count next time (no other pair can be frequent) and the new rules.
+        """
+        live, code = self.repeated(live, fresh, least)
+        near = self.after[live[:-1]] == live[1:]
+        # in a run of one symbol every second place counts, from the left
+        same = self.sym[live] == self.sym[self.after[live]]
+        first = same.copy()
+        if same.any():
+            inner = np.zeros(len(live), bool)
+            inner[1:] = same[1:] & same[:-1] & near
+            at = np.arange(len(live))
+            first &= (at - np.maximum.accumulate(np.where(inner, 0, at))) % 2 == 0
+        order = np.sort(code[~same | first])
+        starts = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]])) if len(order) else np.zeros(0, int)
+        times = np.diff(np.append(starts, len(order)))
+        pairs, times = order[starts][times >= least], times[times >= least]
+        if not len(pairs):
+            return live[:0], np.zeros((0, 2), np.int32)
+        pair = np.searchsorted(pairs, code)
+        pair[pair == len(pairs)] = 0
+        often = pairs[pair] == code
+        live, pair, first = live[often], pair[often], first[often]
+        near = self.after[live[:-1]] == live[1:]
+        # the most frequent first, ties mixed
+        mixed = pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        by = np.lexsort((mixed, times))
+        rank = np.empty(len(pairs), np.int32)
+        rank[by] = np.arange(len(pairs), dtype=np.int32)
+        rank_at = 2 * rank[pair] + first
+        hit = _apart(rank_at, near)
+        good = np.bincount(pair[hit], minlength=len(pairs)) >= least
+        chosen = by[::-1][good[by[::-1]]][:room]
+        good[:] = False
+        good[chosen] = True
+        if len(chosen) < len(pairs):                          # what rejected pairs had taken is free again
+            hit = hit[good[pair[hit]]]
+            free = good[pair]
+            free[hit] = False
+            free[hit[hit + 1 < len(live)] + 1] &= ~near[hit[hit + 1 < len(live)]]
+            free[hit[hit > 0] - 1] &= ~near[hit[hit > 0] - 1]
+            more = np.flatnonzero(free)
+            if len(more):
+                hit = np.concatenate([hit, more[_apart(rank_at[more], (self.after[live[more[:-1]]] == live[more[1:]]))]])
+        number = np.zeros(len(pairs), np.int32)
+        number[chosen] = fresh + np.arange(len(chosen), dtype=np.int32)
+        at, to = live[hit], number[pair[hit]]
+        gone = self.after[at]
+        self.sym[at], self.sym[gone] = to, -1
+        self.after[at] = self.after[gone]
+        self.before[self.after[at]] = at
+        look = np.zeros(self.n + 1, bool)
+        look[live[~good[pair]]] = look[at] = look[self.before[at]] = True
+        look = np.flatnonzero(look[:-1])
+        rules = np.stack([pairs[chosen] // fresh, pairs[chosen] % fresh], 1).astype(np.int32)
+        return look[(self.sym[look] >= 0) & (self.after[look] < self.n)], rules
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        left = self.sym[:-1] >= 0
+        return self.sym[:-1][left], np.concatenate([[0], np.cumsum(left)])[self.off]
+
+
 def compress(ids: np.ndarray, off: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: the symbols, their n + 1 document offsets and the (rules, 2) pairs."""
-    sym = ids.astype(np.int32)
-    last = np.zeros(len(sym), bool)
-    last[off[1:] - 1] = True
-    rules: list[np.ndarray] = []
-    n_rules = 0
-    for _ in range(ROUNDS):
-        if len(sym) < 2:
-            break
-        counts = np.bincount(sym, minlength=base + n_rules)
-        top = np.argsort(-counts, kind="stable")[:FREQUENT]
-        top = top[counts[top] >= MIN_COUNT]
-        if not len(top):
+    seq, rules, n_rules = _Sequence(ids, off), [np.zeros((0, 2), np.int32)], 0
+    short = None
+    while True:
+        width = 4 if short else _width(base)
+        pays = least = RULE_BYTES // width + 1
+        while 8 * least <= seq.n >> 9:
+            least *= 8
+        live = seq.pairs()
+        while room := (1 << 16) - base - n_rules if width == 2 else 1 << 30:
+            live, new = seq.round(live, base + n_rules, least, room)
+            rules.append(new)
+            n_rules += len(new)
+            if not len(new):
+                if least == pays:
+                    break
+                least, live = least // 8, seq.pairs()
+        if room:
             break
-        k = len(top)
-        code = np.full(base + n_rules, -1, np.int32)
-        code[top] = np.arange(k)
-        c = code[sym]
-        at = np.flatnonzero((c[:-1] >= 0) & (c[1:] >= 0) & ~last[:-1])
-        pair = c[at] * np.int32(k) + c[at + 1]
-        times = np.bincount(pair, minlength=k * k)
-        best = np.flatnonzero(times >= MIN_COUNT)
-        best = best[np.argsort(-times[best], kind="stable")[:PER_ROUND]]
-        if not len(best):
+        # two bytes are used up: go on with four, unless the places left cannot make up for it
+        short = (*seq.result(), n_rules)
+        n, more = len(short[0]), len(seq.repeated(seq.pairs(), base + n_rules, RULE_BYTES // 4 + 1)[0])
+        if 4 * (n - more) >= 2 * n:
             break
-        new = np.zeros(k * k, np.int32)
-        new[best] = base + n_rules + np.arange(len(best), dtype=np.int32)
-        to = new[pair]
-        hit, to = at[to > 0], to[to > 0]
-        # of overlapping hits every second one counts, from the left
-        head = np.concatenate([[True], np.diff(hit) > 1])
-        run = np.arange(len(hit)) - np.maximum.accumulate(np.where(head, np.arange(len(hit)), 0))
-        hit, to = hit[run % 2 == 0], to[run % 2 == 0]
-        rules.append(np.stack([top[best // k], top[best % k]], 1))
-        n_rules += len(best)
-        sym[hit] = to
-        last[hit] |= last[hit + 1]
-        keep = np.ones(len(sym), bool)
-        keep[hit + 1] = False
-        sym, last = sym[keep], last[keep]
-    return (sym, np.concatenate([[0], np.flatnonzero(last) + 1]),
-            np.concatenate(rules).astype(np.int32) if rules else np.zeros((0, 2), np.int32))
+    sym, soff = seq.result()
+    if short and RULE_BYTES * n_rules + 4 * len(sym) >= RULE_BYTES * short[2] + 2 * len(short[0]):
+        sym, soff, n_rules = short
+    return sym, soff, np.concatenate(rules)[:n_rules]
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    lengths = np.ones(len(rules), np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):           # rules only use earlier ones
-        lengths[i] = (lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1)
-    return lengths
+    lengths: list[int] = []
+    for a, b in rules.tolist():                           # rules only use earlier ones
+        lengths.append((lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1))
+    return np.array(lengths, np.int64)
 
 
-def expand(sym: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+def expand(sym: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray | None = None) -> np.ndarray:
     """The ids behind grammar symbols, all nonterminals a level at a time."""
+    lengths = expansion_lengths(rules, base) if lengths is None else lengths
+    size = np.ones(len(sym), np.int64)
+    inner = sym >= base
+    size[inner] = lengths[sym[inner] - base]
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), sym.dtype)
     while True:
-        inner = sym >= base
+        out[at[~inner]] = sym[~inner]
         if not inner.any():
-            return sym
-        width = 1 + inner
-        out = np.repeat(sym, width)
-        first = (np.cumsum(width) - width)[inner]
-        pairs = rules[sym[inner] - base]
-        out[first], out[first + 1] = pairs[:, 0], pairs[:, 1]
-        sym = out
+            return out
+        at, pairs = at[inner], rules[sym[inner] - base]
+        left = np.ones(len(at), np.int64)
+        deep = pairs[:, 0] >= base
+        left[deep] = lengths[pairs[deep, 0] - base]
+        sym, at = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([at, at + left])
+        inner = sym >= base
 
 
 def read_range(block, doc: int, lo: int, hi: int) -> np.ndarray:
@@ -248,7 +361,7 @@ def read_range(block, doc: int, lo: int, hi: int) -> np.ndarray:
     ends = np.cumsum(size)
     a, b = np.searchsorted(ends, lo, "right"), np.searchsorted(ends, hi, "left") + 1
     skip = lo - (ends[a] - size[a]) if a < len(ends) else 0
-    return expand(part[a:b], rules, block["base"])[skip:skip + max(hi - lo, 0)]
+    return expand(part[a:b], rules, block["base"], lengths)[skip:skip + max(hi - lo, 0)]
 
 
 def _unpack(block):
@@ -265,7 +378,7 @@ def _writer(path: str, end: int):
         for k, b in enumerate(ta.text_batches(batches, max_bytes=BLOCK_BYTES)):
             ids, off = enc.encode(b.column("text"), end)
             sym, soff, rules = compress(ids, off, base)
-            width = 2 if base + len(rules) <= 1 << 16 else 4
+            width = _width(base + len(rules))
             row = {"shard": shard, "block": k, "n_tokens": len(ids), "base": base, "width": width,
                    "doc_ids": b.column("doc_id").to_pylist(), "doc_symbols": np.diff(soff).astype(np.int32),
                    "rules": rules.astype("<u4").tobytes(),
@@ -299,7 +412,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inner = sym >= block["base"]
             size[inner] = lengths[sym[inner] - block["base"]]
             at = np.concatenate([[0], np.cumsum(size)])[off]
-            raw = expand(sym, rules, block["base"]).astype("<u4").tobytes()
+            raw = expand(sym, rules, block["base"], lengths).astype("<u4").tobytes()
             crc = [zlib.crc32(raw[4 * lo:4 * hi]) for lo, hi in zip(at.tolist(), at[1:].tolist())]
             n = len(crc)
             yield pa.RecordBatch.from_arrays(

@@ -254,6 +254,41 @@ def test_grammar_round_trip_and_random_access():
             assert token_store.read_range(block, d, lo, hi).tolist() == docs[d][lo:hi].tolist()
 
 
+def _grammar(docs, base):
+    ids, off = np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    sym, soff, rules = token_store.compress(ids, off, base)
+    assert np.array_equal(token_store.expand(sym, rules, base), ids)
+    assert [len(token_store.expand(sym[a:b], rules, base)) for a, b in zip(soff, soff[1:])] == [len(d) for d in docs]
+    return sym, soff, rules
+
+
+def test_grammar_goes_on_until_no_pair_pays():
+    rng = np.random.default_rng(3)
+    common = [np.append(rng.integers(3, 1100, 60), 2) for _ in range(2000)]            # fills the most frequent symbols
+    passages = rng.integers(2000, 45000, (40, 150))                                  # rare words, each passage 8 times
+    docs = common + [np.append(p, 2) for p in np.repeat(passages, 8, axis=0)] + [np.append(np.full(9001, 7), 2)]
+    sym, soff, rules = _grammar(docs, 45001)
+    assert np.diff(soff)[2000:2320].max() <= 3
+    assert 45001 + len(rules) <= 1 << 16
+    inner = np.ones(len(sym), bool)
+    inner[soff[1:] - 1] = False
+    at = np.flatnonzero(inner)
+    left = Counter(zip(sym[at].tolist(), sym[at + 1].tolist()))
+    assert all(2 * n <= token_store.RULE_BYTES for (a, b), n in left.items() if a != b)
+    assert len(set(map(tuple, rules.tolist()))) == len(rules)
+
+
+def test_grammar_beyond_two_bytes():
+    rng = np.random.default_rng(4)
+    passages = rng.integers(3, 65000, (60, 200))
+    docs = [np.append(p, 2) for p in np.repeat(passages, 30, axis=0)]
+    sym, _, rules = _grammar(docs, 65500)                                            # room for 36 rules in two bytes
+    assert 65500 + len(rules) > 1 << 16 and 4 * len(sym) + 12 * len(rules) < 2 * sum(map(len, docs)) // 3
+    noise = [np.append(rng.integers(3, 63, 300), 2) for _ in range(300)]
+    sym, _, rules = _grammar(noise, 65500)                                           # four bytes would be larger
+    assert 0 < len(rules) <= 36
+
+
 # --- chat -------------------------------------------------------------------------------------
 
 CHAT = "conv_id bigint, turn bigint, role string, text string, kept string, h string"
