@@ -9,7 +9,8 @@ Constants are propagated: an expression's names stand for the literals they were
 given (through up to ``DEPTH`` names), so ``k = "..."; password = k`` leads to the first
 literal.  A literal scores by how sensitive its target name is and how much it looks like
 a secret rather than a word, a placeholder or a reference; ``literal`` spans are added
-where the score reaches ``THRESHOLD``.
+where the score reaches ``THRESHOLD``, which a random-looking literal does under each listed
+name.  Under a name that is often something else (``VAGUE``) it must not read as words.
 
 Defined cases: null and empty texts have no spans; a text is scanned whole however long;
 rows without doc_id are scanned; repeated rows each count; extra columns are ignored; an
@@ -40,14 +41,15 @@ THRESHOLD, DEPTH = 1.0, 8
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0,
     "accesskey": 1.0, "secretkey": 1.0, "privatekey": 1.0, "signingkey": 1.0, "encryptionkey": 1.0, "authkey": 1.0,
-    "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "pin": 0.4, "salt": 0.5, "key": 0.4,
+    "credential": 0.9, "credentials": 0.9, "auth": 0.9, "bearer": 0.9, "pin": 1.2, "salt": 0.9, "key": 0.9,
 }
+VAGUE = {"auth", "pin", "salt", "key"}    # names of many other things, too: their values must not read as words
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|0+|change_?me|example|sample|test|dummy|none|null|nil|true|false|todo|"
                          r"your[-_ ].*|<.*>|\$\{?.*|%\(.*|\{\{.*|redacted|undefined|string|env)$")
 
 _NAME = r"""(?P<q>["']?)(?P<name>[A-Za-z_$][\w$.-]{0,79}(?:\[["'][\w.-]{1,60}["']\])?)(?P=q)"""
 PAIR = re.compile(_NAME + r"""[ \t]*(?::[ \t]*[A-Za-z_][\w.\[\]]{0,40}[ \t]*(?==))?(?:(?<![=!<>])(?::=|=>|=(?!=)|:(?![:/=]))|\|\|=)[ \t]*""")
-OPERAND = re.compile(r"""(?P<open>[rbuf]{0,2}["'`])|(?P<ref>[A-Za-z_$][\w$.]{0,79})(?![\w$(\["'`])|(?P<bare>[^\s"'`,;(){}\[\]<>#]+)""", re.A)
+OPERAND = re.compile(r"""(?P<open>[rbuf]{0,2}["'`])|(?P<ref>[A-Za-z_$][\w$.]{0,79})(?![\w$(\["'`]|={1,2}(?![^\s"'`,;)}\]]))|(?P<bare>[^\s"'`,;(){}\[\]<>#]+)""", re.A)
 JOIN = re.compile(r"[ \t]*(?:\+|\.\.?|&|\|\||\?\?)[ \t]*(?=[\"'`A-Za-z_$rbuf])|[ \t]+(?=[\"'`])")
 FLAG = re.compile(r"(?<![\w-])--(?P<name>[A-Za-z][\w-]{0,60})(?:=|[ \t]+)(?P<value>[^\s\"'-][^\s\"']*|\"[^\"\n]*\"|'[^'\n]*')")
 ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.:-]{0,60})>(?P<value>[^<>\n]{1,400})</(?P=name)>")
@@ -56,13 +58,19 @@ _LITERAL_END = {q: re.compile(r"(?:[^\\%s\n]|\\.)*" % q) for q in "\"'`"}
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
-def sensitivity(name: str) -> float:
-    """The largest weight of a part, or of two adjacent parts, of a name."""
+def sensitivity(name: str) -> tuple[float, bool]:
+    """The largest weight of a part, or of two adjacent parts, of a name; whether only vague parts have one."""
     parts = [p.lower() for p in _SPLIT.findall(name[-120:])]
-    best = 0.0
-    for i, p in enumerate(parts):
-        best = max(best, SENSITIVE.get(p, 0.0), SENSITIVE.get(p + parts[i + 1], 0.0) if i + 1 < len(parts) else 0.0)
-    return best
+    listed = [p for p in [*parts, *map("".join, zip(parts, parts[1:]))] if p in SENSITIVE]
+    clear = [p for p in listed if p not in VAGUE]
+    return max((SENSITIVE[p] for p in clear or listed), default=0.0), not clear
+
+
+def reads_as_words(value: str) -> bool:
+    """Parts as long as words, with vowels; random literals change between cases and digits all the time."""
+    parts = _SPLIT.findall(value)
+    letters = "".join(p for p in parts if not p.isdigit()).lower()
+    return bool(letters) and sum(map(len, parts)) >= 3 * len(parts) and 5 * sum(c in "aeiouy" for c in letters) >= len(letters)
 
 
 def plausibility(value: str) -> float:
@@ -140,10 +148,10 @@ def literal_spans(text: str) -> list[tuple[int, int, str]]:
                 found.append(("lit", o[2], o[3]))            # a bare word with digits that names nothing is a value
         found = sorted(set(found))[:64]                        # an expression has at most 64 literals
         given[key] = found
-        weight = sensitivity(name)
+        weight, vague = sensitivity(name)
         if weight:
             whole = "".join(text[lo:hi] for _, lo, hi in found)
-            if weight * plausibility(whole) >= THRESHOLD:
+            if weight * plausibility(whole) >= THRESHOLD and not (vague and reads_as_words(whole)):
                 out.update((lo, hi, "literal") for _, lo, hi in found if hi > lo)
     return sorted(out)
 
