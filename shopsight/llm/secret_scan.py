@@ -6,13 +6,16 @@ lexer reads source and configuration text - assignments in the style of most lan
 JSON, YAML and INI pairs, keyword arguments, command-line flags, XML elements and URL
 credentials - into pairs of a name and an expression of literals and other names.
 Constants are propagated: an expression's names stand for the literals they were last
-given (through up to ``DEPTH`` names), so ``k = "..."; password = k`` leads to the first
+given (through any number of names), so ``k = "..."; password = k`` leads to the first
 literal.  A literal scores by how sensitive its target name is and how much it looks like
 a secret rather than a word, a placeholder or a reference; ``literal`` spans are added
 where the score reaches ``THRESHOLD``, which a random-looking literal does under each listed
 name.  Under a name that is often something else (``VAGUE``) it must not read as words.
 
-Defined cases: null and empty texts have no spans; a text is scanned whole however long;
+Defined cases: null and empty texts have no spans; a text is scanned whole however long, and
+so are values, of any number of literals; triple-quoted and backtick literals and XML values go
+over lines; a YAML block scalar gives a literal a line; of a name longer than 80 characters the
+last 80 count;
 rows without doc_id are scanned; repeated rows each count; extra columns are ignored; an
 empty table gives no rows.
 """
@@ -35,7 +38,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
                     re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-THRESHOLD, DEPTH = 1.0, 8
+THRESHOLD = 1.0
 
 # Name parts and how sensitive they make a target.
 SENSITIVE = {
@@ -49,12 +52,15 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|0+|change_?me|example|sample|test|
 
 _NAME = r"""(?P<q>["']?)(?P<name>[A-Za-z_$][\w$.-]{0,79}(?:\[["'][\w.-]{1,60}["']\])?)(?P=q)"""
 PAIR = re.compile(_NAME + r"""[ \t]*(?::[ \t]*[A-Za-z_][\w.\[\]]{0,40}[ \t]*(?==))?(?:(?<![=!<>])(?::=|=>|=(?!=)|:(?![:/=]))|\|\|=)[ \t]*""")
-OPERAND = re.compile(r"""(?P<open>[rbuf]{0,2}["'`])|(?P<ref>[A-Za-z_$][\w$.]{0,79})(?![\w$(\["'`]|={1,2}(?![^\s"'`,;)}\]]))|(?P<bare>[^\s"'`,;(){}\[\]<>#]+)""", re.A)
+OPERAND = re.compile(r'''(?P<open>[rbuf]{0,2}(?:"""|\'\'\'|["'`]))|(?P<ref>[A-Za-z_$][\w$.]{0,79})(?![\w$(\["'`]|={1,2}(?![^\s"'`,;)}\]]))|(?P<bare>[^\s"'`,;(){}\[\]<>#]+)''', re.A)
 JOIN = re.compile(r"[ \t]*(?:\+|\.\.?|&|\|\||\?\?)[ \t]*(?=[\"'`A-Za-z_$rbuf])|[ \t]+(?=[\"'`])")
 FLAG = re.compile(r"(?<![\w-])--(?P<name>[A-Za-z][\w-]{0,60})(?:=|[ \t]+)(?P<value>[^\s\"'-][^\s\"']*|\"[^\"\n]*\"|'[^'\n]*')")
-ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.:-]{0,60})>(?P<value>[^<>\n]{1,400})</(?P=name)>")
-URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@\"']{0,80}:(?P<value>[^\s/@\"']{3,200})@")
-_LITERAL_END = {q: re.compile(r"(?:[^\\%s\n]|\\.)*" % q) for q in "\"'`"}
+ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.:-]{0,60})>\s*+(?P<value>[^<>]+)</(?P=name)>")
+URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@\"']*+:(?P<value>[^\s/@\"']{3,}+)@")
+_LITERAL_END = {q: re.compile(r"[^\\%s\n]*+(?:\\.[^\\%s\n]*+)*+" % (q, q)) for q in "\"'"}
+_LITERAL_END |= {q: re.compile(r"[^\\%s]*+(?:(?:\\.|%s)[^\\%s]*+)*+" % (q[0], f"{q[0]}(?!{q[1:]})" if q[1:] else "(?!)", q[0]), re.S)
+                 for q in ('"""', "'''", "`")}                 # these may go over lines
+BLOCK = re.compile(r"[|>](?:[+-]?[1-9]?|[1-9][+-])[ \t]*(?:#[^\n]*)?\r?\n")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -78,9 +84,7 @@ def plausibility(value: str) -> float:
     n = len(value)
     if n < 6 or PLACEHOLDER.match(value) or (" " in value and n < 60):
         return 0.0
-    counts = Counter(value[:4096])
-    size = min(n, 4096)
-    entropy = -sum(c / size * math.log2(c / size) for c in counts.values())
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
     kinds = sum(bool(re.search(k, value)) for k in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
     return min(1.5, 0.25 * entropy + 0.2 * kinds)
 
@@ -96,20 +100,46 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def block_scalar(text: str, name: int, at: int) -> list[tuple]:
+    """The lines from ``at`` that lie deeper than a name at ``name``, which only blanks and dashes precede."""
+    column = name - (text.rfind("\n", 0, name) + 1)
+    if text[name - column:name].strip(" -\"'"):
+        return []
+    out = []
+    while at < len(text):
+        end = text.find("\n", at) % (len(text) + 1)
+        line = text[at:end]
+        body = line.strip()
+        if body:
+            lo = at + len(line) - len(line.lstrip())
+            if lo - at <= column:
+                break
+            out.append(("lit", lo, lo + len(body)))
+        at = end + 1
+    return out
+
+
 def lex(text: str) -> Iterator[tuple[str, list[tuple]]]:
     """(name, operands): an operand is ("lit", start, end) or ("ref", name, start, end)."""
     for m in PAIR.finditer(text):
         at, operands = m.end(), []
-        while len(operands) < 64:
+        block = BLOCK.match(text, at)
+        if block and m[0].rstrip(" \t").endswith(":"):
+            operands = block_scalar(text, m.start(), block.end())
+            if operands:
+                yield m["name"], operands
+            continue
+        while True:
             o = OPERAND.match(text, at)
             if not o:
                 break
             if o["open"]:
-                body = _LITERAL_END[o["open"][-1]].match(text, o.end())
-                if text[body.end():body.end() + 1] != o["open"][-1]:
+                quote = o["open"].lstrip("rbuf")
+                body = _LITERAL_END[quote].match(text, o.end())
+                if not text.startswith(quote, body.end()):
                     break
                 operands.append(("lit", o.end(), body.end()))
-                at = body.end() + 1
+                at = body.end() + len(quote)
             elif o["ref"]:
                 operands.append(("ref", o["ref"], o.start(), o.end()))
                 at = o.end()
@@ -122,34 +152,48 @@ def lex(text: str) -> Iterator[tuple[str, list[tuple]]]:
             at = j.end()
         if operands:
             yield m["name"], operands
-    for pattern in (FLAG, ELEMENT):
-        for m in pattern.finditer(text):
-            lo, hi = m.span("value")
-            quoted = hi - lo > 1 and text[lo] in "\"'"
-            yield m["name"], [("lit", lo + quoted, hi - quoted)]
+    for m in FLAG.finditer(text):
+        lo, hi = m.span("value")
+        quoted = hi - lo > 1 and text[lo] in "\"'"
+        yield m["name"], [("lit", lo + quoted, hi - quoted)]
+    for m in ELEMENT.finditer(text):
+        value = m["value"].rstrip()
+        quoted = len(value) > 1 and value[0] in "\"'"
+        yield m["name"], [("lit", m.start("value") + quoted, m.start("value") + len(value) - quoted)]
     for m in URL.finditer(text):
         yield "password", [("lit", *m.span("value"))]
 
 
+def literals(operands: list[tuple]) -> list[tuple]:
+    """All literals of an expression, through its names, in the order of the text."""
+    found, seen, todo = set(), set(), [operands]
+    while todo:
+        for o in todo.pop():
+            if o[0] == "lit":
+                found.add(o)
+            elif id(o[1]) not in seen:
+                seen.add(id(o[1]))
+                todo.append(o[1])
+    return sorted(found)
+
+
 def literal_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals that reach a sensitive name, directly or through constants."""
     given: dict[str, list[tuple]] = {}
     out = set()
     for name, operands in lex(text):
-        key = name.strip("\"'")
-        found, todo = [], [(o, 0) for o in operands]
-        while todo:
-            o, depth = todo.pop()
+        known = []
+        for o in operands:
             if o[0] == "lit":
-                found.append(o)
-            elif o[1] in given and depth < DEPTH:
-                todo += [(x, depth + 1) for x in given[o[1]]]
-            elif o[1] not in given and any(c.isdigit() for c in o[1]):
-                found.append(("lit", o[2], o[3]))            # a bare word with digits that names nothing is a value
-        found = sorted(set(found))[:64]                        # an expression has at most 64 literals
-        given[key] = found
+                known.append(o)
+            elif o[1] in given:
+                known.append(("of", given[o[1]]))
+            elif any(c.isdigit() for c in o[1]):
+                known.append(("lit", o[2], o[3]))            # a bare word with digits that names nothing is a value
+        given[name.strip("\"'")] = known
         weight, vague = sensitivity(name)
         if weight:
+            found = literals(known)
             whole = "".join(text[lo:hi] for _, lo, hi in found)
             if weight * plausibility(whole) >= THRESHOLD and not (vague and reads_as_words(whole)):
                 out.update((lo, hi, "literal") for _, lo, hi in found if hi > lo)

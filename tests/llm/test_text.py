@@ -85,6 +85,28 @@ def test_vague_names(text, secret):
     assert (secret in _literals(text)) if secret else not _literals(text)
 
 
+LONG = "".join(f"{i * 2654435761 % 2**32:08x}Qz" for i in range(170))                 # 1,700 characters
+
+
+@pytest.mark.parametrize("text,secret", [
+    (f"<privateKey>{LONG}</privateKey>", LONG), (f"<privateKey>\n  {LONG}\n</privateKey>", LONG),
+    (f"https://x:{LONG}@host", LONG), (f"https://{'u' * 300}:Zx81kQpL02vB@host", "Zx81kQpL02vB"),
+    ('password = """Zx81kQ"p\nL02vB"""', 'Zx81kQ"p\nL02vB'), ("token = '''Zx81kQpL02vB'''", "Zx81kQpL02vB"),
+    ("secret = `Zx81kQ\npL02vB`", "Zx81kQ\npL02vB"), ("private_key: |\n  Zx81kQpL02vB\nb: c", "Zx81kQpL02vB"),
+    ("a:\n  - token: >-  # folded\n\n      Zx81kQ\n      pL02vB\n    other: 1", "pL02vB"),
+    ("password = " + " + ".join(f'"{LONG[3 * i:3 * i + 3]}"' for i in range(100)), LONG[297:300]),
+    ("a0 = 'Zx81kQpL02vB'\n" + "".join(f"a{i + 1} = a{i}\n" for i in range(50)) + "password = a50", "Zx81kQpL02vB"),
+    ("password = '" + "a" * 5000 + LONG + LONG + LONG + "'", "a" * 5000 + LONG * 3),
+    ("private_key: |\nother: Zx81kQpL02vB", None), ("password = 'open\nZx81kQpL02vB'", None), ('token = """"""', None)])
+def test_values_are_read_whole(text, secret):
+    assert (secret in _literals(text)) if secret else not _literals(text)
+
+
+def test_block_scalar_ends_with_its_indentation():
+    text = "x:\n  signing_key: |\n    Zx81kQpL02vB\n\n    uI9oP0aS3dF4\n  name: q8Rt7Yu6Io5P\n"
+    assert _literals(text) == ["Zx81kQpL02vB", "uI9oP0aS3dF4"]
+
+
 def test_redact(spark):
     out = secret_scan.redact(h.frame(spark, [(1, "a token=abcdefghij b"), (2, None), (3, "")])).collect()
     assert {r.doc_id: r.text for r in out} == {1: "a <assign> b", 2: None, 3: ""}
