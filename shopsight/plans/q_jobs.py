@@ -169,6 +169,20 @@ st AS (
   FROM nation LEFT JOIN ords ON ords.tenant_id = n_nationkey LEFT JOIN ruled ON ruled.tenant_id = n_nationkey)"""
 
 
+def _night(spark, feed, tenants):
+    """Status of all tenants of a nightly run after an earlier basket run, keeping one report."""
+    store = StarStore(scratch_path(spark, "star"))
+    jobs.load(feed, store, 0, common.SEQ)
+    star = store.snapshot(spark, tenants)
+    reports = ReportStore(scratch_path(spark, "reports"))
+    jobs.run_basket(bk.transactions(star), reports, NIGHT_SUPPORT, NIGHT_CONFIDENCE, created_at="2024-05-01 00:00:00")
+    kept, status = jobs.run_all_tenants(star, reports, scratch_path(spark, "reports_kept"), 1, NIGHT_SUPPORT,
+                                        NIGHT_CONFIDENCE, created_at=REPORT_TS)
+    left = kept.headers(spark).groupBy("tenant_id", "report_type").agg(F.count("*").alias("kept_reports"))
+    return status.join(left, ["tenant_id", "report_type"], "left").withColumn(
+        "kept_reports", F.coalesce("kept_reports", F.lit(0)))
+
+
 @query("run_all_tenants", covers="J3 E1 B16",
        sql=S.with_(_NIGHT, """SELECT tenant_id, report_type,
   CASE WHEN ok THEN 'done' ELSE 'skipped' END AS status,
@@ -180,16 +194,39 @@ def run_all_tenants(spark, sf_dir):
     f = td.feed(spark, sf_dir).withColumn("sku", F.col("brand"))
     few = F.regexp_extract("client", r"([0-9]+)$", 1).cast("int") % 20 == 0
     f = f.filter((F.col("tenant_id") % 5 != 1) & ((F.col("tenant_id") % 5 != 0) | few))
-    store = StarStore(scratch_path(spark, "star"))
-    jobs.load(f, store, 0, common.SEQ)
-    star = store.snapshot(spark, td.tenants(spark, sf_dir))
-    reports = ReportStore(scratch_path(spark, "reports"))
-    jobs.run_basket(bk.transactions(star), reports, NIGHT_SUPPORT, NIGHT_CONFIDENCE, created_at="2024-05-01 00:00:00")
-    kept, status = jobs.run_all_tenants(star, reports, scratch_path(spark, "reports_kept"), 1, NIGHT_SUPPORT,
-                                        NIGHT_CONFIDENCE, created_at=REPORT_TS)
-    left = kept.headers(spark).groupBy("tenant_id", "report_type").agg(F.count("*").alias("kept_reports"))
-    return status.join(left, ["tenant_id", "report_type"], "left").withColumn(
-        "kept_reports", F.coalesce("kept_reports", F.lit(0)))
+    return _night(spark, f, td.tenants(spark, sf_dir))
+
+
+# Copies of a few clients under tenants SMALL + n; tenants EMPTY + n are in the register only.
+SMALL, EMPTY, FEW_CLIENTS = 100, 200, 200
+_WHOLE = S.FEED + f""",
+night AS (SELECT tenant_id, client, transaction_date, brand FROM feed
+          UNION ALL
+          SELECT {SMALL} + tenant_id, 'Copy of ' || client, transaction_date, brand FROM feed
+          WHERE CAST(regexp_extract(client, '([0-9]+)$', 1) AS INTEGER) <= {FEW_CLIENTS}),
+register AS (SELECT unnest([n_nationkey, {SMALL} + n_nationkey, {EMPTY} + n_nationkey]) AS n_nationkey FROM nation),
+""" + _NIGHT[_NIGHT.index("cust AS ("):].replace("FROM nation LEFT", "FROM register AS nation LEFT")
+
+
+def whole_night(spark, sf_dir):
+    """The whole feed with the small tenants' rows, and the register with small and empty tenants."""
+    f = td.feed(spark, sf_dir).withColumn("sku", F.col("brand"))
+    few = F.regexp_extract("client", r"([0-9]+)$", 1).cast("int") <= FEW_CLIENTS
+    known, key = td.tenants(spark, sf_dir), F.concat(F.lit("key_"), F.col("tenant_id").cast("string"))
+    small = (f.filter(few).withColumn("tenant_id", F.col("tenant_id") + SMALL).withColumn("tenant_key", key)
+             .withColumn("client", F.concat(F.lit("Copy of "), "client")))
+    more = [known.withColumn("tenant_id", F.col("tenant_id") + n).withColumn("tenant_key", key) for n in (SMALL, EMPTY)]
+    return f.unionByName(small), known.unionByName(more[0]).unionByName(more[1])
+
+
+@query("run_all_tenants_whole", covers="J3 E1 B16",
+       sql=S.with_(_WHOLE, """SELECT tenant_id, report_type,
+  CASE WHEN ok THEN 'done' ELSE 'skipped' END AS status,
+  CASE WHEN ok THEN NULL WHEN n < 10 THEN few ELSE none END AS reason, n,
+  CAST(CASE WHEN ok THEN 1 ELSE 0 END AS BIGINT) AS kept_reports FROM st"""))
+def run_all_tenants_whole(spark, sf_dir):
+    """The nightly run over every row of the feed, next to small tenants and tenants without data."""
+    return _night(spark, *whole_night(spark, sf_dir))
 
 
 @query("export_reports", covers="A11 H1",
