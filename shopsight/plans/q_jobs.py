@@ -229,16 +229,21 @@ def run_all_tenants_whole(spark, sf_dir):
     return _night(spark, *whole_night(spark, sf_dir))
 
 
+def exported(spark, sf_dir):
+    """RFM documents with the whole k sweep, as read back."""
+    reports = ReportStore(scratch_path(spark, "reports"))
+    headers, _ = jobs.run_rfm(common.full_star(spark, sf_dir), reports, created_at=REPORT_TS)
+    out = scratch_path(spark, "report_json")
+    rp.export_report_json(headers, rp.RFM_TYPE, RFM_PAYLOAD, out)
+    return spark.read.schema(RFM_PAYLOAD).json(out)
+
+
 @query("export_reports", covers="A11 H1",
        sql=S.with_(S.RFM_METRICS, """SELECT tenant_id, 'feature_weighting_fixed_k' AS strategy,
   CAST(3 AS INTEGER) AS optimized_k, 'squared_euclidean' AS silhouette_metric, count(*) AS customers
 FROM rfm GROUP BY tenant_id"""))
 def export_reports(spark, sf_dir):
     """The RFM documents of a job, exported as JSON lines per tenant and read back."""
-    reports = ReportStore(scratch_path(spark, "reports"))
-    headers, _ = jobs.run_rfm(common.full_star(spark, sf_dir), reports, ks=(2,), created_at=REPORT_TS)
-    out = scratch_path(spark, "report_json")
-    rp.export_report_json(headers, rp.RFM_TYPE, RFM_PAYLOAD, out)
-    doc = spark.read.schema(RFM_PAYLOAD).json(out)
+    doc = exported(spark, sf_dir)
     return doc.select("tenant_id", "strategy", "performance.optimized_k", "performance.silhouette_metric",
                       F.expr("aggregate(map_values(segments), 0L, (s, x) -> s + x.customer_count)").alias("customers"))
