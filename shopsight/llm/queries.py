@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shopsight.llm import (
+    byte_codec,
     chat_format,
     exact_dedup,
     line_quality,
@@ -17,6 +18,8 @@ from shopsight.llm import (
     secret_scan,
     substring_dedup,
     token_store,
+    vector_codes,
+    whitening,
 )
 from shopsight.llm.common import table
 
@@ -162,3 +165,47 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_store")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def _sql_codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """All distances between parts and entries, round by round."""
+    ctes = [f"""v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS r, vec_id, label, x FROM (
+      SELECT vec_id, label, list_transform(embedding, lambda c: floor(c::DOUBLE * 1024)::BIGINT) AS x FROM embeddings
+      WHERE len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding) AND len(embedding) > 0))""",
+            f"""p AS (SELECT r, q AS part, x[q * (len(x) // {parts}) + 1 : (q + 1) * (len(x) // {parts})] AS y
+      FROM v, range(0, {parts}) t(q))""",
+            f"c0 AS (SELECT part, r - 1 AS entry, y AS e FROM p WHERE r <= {entries})"]
+    for k in range(rounds + 1):
+        ctes.append(f"""d{k} AS (SELECT r, p.part, entry, y,
+        list_sum(list_transform(list_zip(y, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+      FROM p JOIN c{k} USING (part))""")
+        ctes.append(f"""a{k} AS (SELECT r, part, any_value(y) AS y, min({{'d': d, 'entry': entry}}) AS b
+      FROM d{k} GROUP BY r, part)""")
+        if k < rounds:
+            ctes.append(f"""s{k} AS (SELECT part, b.entry AS entry, i, sum(y[i]) AS total, count(*) AS n
+      FROM a{k}, range(1, (SELECT max(len(y)) FROM p) + 1) t(i) GROUP BY ALL)""")
+            ctes.append(f"""c{k + 1} AS (SELECT c.part, c.entry, coalesce(m.e, c.e) AS e FROM c{k} c LEFT JOIN (
+        SELECT part, entry, list(((total - ((total % n) + n) % n) / n)::BIGINT ORDER BY i) AS e
+        FROM s{k} GROUP BY part, entry) m USING (part, entry))""")
+    return "WITH " + ",\n".join(ctes) + f""",
+f AS (SELECT r, string_agg(printf('%02x', b.entry), '' ORDER BY part) AS code, sum(b.d)::BIGINT AS error
+      FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256
+FROM v JOIN f USING (r)
+"""
+
+
+@query("op11_vector_codes", _sql_codes())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_byte_bpe_codec")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_codec.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
