@@ -5,12 +5,7 @@
 * Top-N items per tenant are taken in two steps: the n best of each (tenant, salt)
   share of the products, then the n best of those, so one tenant's products are
   never sorted in one task.  No product is cut unless the caller asks for it.
-* Frequent itemsets come from MLlib's parallel FP-Growth.  Tenants are mined
-  together: items carry a tenant prefix, and tenants whose minimum counts fall
-  in the same power-of-two band share one fit whose threshold is the smallest
-  count a tenant of the band needs; each tenant's own threshold is applied afterwards, so results
-  are exact and the number of fits grows with log(max/min tenant size), not with
-  the number of tenants.
+* Frequent itemsets are mined vertically, all tenants together (``itemsets``).
 * Rules grow their consequents an item at a time: only splits that reach the
   confidence are extended (a larger consequent never has a higher one), and the
   supports of both sides are looked up with equi-joins on the sorted item arrays.
@@ -21,14 +16,13 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopsight.functions.scalar import ITEM_SEP, rule_label
 from shopsight.operators.cleaning import for_tenant
+from shopsight.operators.itemsets import frequent_itemsets  # noqa: F401  (G8)
 
-KEY_SEP = "\u0001"
 SALTS = 32
 
 
@@ -81,62 +75,6 @@ def order_counts(bk: DataFrame, keys: Sequence[str] = ("tenant_id",)) -> DataFra
     return bk.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_orders"))
 
 
-# --- G8: frequent itemsets ---------------------------------------------------------------
-
-def _key_text(keys: Sequence[str]) -> Column:
-    return F.concat_ws("\u0002", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("")
-
-
-def frequent_itemsets(bk: DataFrame, min_support: float = 0.01,
-                      keys: Sequence[str] = ("tenant_id",), num_partitions: int | None = None
-                      ) -> DataFrame:
-    """Itemsets with support >= min_support per key, as (keys, items, freq, support).
-
-    ``support = freq / n_orders`` of the key, compared like the reference does
-    (floating point ``>=``).
-    """
-    keys = list(keys)
-    from shopsight.session import checkpoint_dir
-    checkpoint_dir(bk.sparkSession)
-    # baskets are read by the band count and by every FP-Growth pass: materialise once
-    bk = bk.checkpoint()
-    counts = order_counts(bk, keys).filter("n_orders > 0").withColumn("__kt", _key_text(keys))
-    lower = F.greatest(F.lit(1), F.floor(F.col("n_orders") * F.lit(min_support)))
-    counts = counts.withColumn("__lower", lower).withColumn("__band", F.floor(F.log2(lower)).cast("int"))
-    bands = counts.groupBy("__band").agg(F.sum("n_orders").alias("n"),
-                                         F.min("__lower").alias("min_count")).collect()  # few rows
-    if not bands:
-        key_types = [f"{k} {bk.schema[k].dataType.simpleString()}" for k in keys]
-        return bk.sparkSession.createDataFrame([], ", ".join(
-            [*key_types, "items array<string>", "n_items int", "freq long", "support double", "n_orders long"]))
-    tagged = bk.join(counts.select(*keys, "__kt", "__band"), keys) if keys else \
-        bk.withColumn("__kt", F.lit("")).withColumn("__band", F.lit(bands[0]["__band"]))
-    tagged = tagged.withColumn(
-        "items", F.transform("items", lambda x: F.concat(F.col("__kt"), F.lit(KEY_SEP), x)))
-    found = None
-    for row in bands:
-        band, n, min_count = int(row["__band"]), int(row["n"]), int(row["min_count"])
-        part = tagged.filter(F.col("__band") == band).select("items")
-        # the smallest count any tenant of the band needs (>= 2^band): exact for all of them
-        fp = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / n, minConfidence=1.0)
-        if num_partitions:   # default: one conditional-tree partition per input partition
-            fp = fp.setNumPartitions(num_partitions)
-        fi = fp.fit(part).freqItemsets
-        found = fi if found is None else found.unionByName(fi)
-    parsed = found.select(
-        F.substring_index(F.col("items")[0], KEY_SEP, 1).alias("__kt"),
-        F.sort_array(F.transform("items", lambda x: F.substring_index(x, KEY_SEP, -1))).alias("items"),
-        F.col("freq"))
-    j = parsed.join(counts.select(*keys, "__kt", "n_orders"), "__kt")
-    j = j.withColumn("support", F.col("freq") / F.col("n_orders"))
-    # itemsets feed the rule step three times (size guard, splits, two support
-    # lookups): keep one materialised copy instead of re-running FP-Growth
-    return (j.filter(F.col("support") >= F.lit(min_support))
-             .select(*keys, "items", F.size("items").alias("n_items"), "freq", "support",
-                     "n_orders")
-             .checkpoint())
-
-
 # --- G9 / E6: association rules ---------------------------------------------------------------
 
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.5,

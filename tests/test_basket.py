@@ -125,3 +125,57 @@ def test_every_tenant_has_a_status(spark):
     none = "no frequent itemset or no rule"
     assert got == {1: ("done", None, 12), 2: ("skipped", "fewer than 10 orders", 9), 3: ("skipped", none, 12),
                    4: ("skipped", none, 12), 5: ("skipped", "fewer than 10 orders", 0)}
+
+
+def _plain(tx, min_support):
+    """{tenant: {items: freq}} of a list of (tenant, order, item)."""
+    orders = {}
+    for t, o, i in tx:
+        orders.setdefault(t, {}).setdefault(o, set()).add(i)
+    return {t: _brute([sorted(b) for b in by.values()], min_support)[0] for t, by in orders.items()}
+
+
+def _mined(spark, tx, min_support):
+    df = spark.createDataFrame(tx, "tenant_id int, order_id string, product_code string")
+    got = {}
+    for r in bk.frequent_itemsets(bk.baskets(df), min_support).collect():
+        assert r["items"] == sorted(r["items"]) and r.n_items == len(r["items"]) and r.support == r.freq / r.n_orders
+        got.setdefault(r.tenant_id, {})[tuple(r["items"])] = r.freq
+    return got
+
+
+def test_itemsets_of_5000_tenants(spark):
+    import random
+    rng = random.Random(4)
+    tx = [(t, f"o{o}", f"p{int(8 * rng.random() ** 2)}") for t in range(5000) for o in range(rng.randint(1, 5))
+          for _ in range(rng.randint(1, 4))]
+    want = {t: s for t, s in _plain(tx, 0.4).items() if s}
+    assert _mined(spark, tx, 0.4) == want
+
+
+def test_itemsets_of_a_tenant_with_a_third_of_the_orders(spark, monkeypatch):
+    """Many blocks and shards, which hold more orders than a block has places."""
+    import random
+
+    from shopsight.operators import itemsets
+    monkeypatch.setattr(itemsets, "SHARD", 1500)
+    rng = random.Random(6)
+    sizes = {0: 9000, **{t: 900 for t in range(1, 21)}}
+    tx = [(t, f"o{o}", f"p{int(12 * rng.random() ** 2)}") for t, n in sizes.items() for o in range(n)
+          for _ in range(rng.randint(1, 5))]
+    assert _mined(spark, tx, 0.05) == _plain(tx, 0.05)
+
+
+def test_itemsets_of_a_very_large_order(spark):
+    tx = [(1, "big", f"p{i:05d}") for i in range(20_000)] + [(1, f"o{o}", f"p{i:05d}") for o in range(30) for i in range(3)]
+    got = _mined(spark, tx, 0.5)[1]
+    assert got == {c: 31 for k in (1, 2, 3) for c in itertools.combinations(["p00000", "p00001", "p00002"], k)}
+
+
+def test_itemsets_without_keys_and_null_tenants(spark):
+    df = spark.createDataFrame([(None, "o1", "a"), (1, "o1", "a"), (1, "o1", "b")],
+                               "tenant_id int, order_id string, product_code string")
+    assert {tuple(r["items"]): r.freq for r in bk.frequent_itemsets(bk.baskets(df.filter("tenant_id = 1"), ()), 0.5,
+                                                                    ()).collect()} == {
+        ("a",): 1, ("b",): 1, ("a", "b"): 1}
+    assert {r.tenant_id for r in bk.frequent_itemsets(bk.baskets(df), 0.5).collect()} == {1}
