@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopsight.operators.rfm import salted_join
-from shopsight.session import scratch_path
+from shopsight.session import staged
 
 WORDS = 16
 BLOCK = 64 * WORDS
@@ -33,12 +33,6 @@ PAIR_SALTS = 16
 BITS = [f"w{i}" for i in range(WORDS)]
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _count(words: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, [F.bit_count(w) for w in words]).cast("long")
 

@@ -4,12 +4,15 @@ basket mining, and the nightly run over every tenant.
 Every job handles all tenants in one set of Spark jobs (``tenant_id`` is a
 grouping key everywhere); a tenant filter only narrows the input.  Guards that
 skip a tenant (too few customers or orders, nothing frequent) are semi joins,
-so one small tenant never stops the others.
+so one small tenant never stops the others; the nightly run isolates tenants whose
+data make a job fail.
 """
 
 from __future__ import annotations
 
-from typing import Iterable, Sequence
+from dataclasses import dataclass, fields
+from functools import reduce
+from typing import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,26 +139,78 @@ def basket_status(tx: DataFrame, headers: DataFrame, tenants: DataFrame | None =
 
 # --- J3: nightly run -------------------------------------------------------------------
 
-def run_all_tenants(star: st.Star, reports: ReportStore, retained_base: str, keep: int = 3,
-                    min_support: float = 0.01, min_confidence: float = 0.5,
-                    created_at: str | None = None, max_iter: int = 300) -> tuple[ReportStore, DataFrame]:
-    """Both jobs for every tenant, then retention written to ``retained_base``; returns the
-    retained report store and the status of every (tenant, report type).
+@dataclass(frozen=True)
+class Part:
+    """A share of the tenants: those whose hashed id ends with ``bits`` given bits."""
+    bits: int = 0
+    value: int = 0
 
-    A job that fails is reported as failed for its tenants and the other one still runs."""
-    spark = star.orders.sparkSession
-    tx = bk.transactions(star)
-    jobs = ((rp.RFM_TYPE, lambda: run_rfm(star, reports, created_at=created_at, max_iter=max_iter)[0],
-             lambda h: rfm_status(star, h)),
-            (rp.BASKET_TYPE, lambda: run_basket(tx, reports, min_support, min_confidence, created_at=created_at)[0],
-             lambda h: basket_status(tx, h, star.tenants)))
-    statuses = []
-    for kind, job, status in jobs:
+    def has(self):
+        return F.pmod(F.xxhash64("tenant_id"), F.lit(1 << self.bits)) == self.value
+
+    def halves(self) -> list["Part"]:
+        return [Part(self.bits + 1, self.value + (b << self.bits)) for b in (0, 1)]
+
+
+def of_part(star: st.Star, part: Part) -> st.Star:
+    """The star of a share of the tenants."""
+    return star if not part.bits else st.Star(*[getattr(star, f.name).filter(part.has()) for f in fields(star)])
+
+
+def isolated(star: st.Star, kind: str, job: Callable[[st.Star], DataFrame], max_failed: int = 32) -> list[DataFrame]:
+    """Statuses of a job over all tenants.  Where it fails it is run again over halves of its
+    tenants until those that make it fail are alone; the others finish.
+
+    A failing tenant costs about two runs for every halving, log2 of the number of tenants.
+    With more than ``max_failed`` of them the fault is not the tenants': what has not finished
+    is reported as failed without more runs."""
+    todo, statuses, failed = [Part()], [], 0
+    while todo:
+        part = todo.pop()
+        mine = of_part(star, part)
+        if part.bits and mine.tenants.isEmpty():
+            continue
         try:
-            statuses.append(status(job()))
-        except Exception as e:                       # the other job is not stopped; the failure is a result
-            statuses.append(star.tenants.select(
-                "tenant_id", F.lit(kind).alias("report_type"), F.lit("failed").alias("status"),
-                F.lit(f"{type(e).__name__}: {e}"[:500]).alias("reason"), F.lit(None).cast("long").alias("n")))
-    kept = reports.retain(spark, retained_base, keep)
-    return kept, statuses[0].unionByName(statuses[1])
+            statuses.append(job(mine))
+        except Exception as e:                       # other tenants are not stopped; the failure is a result
+            few = mine.tenants.select("tenant_id").distinct().limit(2).count()
+            if few > 1 and failed < max_failed and part.bits < 62:
+                todo += part.halves()
+                continue
+            failed += 1
+            if few:
+                statuses.append(mine.tenants.select(
+                    "tenant_id", F.lit(kind).alias("report_type"), F.lit("failed").alias("status"),
+                    F.lit(f"{type(e).__name__}: {e}"[:500]).alias("reason"), F.lit(None).cast("long").alias("n")))
+    return statuses
+
+
+def run_all_tenants(star: st.Star, reports: ReportStore, keep: int = 3, min_support: float = 0.01,
+                    min_confidence: float = 0.5, created_at: str | None = None, max_iter: int = 300) -> DataFrame:
+    """Both jobs for every tenant, then retention; returns the status of every (tenant, report
+    type) and, should retention fail, a row without tenant that says so.
+
+    Results are computed before the first of them is appended, so a run that fails leaves
+    nothing of its own behind, and the status of a job never stops the other."""
+    spark = star.orders.sparkSession
+
+    def rfm_job(s: st.Star) -> DataFrame:
+        headers, rows = run_rfm(s, created_at=created_at, max_iter=max_iter)
+        status = rfm_status(s, headers).checkpoint()
+        reports.append(headers, {"assignments": rows.checkpoint()})
+        return status
+
+    def basket_job(s: st.Star) -> DataFrame:
+        tx = bk.transactions(s)
+        headers, rows = run_basket(tx, None, min_support, min_confidence, created_at=created_at)
+        status = basket_status(tx, headers, s.tenants).checkpoint()
+        reports.append(headers, {"rules": rows.checkpoint()})
+        return status
+
+    statuses = isolated(star, rp.RFM_TYPE, rfm_job) + isolated(star, rp.BASKET_TYPE, basket_job)
+    try:
+        reports.retain(spark, keep)
+    except Exception as e:
+        statuses.append(spark.createDataFrame([(None, "retention", "failed", f"{type(e).__name__}: {e}"[:500], None)],
+                                              "tenant_id int, report_type string, status string, reason string, n long"))
+    return reduce(DataFrame.unionByName, statuses)

@@ -111,3 +111,9 @@ BASKET_PAYLOAD = T.StructType([
     ])),
     T.StructField("association_rules", T.ArrayType(RULE)),
 ])
+
+# Detail tables of the report store, and the counters of a delivered batch.
+RULE_ROWS = ("report_id string, tenant_id int, if_bought array<string>, then_buy array<string>, support double, "
+             "confidence double, lift double")
+ASSIGNMENT_ROWS = "report_id string, tenant_id int, id string, cid int"
+BATCHES = "batch_id long, processed long, sent long, filtered long, unknown_key long"

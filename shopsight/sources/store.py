@@ -1,50 +1,37 @@
-"""Parquet storage of the star schema and of reports.
-
-Plain Parquet has no MERGE and a folder that is being read cannot be
-overwritten, so the star is kept as a log of batches and merged on read:
-
-    <base>/_commits/                                one row per delivered batch
-    <base>/_staging/attempt=<a>/                    the batch as read (lineage cut)
-    <base>/<table>/attempt=<a>/tenant_bucket=<n>/   its rows of customers, products (last
-                                                    price per product), orders, order_items
-                                                    and markers (newest event, load time)
-
-Every delivery writes a new attempt and becomes visible with its commit row, so a
-failure between two tables leaves the snapshot as it was.  A batch is known by
-(source, batch id); its newest commit counts, so delivering it again replaces all
-of its rows, tenants that are missing from the new delivery included (the reference
-duplicates line items instead), and streams or loads with equal numbers stay apart.
-Batches take effect in the order of their first commit (``seq``).
-
-``snapshot`` applies the upsert rules: customers distinct, products last batch
-wins, orders first batch wins, items all rows, markers newest.  ``compact``
-writes the merged dimensions with the winning ``seq`` and the items under their own
-batches, so a batch that is delivered again afterwards still replaces its items and
-never outranks a later price.  Tenants are dealt over a fixed number of buckets:
-the folders do not grow with the tenants, and a tenant filter reads one bucket.
-
-One loader writes a store at a time.  The commit log (a row per delivery) is read on
-the driver, like any table's list of versions.
+"""Parquet storage of the star schema and of reports.
+
+The star is kept as the classified lines of every delivered batch, in plain partitioned Parquet:
+
+    <base>/lines/batch_key=<source:batch>/tenant_bucket=<n>/    rows with order id and reject reason
+    <base>/batches/batch_key=<source:batch>/                    counters of the batch, one row
+
+Delivering a batch again overwrites its partition, so all of its rows are replaced, tenants
+that are missing from the new delivery included (the reference duplicates line items
+instead).  A delivery that fails is delivered again by its source, as streams do.  ``snapshot``
+derives the tables by the upsert rules, as aggregations: customers distinct, products' price of
+the last batch, orders of the first batch, items all rows, markers newest.  Batches follow each
+other by (batch id, source).  Tenants are dealt over a fixed number of buckets, so the folders
+do not grow with the tenants, and a tenant filter reads one bucket.
+
+Reports are headers and detail tables, partitioned by tenant.  Reading them needs no file: an
+empty or missing table has its schema and no rows.
 """
 
 from __future__ import annotations
 
-import uuid
-from concurrent.futures import ThreadPoolExecutor
 from typing import Sequence
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from shopsight.functions.scalar import order_number
 from shopsight.operators import cleaning
 from shopsight.operators import star as st
-from shopsight.schemas import PRODUCTS
+from shopsight.schemas import ASSIGNMENT_ROWS, BATCHES, PRODUCTS, REPORTS, RULE_ROWS
+from shopsight.session import staged
 
-TABLES = ("customers", "products", "orders", "order_items", "markers")
-PER_BATCH = ("order_items", "markers")          # rows that a new delivery replaces even after compaction
 BUCKETS = 16
-COMMIT = ("batch_key string, batch_id long, seq long, attempt string, commit_no long, "
-          "processed long, sent long, filtered long, unknown_key long")
 
 
 def by_tenant(df: DataFrame, *cols: str) -> DataFrame:
@@ -59,125 +46,92 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A Parquet table by its schema; without any file, no rows."""
+    empty = spark.createDataFrame([], schema)
+    return spark.read.schema(empty.schema).parquet(path).select(empty.columns) if path_exists(spark, path) else empty
+
+
 class StarStore:
     def __init__(self, base: str, buckets: int = BUCKETS):
         self.base = base.rstrip("/")
         self.buckets = buckets
 
-    def path(self, table: str) -> str:
-        return f"{self.base}/{table}"
-
-    # --- commit log ---------------------------------------------------------------
-
-    def commits(self, spark: SparkSession) -> DataFrame:
-        """The newest commit of every batch."""
-        if not path_exists(spark, self.path("_commits")):
-            return spark.createDataFrame([], COMMIT)
-        log = spark.read.schema(COMMIT).parquet(self.path("_commits"))
-        newest = F.max_by(F.struct(*log.columns), "commit_no")
-        return log.groupBy(F.col("batch_key").alias("__k")).agg(newest.alias("c")).select("c.*")
-
-    def _commit(self, spark: SparkSession, rows: list[dict]) -> None:
-        names = [c.split()[0] for c in COMMIT.split(", ")]
-        (spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], COMMIT).coalesce(1)
-         .write.mode("append").parquet(self.path("_commits")))
-
     # --- writing --------------------------------------------------------------------
 
     def write_feed(self, feed: DataFrame, batch_id: int, seq_cols: Sequence[str], source: str = "load",
                    keep: Sequence[str] = (), load_time: str | None = None, tenants: DataFrame | None = None
                    ) -> DataFrame:
-        """One raw feed batch: read and classified once, its clean rows committed; returns the
-        counters per tenant.  With ``tenants``, the integration key is resolved first and
-        rows of unknown keys are only counted."""
-        spark = feed.sparkSession
-        attempt = uuid.uuid4().hex
+        """One raw feed batch, read once: its rows are classified, counted and written in the same
+        pass; returns the counters per tenant, from the written rows.  With ``tenants``, the
+        integration key is resolved first and rows of unknown keys are only counted."""
         if "tenant_id" not in feed.columns:
             if tenants is None:
                 raise ValueError("a feed without tenant_id needs the tenant register")
-            feed = feed.drop("tenant_id").join(tenants.select("tenant_key", "tenant_id"), "tenant_key", "left")
-        stage = f"{self.base}/_staging/attempt={attempt}"
+            feed = feed.join(tenants.select("tenant_key", "tenant_id"), "tenant_key", "left")
         rows = cleaning.clean_classified(cleaning.classify_feed(feed), ("tenant_id", *keep, *seq_cols), all_rows=True)
-        st.with_order_id(rows).write.parquet(stage)
-        read = spark.read.parquet(stage)
-        known = read.filter(F.col("tenant_id").isNotNull())
-        n = read.agg(F.count("tenant_id").alias("processed"),
-                     F.count_if(F.col("tenant_id").isNotNull() & F.col("reject_reason").isNull()).alias("sent"),
-                     F.count_if(F.col("tenant_id").isNull()).alias("unknown_key")).first()
-        clean = known.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-        self.write_batch(clean, batch_id, seq_cols, load_time, source,
-                         {"processed": n.processed, "sent": n.sent, "filtered": n.processed - n.sent,
-                          "unknown_key": n.unknown_key}, attempt, staged=True)
-        return cleaning.classified_stats(known)
+        self._write(rows, batch_id, seq_cols, load_time, source)
+        written = self._lines(feed.sparkSession).filter(F.col("batch_key") == f"{source}:{batch_id}")
+        return cleaning.classified_stats(written)
 
     def write_batch(self, clean: DataFrame, batch_id: int, seq_cols: Sequence[str],
-                    load_time: str | None = None, source: str = "load", counters: dict | None = None,
-                    attempt: str | None = None, staged: bool = False) -> None:
-        """Write and commit one clean batch (``clean_feed`` columns + tenant_id + sequence columns)."""
-        spark = clean.sparkSession
-        attempt = attempt or uuid.uuid4().hex
-        key = f"{source}:{batch_id}"
-        log = {r.batch_key: r for r in self.commits(spark).select("batch_key", "seq", "commit_no").collect()}
-        last = max((r.commit_no for r in log.values()), default=0)
-        seq = log[key].seq if key in log else max((r.seq for r in log.values()), default=0) + 1
-        b = clean
-        if not staged:
-            stage = f"{self.base}/_staging/attempt={attempt}"
-            st.with_order_id(clean).write.parquet(stage)
-            b = spark.read.parquet(stage)
+                    load_time: str | None = None, source: str = "load") -> None:
+        """Write one clean batch (``clean_feed`` columns + tenant_id + sequence columns)."""
+        self._write(clean.withColumn("reject_reason", F.lit(None).cast("string")), batch_id, seq_cols, load_time, source)
+
+    def _write(self, rows: DataFrame, batch_id: int, seq_cols: Sequence[str], load_time: str | None, source: str) -> None:
+        folder = f"batch_key={quote(f'{source}:{batch_id}', safe='')}"
+        known, good = F.col("tenant_id").isNotNull(), F.col("reject_reason").isNull()
+        seen = Observation()
+        counted = rows.observe(
+            seen, F.count("tenant_id").alias("processed"), F.count_if(known & good).alias("sent"),
+            F.count_if(known & ~good).alias("filtered"), F.count_if(~known).alias("unknown_key"))
         stamp = F.lit(load_time).cast("timestamp_ntz") if load_time else F.localtimestamp()
-        self._write(attempt, {
-            "customers": b.select("tenant_id", F.col("client_hash").alias("customer_hash")).distinct(),
-            "products": st.latest_prices(b, seq_cols),
-            "orders": st.batch_orders(b),
-            "order_items": st.batch_items(b, batch_id),
-            "markers": b.groupBy("tenant_id").agg(F.max("transaction_date").alias("event_marker"),
-                                                  F.count(F.lit(1)).alias("rows"))
-                         .withColumn("ingest_marker", stamp),
-        }, F.lit(key), F.lit(seq).cast("long"))
-        self._commit(spark, [{"batch_key": key, "batch_id": batch_id, "seq": seq, "attempt": attempt,
-                              "commit_no": last + 1, **(counters or {})}])
-
-    def _write(self, attempt: str, parts: dict[str, DataFrame], key=None, seq=None) -> None:
-        """Five independent writes of one attempt, submitted as concurrent jobs."""
-        def write(item):
-            name, df = item
-            if key is not None:
-                df = df.withColumns({"batch_key": key, "seq": seq})
-            df = df.withColumn("tenant_bucket", F.pmod(F.hash(F.col("tenant_id").cast("long")), F.lit(self.buckets)))
-            (df.hint("rebalance", "tenant_bucket").write.partitionBy("tenant_bucket")
-               .parquet(f"{self.path(name)}/attempt={attempt}"))
-
-        with ThreadPoolExecutor(max_workers=len(parts)) as pool:
-            list(pool.map(write, parts.items()))
+        lines = st.with_order_id(counted.filter(known)).select(
+            "tenant_id", "client_hash", "product_code", "quantity", "price", "transaction_date", "order_id",
+            "reject_reason", F.lit(batch_id).cast("long").alias("batch_id"), F.struct(*seq_cols).alias("seq"),
+            stamp.alias("load_time"), self._bucket(F.col("tenant_id")).alias("tenant_bucket"))
+        (lines.hint("rebalance", "tenant_bucket").write.mode("overwrite").option("partitionOverwriteMode", "static")
+         .partitionBy("tenant_bucket").parquet(f"{self.base}/lines/{folder}"))
+        n = seen.get
+        row = [(batch_id, *[n[c] for c in ("processed", "sent", "filtered", "unknown_key")])]
+        (rows.sparkSession.createDataFrame(row, BATCHES).coalesce(1).write.mode("overwrite")
+         .parquet(f"{self.base}/batches/{folder}"))
+
+    def _bucket(self, tenant):
+        return F.pmod(F.hash(tenant.cast("long")), F.lit(self.buckets))
 
     # --- reading ----------------------------------------------------------------------
 
-    def _read(self, spark: SparkSession, table: str, tenant_id: int | None = None) -> DataFrame:
-        """Committed rows of a table, of one tenant if asked (one bucket is read)."""
-        log = self.commits(spark).select("batch_key", "attempt")
-        attempts = sorted({r.attempt for r in log.collect()})
-        if not attempts:
-            raise ValueError(f"{self.base} holds no committed batch")
-        df = spark.read.option("basePath", self.path(table)).parquet(
-            *[f"{self.path(table)}/attempt={a}" for a in attempts])
+    def batches(self, spark: SparkSession) -> DataFrame:
+        """Counters of every batch."""
+        return read_table(spark, f"{self.base}/batches", f"{BATCHES}, batch_key string")
+
+    def _lines(self, spark: SparkSession, tenant_id: int | None = None) -> DataFrame:
+        if not path_exists(spark, f"{self.base}/lines"):
+            raise ValueError(f"{self.base} holds no batch")
+        df = spark.read.parquet(f"{self.base}/lines")
         if tenant_id is not None:
-            bucket = F.pmod(F.hash(F.lit(tenant_id).cast("long")), F.lit(self.buckets))
-            df = df.filter((F.col("tenant_bucket") == bucket) & (F.col("tenant_id") == tenant_id))
-        if table in PER_BATCH:
-            df = df.join(log, ["batch_key", "attempt"], "left_semi")
+            df = df.filter((F.col("tenant_bucket") == self._bucket(F.lit(tenant_id))) & (F.col("tenant_id") == tenant_id))
         return df
 
     def snapshot(self, spark: SparkSession, tenants: DataFrame | None = None,
                  marker_mode: str = "event", tenant_id: int | None = None) -> st.Star:
-        cust = self._read(spark, "customers", tenant_id).select("tenant_id", "customer_hash").distinct()
-        prod = self._products(spark, tenant_id).drop("seq", "batch_key")
-        orders = self._orders(spark, tenant_id).drop("seq", "batch_key")
-        items = self._read(spark, "order_items", tenant_id).select(
-            "order_id", "tenant_id", "product_code", "quantity", "price", "customer_hash",
-            "transaction_date", F.col("batch_id").cast("long").alias("batch_id"))
-        m = self._read(spark, "markers", tenant_id).groupBy("tenant_id").agg(
-            F.max("event_marker" if marker_mode == "event" else "ingest_marker").alias("__m"))
+        lines = self._lines(spark, tenant_id).filter(F.col("reject_reason").isNull()).withColumnRenamed(
+            "client_hash", "customer_hash")
+        order = F.struct("batch_id", "batch_key")
+        cust = lines.select("tenant_id", "customer_hash").distinct()
+        prod = lines.groupBy("tenant_id", "product_code").agg(
+            F.max_by("price", F.struct("batch_id", "batch_key", "seq")).cast(PRODUCTS["price"].dataType).alias("price"))
+        # the tenant is part of the key, so a tenant filter reaches the scan
+        orders = (lines.groupBy("tenant_id", "order_id")
+                  .agg(F.min_by(F.struct("customer_hash", "transaction_date"), order).alias("o"))
+                  .select("order_id", "tenant_id", "o.customer_hash", "o.transaction_date",
+                          order_number("order_id").alias("order_number")))
+        items = lines.select("order_id", "tenant_id", "product_code", "quantity", "price", "customer_hash",
+                             "transaction_date", "batch_id")
+        m = lines.groupBy("tenant_id").agg(
+            F.max("transaction_date" if marker_mode == "event" else "load_time").alias("__m"))
         if tenants is None:
             tenants = m.select("tenant_id").withColumn("company_name", F.lit(None).cast("string")) \
                        .withColumn("tenant_key", F.lit(None).cast("string")) \
@@ -187,36 +141,6 @@ class StarStore:
               if c == "last_sync_date" else F.col(c) for c in tenants.columns])
         return st.Star(tenants=t, customers=cust, products=prod, orders=orders, order_items=items)
 
-    def _products(self, spark: SparkSession, tenant_id: int | None = None) -> DataFrame:
-        return (self._read(spark, "products", tenant_id).groupBy("tenant_id", "product_code")
-                .agg(F.max_by(F.struct("price", "batch_key"), "seq").alias("p"), F.max("seq").alias("seq"))
-                .select("tenant_id", "product_code", F.col("p.price").cast(PRODUCTS["price"].dataType).alias("price"),
-                        "p.batch_key", "seq"))
-
-    def _orders(self, spark: SparkSession, tenant_id: int | None = None) -> DataFrame:
-        # the tenant is part of the key, so a tenant filter reaches the scan
-        return (self._read(spark, "orders", tenant_id).groupBy("tenant_id", "order_id")
-                .agg(F.min_by(F.struct("customer_hash", "transaction_date", "order_number", "batch_key"), "seq")
-                     .alias("o"), F.min("seq").alias("seq"))
-                .select("order_id", "tenant_id", "o.customer_hash", "o.transaction_date", "o.order_number",
-                        "o.batch_key", "seq"))
-
-    def compact(self, spark: SparkSession, new_base: str) -> "StarStore":
-        """Write the merged snapshot into a new store (the old one is left untouched)."""
-        new = StarStore(new_base, self.buckets)
-        attempt = f"compact-{uuid.uuid4().hex}"
-        own = lambda name: self._read(spark, name).drop("attempt", "tenant_bucket")
-        new._write(attempt, {
-            "customers": own("customers").groupBy("tenant_id", "customer_hash").agg(
-                F.min_by("batch_key", "seq").alias("batch_key"), F.min("seq").alias("seq")),
-            "products": self._products(spark), "orders": self._orders(spark),
-            "order_items": own("order_items"), "markers": own("markers")})
-        rows = [r.asDict() | {"attempt": attempt} for r in self.commits(spark).collect()]
-        # the compacted dimensions stay, also when all their batches are delivered again
-        rows.append({"batch_key": f"{attempt}:0", "seq": 0, "attempt": attempt, "commit_no": 0})
-        new._commit(spark, rows)
-        return new
-
 
 def write_star(star: st.Star, base: str) -> None:
     """Every table of an in-memory star as Parquet partitioned by tenant."""
@@ -228,39 +152,49 @@ def write_star(star: st.Star, base: str) -> None:
 class ReportStore:
     """Report headers plus detail tables (rules, assignments), appended per run."""
 
+    DETAILS = {"rules": RULE_ROWS, "assignments": ASSIGNMENT_ROWS}
+
     def __init__(self, base: str):
         self.base = base.rstrip("/")
 
     def append(self, headers: DataFrame, details: dict[str, DataFrame]) -> None:
-        by_tenant(headers).write.mode("append").partitionBy("tenant_id", "report_type").parquet(f"{self.base}/headers")
+        """Details first: a report whose header is there is whole."""
         for name, df in details.items():
             by_tenant(df).write.mode("append").partitionBy("tenant_id").parquet(f"{self.base}/{name}")
+        by_tenant(headers).write.mode("append").partitionBy("tenant_id", "report_type").parquet(f"{self.base}/headers")
 
     def headers(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.base}/headers")
+        return read_table(spark, f"{self.base}/headers", REPORTS)
 
-    def is_empty(self, spark: SparkSession) -> bool:
-        return not path_exists(spark, f"{self.base}/headers")
+    def details(self, spark: SparkSession, name: str) -> DataFrame:
+        return read_table(spark, f"{self.base}/{name}", self.DETAILS[name])
 
-    def retain(self, spark: SparkSession, new_base: str, keep: int = 3,
-               details: tuple = ("rules", "assignments")) -> "ReportStore":
-        """E1 as a rewrite: the ``keep`` newest reports per (tenant, type) and only
-        their detail rows go to ``new_base`` (the store being read is not overwritten)."""
-        from shopsight.operators.reports import retain_latest
-        new = ReportStore(new_base)
-        if self.is_empty(spark):
-            return new
-        kept = retain_latest(self.headers(spark), keep)
-        by_tenant(kept).write.mode("overwrite").partitionBy("tenant_id", "report_type").parquet(
-            f"{new.base}/headers")
-        ids = spark.read.parquet(f"{new.base}/headers").select("report_id")
-        for name in details:
-            if not path_exists(spark, f"{self.base}/{name}"):
-                continue               # this store has no such detail table yet
-            d = self.details(spark, name)
-            (by_tenant(d.join(ids, "report_id", "left_semi")).write.mode("overwrite")
-             .partitionBy("tenant_id").parquet(f"{new.base}/{name}"))
-        return new
+    def retain(self, spark: SparkSession, keep: int = 3) -> None:
+        """The ``keep`` newest reports per (tenant, type) and their details stay.
 
-    def details(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(f"{self.base}/{name}")
+        Only partitions that hold an expired report are written again, from a copy of the rows
+        that stay; the files of all others are not touched.  Headers go last, so a run that
+        is broken off finds its expired reports again."""
+        from shopsight.operators.reports import retain_latest
+        headers = self.headers(spark)
+        kept = retain_latest(headers, keep).select("report_id")
+        expired = staged(headers.join(kept, "report_id", "left_anti").select("report_id", "tenant_id", "report_type"),
+                         "expired-reports")
+        if expired.isEmpty():
+            return
+        for name in self.DETAILS:
+            self._without(spark, name, self.details(spark, name), expired, ["tenant_id"])
+        self._without(spark, "headers", headers, expired, ["tenant_id", "report_type"])
+
+    def _without(self, spark: SparkSession, name: str, rows: DataFrame, expired: DataFrame, parts: list[str]) -> None:
+        """Write the partitions of ``rows`` again that hold a row of an expired report."""
+        ids = expired.select("report_id").distinct()
+        touched = staged(rows.join(ids, "report_id", "left_semi").select(*parts).distinct(), "touched-partitions")
+        left = staged(rows.join(touched, parts, "left_semi").join(ids, "report_id", "left_anti"), "kept-reports")
+        by_tenant(left).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts) \
+            .parquet(f"{self.base}/{name}")
+        # an overwrite leaves partitions alone that get no row
+        hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+        for r in touched.join(left.select(*parts).distinct(), parts, "left_anti").toLocalIterator():
+            folder = hadoop.Path("/".join([self.base, name, *[f"{c}={r[c]}" for c in parts]]))
+            folder.getFileSystem(conf).delete(folder, True)

@@ -2,7 +2,7 @@
 
 ``readStream`` delivers source rows in micro-batches; ``foreachBatch`` reads each
 batch once (key resolution, classification and counters in the same pass) and
-commits its clean rows to the star store.  A batch is known by (source, epoch):
+writes its rows to the star store.  A batch is known by (source, epoch):
 the epoch is stable across restarts of the query (the checkpoint records it), so a
 batch that is delivered again after a failure replaces its own rows - exactly-once
 tables on an at-least-once sink - and the source is named after the checkpoint, so
@@ -29,7 +29,7 @@ def ingest_stream(stream: DataFrame, store: StarStore, checkpoint: str, seq_cols
     """Start the ingest query; ``to_feed`` turns a raw batch into feed columns.
 
     A feed without ``tenant_id`` is resolved by its integration key against ``tenants``;
-    the counters of every batch are in ``store.commits``."""
+    the counters of every batch are in ``store.batches``."""
     name = source or f"stream-{hashlib.md5(checkpoint.encode()).hexdigest()[:12]}"
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:

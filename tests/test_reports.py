@@ -61,14 +61,62 @@ def test_prompt_numbers_like_python(spark):
     assert "Середній чек: 49804976.19 грн." in p
 
 
-def test_report_store_retention(spark, tmp_dir):
+def _store(spark, tmp_dir):
     import os
     from shopsight.sources.store import ReportStore
     store = ReportStore(os.path.join(tmp_dir, "r"))
     heads = _reports(spark)
-    rules = spark.createDataFrame([(r.report_id, r.tenant_id, i) for i, r in enumerate(heads.collect())],
-                                  "report_id string, tenant_id int, x int")
+    rules = spark.createDataFrame([(r.report_id, r.tenant_id, ["a"], ["b"], 0.1, 0.2, 0.3) for r in heads.collect()],
+                                  ReportStore.DETAILS["rules"])
     store.append(heads, {"rules": rules})
-    kept = store.retain(spark, os.path.join(tmp_dir, "kept"), keep=3)
-    assert sorted(r.report_id for r in kept.headers(spark).collect()) == ["q0", "r1", "r2", "r3"]
-    assert sorted(r.report_id for r in kept.details(spark, "rules").collect()) == ["q0", "r1", "r2", "r3"]
+    return store, heads
+
+
+def _files(base):
+    import glob
+    import os
+    return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{base}/**/*.parquet", recursive=True)}
+
+
+def test_report_store_retention(spark, tmp_dir):
+    store, _ = _store(spark, tmp_dir)
+    other = spark.createDataFrame([("z1", 9, "t", "{}", None)], store.headers(spark).schema)
+    store.append(other, {"rules": spark.createDataFrame([("z1", 9, ["a"], ["b"], 0.1, 0.2, 0.3)], store.DETAILS["rules"])})
+    before = _files(store.base)
+    store.retain(spark, keep=3)
+    assert sorted(r.report_id for r in store.headers(spark).collect()) == ["q0", "r1", "r2", "r3", "z1"]
+    assert sorted(r.report_id for r in store.details(spark, "rules").collect()) == ["q0", "r1", "r2", "r3", "z1"]
+    after = _files(store.base)
+    quiet = [f for f in before if "tenant_id=9" in f]
+    assert len(quiet) == 2 and all(after.get(f) == before[f] for f in quiet)
+    store.retain(spark, keep=3)                                   # nothing expired: nothing written
+    assert _files(store.base) == after
+
+
+def test_retention_drops_a_partition_that_gets_no_row(spark, tmp_dir):
+    """The kept reports of a tenant have no rule, the expired one had."""
+    import datetime as dt
+    from shopsight.sources.store import ReportStore
+    store = ReportStore(tmp_dir)
+    heads = spark.createDataFrame([(f"r{i}", 1, "t", "{}", dt.datetime(2024, 1, 1 + i)) for i in range(4)],
+                                  store.headers(spark).schema)
+    store.append(heads, {"rules": spark.createDataFrame([("r0", 1, ["a"], ["b"], 0.1, 0.2, 0.3)], store.DETAILS["rules"])})
+    store.retain(spark, keep=3)
+    assert store.details(spark, "rules").count() == 0 and store.headers(spark).count() == 3
+
+
+def test_empty_report_tables(spark, tmp_dir):
+    """No headers, no rules, no tenants: everything can be read back and retained."""
+    from shopsight.plans import jobs
+    from shopsight.sources.store import ReportStore
+    store = ReportStore(tmp_dir)
+    store.retain(spark)
+    assert store.headers(spark).count() == 0 and store.details(spark, "rules").count() == 0
+    tx = spark.createDataFrame([(1, f"o{i}", f"p{i}") for i in range(20)],
+                               "tenant_id int, order_id string, product_code string")
+    for frame in (tx, tx.limit(0)):
+        headers, rules = jobs.run_basket(frame, store, 0.9, 0.9)
+        assert headers.count() == rules.count() == 0
+    store.retain(spark)
+    assert store.headers(spark).count() == store.details(spark, "rules").count() == 0
+    assert store.details(spark, "assignments").columns == ["report_id", "tenant_id", "id", "cid"]

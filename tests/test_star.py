@@ -86,22 +86,7 @@ def test_marker_modes(spark):
     assert ing == {1: dt.datetime(2024, 1, 1), 2: dt.datetime(2020, 1, 1)}
 
 
-def test_store_compact_keeps_snapshot(spark, tmp_dir):
-    import os
-    clean = common.clean_dirty_feed(spark, SF)
-    store = StarStore(os.path.join(tmp_dir, "a"))
-    for b in (0, 1, 2):
-        store.write_batch(td.batch_of(clean, b), b, common.SEQ, load_time="2024-01-01 00:00:00")
-    before = store.snapshot(spark)
-    after = store.compact(spark, os.path.join(tmp_dir, "b")).snapshot(spark)
-    for name, cols in [("customers", ["tenant_id", "customer_hash"]),
-                       ("products", ["tenant_id", "product_code", "price"]),
-                       ("orders", ["order_id", "tenant_id", "transaction_date"]),
-                       ("order_items", ["order_id", "product_code", "quantity", "price", "batch_id"])]:
-        assert _rows(getattr(before, name), cols) == _rows(getattr(after, name), cols), name
-
-
-# --- the store: redelivery, compaction, commits ------------------------------------------
+# --- the store: redelivery, counters, scope ----------------------------------------------
 
 CLEAN = ("tenant_id int, client_hash string, product_code string, quantity int, price decimal(18,4), "
          "order_date string, transaction_date timestamp_ntz, seq int")
@@ -128,36 +113,52 @@ def test_redelivery_drops_tenants_that_are_gone(spark, tmp_dir):
     assert [r.tenant_id for r in s.tenants.collect()] == [1]
 
 
-def test_compaction_then_replay_keeps_the_last_price(spark, tmp_dir):
-    import os
-    store = StarStore(os.path.join(tmp_dir, "a"))
+def test_replay_keeps_the_last_price(spark, tmp_dir):
+    store = StarStore(tmp_dir)
     store.write_batch(_clean(spark, (1, "a", "A", 10, 1), (1, "a", "C", 3, 1)), 1, ["seq"])
     store.write_batch(_clean(spark, (1, "a", "A", 20, 1)), 2, ["seq"])
-    new = store.compact(spark, os.path.join(tmp_dir, "b"))
-    new.write_batch(_clean(spark, (1, "a", "A", 10, 1), (1, "a", "C", 3, 1)), 1, ["seq"])
-    s = new.snapshot(spark)
-    assert _prices(s) == {(1, "A"): 20.0, (1, "C"): 3.0}
+    store.write_batch(_clean(spark, (1, "a", "A", 10, 1), (1, "a", "C", 4, 1)), 1, ["seq"])
+    s = store.snapshot(spark)
+    assert _prices(s) == {(1, "A"): 20.0, (1, "C"): 4.0}
     assert sorted((r.product_code, r.batch_id) for r in s.order_items.collect()) == [("A", 1), ("A", 2), ("C", 1)]
-    again = new.compact(spark, os.path.join(tmp_dir, "c")).snapshot(spark)
-    assert _prices(again) == _prices(s) and again.order_items.count() == 3
+    assert {(r.batch_key, r.sent) for r in store.batches(spark).collect()} == {("load:1", 2), ("load:2", 1)}
 
 
-def test_failed_delivery_stays_invisible(spark, tmp_dir, monkeypatch):
+def test_failed_delivery_leaves_other_batches_and_is_delivered_again(spark, tmp_dir):
     import pytest
+    from pyspark.sql import functions as F
     store = StarStore(tmp_dir)
     store.write_batch(_clean(spark, (1, "a", "A", 5, 1)), 0, ["seq"])
-    good = StarStore._write
-
-    def broken(self, attempt, parts, key=None, seq=None):
-        good(self, attempt, {k: parts[k] for k in ("customers", "orders")}, key, seq)
-        raise RuntimeError("lost between two tables")
-
-    monkeypatch.setattr(StarStore, "_write", broken)
-    with pytest.raises(RuntimeError):
-        store.write_batch(_clean(spark, (1, "z", "Z", 9, 1)), 1, ["seq"])
-    monkeypatch.undo()
+    good = _clean(spark, (1, "z", "Z", 9, 1), (2, "z", "Z", 9, 1))
+    bad = good.withColumn("quantity", F.when(F.col("tenant_id") == 2, F.raise_error(F.lit("lost"))).otherwise(F.col("quantity")))
+    with pytest.raises(Exception, match="lost"):
+        store.write_batch(bad, 1, ["seq"])
     s = store.snapshot(spark)
     assert s.customers.count() == 1 and s.orders.count() == 1 and s.order_items.count() == 1
+    store.write_batch(good, 1, ["seq"])
+    assert store.snapshot(spark).order_items.count() == 3
+
+
+def test_counters_come_from_the_write(spark, tmp_dir):
+    """One pass: the feed's rows are computed once, for the lines and the counters."""
+    import datetime as dt
+
+    from shopsight.plans import jobs
+    rows = [(t, f"c{t}" if q else None, "S", q, 2.0, dt.datetime(2024, 1, 1), 1) for t in (1, 2) for q in (0, 3, 4)]
+    feed = spark.createDataFrame(rows, "tenant_id int, client string, sku string, qty int, price double, "
+                                       "transaction_date timestamp_ntz, seq int")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    store = StarStore(tmp_dir)
+    jobs.load(feed.mapInArrow(count, feed.schema), store, 0, ["seq"])
+    assert seen.value == len(rows)
+    n = store.batches(spark).first()
+    assert (n.processed, n.sent, n.filtered, n.unknown_key) == (6, 4, 2, 0)
 
 
 def test_tenant_scope_reads_one_bucket(spark, tmp_dir):
@@ -184,5 +185,5 @@ def test_new_stream_checkpoint_leaves_old_batches(spark, tmp_dir):
         stream = spark.readStream.schema(lines).parquet(folder)
         ingest_stream(stream, store, os.path.join(tmp_dir, f"ck{k}"), ["seq"]).awaitTermination()
     assert store.snapshot(spark).order_items.count() == 3
-    log = {(r.processed, r.sent, r.filtered) for r in store.commits(spark).filter("processed is not null").collect()}
-    assert log == {(2, 1, 1)} and store.commits(spark).count() == 3
+    log = sorted((r.processed, r.sent, r.filtered) for r in store.batches(spark).collect())
+    assert log == [(1, 1, 0), (2, 1, 1), (2, 1, 1)]
