@@ -12,9 +12,10 @@ digest and text, all others by digest alone.
 
 Defined cases: null text counts as the empty text; rows without doc_id count in
 group_size, never win, and are not kept unless the whole group has no doc_id, when
-keep_id is null and no row is kept; equal rows with the same doc_id are all reported with
-the same values (``deduplicate`` leaves one of them); an empty table gives no rows; extra
-columns are ignored by ``classes`` and carried by ``deduplicate``.
+keep_id is null and no row is marked as kept (``deduplicate`` leaves one of them, as no
+other row has the text); equal rows with the same doc_id are all reported with the same
+values (``deduplicate`` leaves one of them); an empty table gives no rows; extra columns are
+ignored by ``classes`` and carried by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -71,10 +72,10 @@ def classes(docs: DataFrame, digest=sha256, salts: int = 32, hot_share: int = 10
 
 def deduplicate(docs: DataFrame, digest=sha256, **how) -> DataFrame:
     """The input rows that stay, one per distinct text, with all their columns."""
-    kept = classes(docs, digest, **how).filter("kept").select("doc_id", "digest").distinct()
+    kept = classes(docs, digest, **how).select("keep_id", "digest").distinct()
     names = docs.columns
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumn("__digest", digest(text))
-    out = keyed.join(kept.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d")),
-                     (F.col("doc_id") == F.col("__id")) & (F.col("__digest") == F.col("__d")), "left_semi")
+    out = keyed.join(kept.select(F.col("keep_id").alias("__id"), F.col("digest").alias("__d")),
+                     F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__d")), "left_semi")
     return out.dropDuplicates(["doc_id", "__digest"]).select(*[F.col(f"`{c}`") for c in names])

@@ -78,12 +78,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0, max_epochs: i
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_epochs: int = 3,
         buckets: int = 1024, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row of (doc_id, text, source)."""
+    """(doc_id, source, size, source_size, target, taken, text_key) for every row of (doc_id, text,
+    source); ``text_key`` names its text."""
     size, quality_of = F.col("size"), quality(F.col("text"), F.col("size"))
     read = docs.select("doc_id", "source", "text", n_words(F.col("text")).alias("size"))
-    weighed = staged(read.select("doc_id", "source", size, quality_of.alias("quality")), "mix-sizes")   # texts are read once
+    weighed = staged(read.select("doc_id", "source", size, quality_of.alias("quality"),
+                                 F.xxhash64("text").alias("text_key")), "mix-sizes")   # texts are read once
     rows = (weighed.withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("quality"))
-            .select("doc_id", "source", "size", "key",
+            .select("doc_id", "source", "size", "key", "text_key",
                     F.floor(F.lit(buckets) * F.col("key") / (1 + F.col("key"))).alias("bucket")))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     plan = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")),
@@ -101,16 +103,29 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_epochs: int =
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     left = F.floor(F.col("target") - epochs * F.col("source_size"))
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left - start))
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"),
+                         "text_key")
 
 
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: each input row repeated as whole copies, ``taken / size`` rounded
-    to the nearest (the document at a budget's edge is taken if half of it is owed)."""
+    to the nearest (the document at a budget's edge is taken if half of it is owed).
+
+    Rows are known by id, text and source.  Rows that agree in all three share the copies that
+    were worked out for them: each has the same number and one of them what is left over."""
     names = docs.columns
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0))
-    plan = (mix(docs, **how).groupBy("doc_id").agg(F.max(copies.cast("int")).alias("__n"))
-            .filter("__n > 0").withColumnRenamed("doc_id", "__id"))
-    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return (out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    plan = staged(mix(docs, **how).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"),
+                                           F.col("source").alias("__source"))
+                  .agg(F.sum(copies.cast("bigint")).alias("__n"), F.count("*").alias("__rows")).filter("__n > 0"), "mix-plan")
+    same = (F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
+            & F.col("source").eqNullSafe(F.col("__source")))
+    keyed = docs.withColumn("__text", F.xxhash64("text"))
+    each = F.floor(F.col("__n") / F.col("__rows"))
+    out = keyed.join(plan.filter(each > 0), same).withColumn("__times", each)
+    over = plan.filter(F.col("__n") % F.col("__rows") > 0)
+    if not over.isEmpty():
+        out = out.unionByName(keyed.join(over, same).dropDuplicates(["__id", "__key", "__source"])
+                              .withColumn("__times", F.col("__n") % F.col("__rows")))
+    return (out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "__times")))
             .select(*[F.col(f"`{c}`") for c in names]))

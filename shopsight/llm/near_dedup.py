@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopsight.llm import textarrays as ta
@@ -101,9 +101,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total[some, 1] = ta.signed(np.add.reduceat(ta.mix(values ^ ta.U(0x5851F42D4C957F2D)), starts))
         boff = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))])
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(sizes), *[pa.array(np.ascontiguousarray(total[:, c])) for c in range(2)],
+            [b.column("doc_id"), b.column("text_key"), pa.array(sizes), *[pa.array(np.ascontiguousarray(total[:, c])) for c in range(2)],
              ta.list_array(ta.signed(keys.ravel()), boff)],
-            names=["doc_id", "n_shingles", "d1", "d2", "bands"])
+            names=["doc_id", "text_key", "n_shingles", "d1", "d2", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,10 +130,12 @@ def _verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row per input row."""
+    """(doc_id, n_shingles, component_id, kept, text_key, d1, d2): one row per input row; the
+    last three name its text and its shingle set."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = staged(docs.mapInArrow(_sign, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, "
-                                           "bands array<bigint>"), "signatures")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    signed = staged(keyed.mapInArrow(_sign, "doc_id bigint, text_key bigint, n_shingles bigint, d1 bigint, d2 bigint, "
+                                            "bands array<bigint>"), "signatures")
     named = signed.filter("n_shingles > 0 and doc_id is not null")
     nodes = staged(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "nodes")
     reps = (named.join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "d1", "d2"])
@@ -158,8 +160,9 @@ def classes(docs: DataFrame) -> DataFrame:
                   .select("d1", "d2", "node", F.coalesce("component", "node").alias("component")), "classes")
     rows = signed.drop("bands").join(comp.select("d1", "d2", "component"), ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return (rows.withColumn("component_id", component).withColumn("kept", kept)
+            .select("doc_id", "n_shingles", "component_id", "kept", "text_key", "d1", "d2"))
 
 
 def _cross_links(docs: DataFrame, shared: DataFrame, comp: DataFrame) -> DataFrame:
@@ -201,8 +204,28 @@ def _several(rows: DataFrame, key: str) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The input rows that stay, one document of each group, with all their columns."""
-    gone = classes(docs).filter("not kept").select(F.col("doc_id").cast("bigint").alias("__gone")).distinct()
+    """The input rows that stay, one document of each group, with all their columns.
+
+    Rows are known by id and text, so texts that share an id are judged each by its own
+    group; of rows that agree in both, or in id and shingle set, one stays."""
+    rows = staged(classes(docs), "near-rows")
+    least = F.min("text_key").over(Window.partitionBy("doc_id", "d1", "d2"))
+    named = rows.filter("doc_id is not null")
+    same = named.filter("n_shingles > 0").groupBy("doc_id", "d1", "d2").agg(
+        F.count_distinct("text_key").alias("n")).filter("n > 1").select("doc_id", "d1", "d2")
+    others = (named.join(same, ["doc_id", "d1", "d2"], "left_semi").select("doc_id", "d1", "d2", "text_key").distinct()
+              .withColumn("least", least).filter("text_key <> least").select("doc_id", "text_key"))
+    gone = staged(named.filter("not kept").select("doc_id", "text_key").unionByName(others).distinct(), "near-gone")
+    twice = staged(named.groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key"),
+                   "near-twice")
     names = docs.columns
-    out = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("bigint")).withColumn("__key", F.xxhash64("text"))
+    out = keyed.join(gone, _same_row(gone), "left_anti")
+    if not twice.isEmpty():
+        once = out.join(twice, _same_row(twice), "left_semi").dropDuplicates(["__id", "__key"])
+        out = out.join(twice, _same_row(twice), "left_anti").unionByName(once)
     return out.select(*[F.col(f"`{c}`") for c in names])
+
+
+def _same_row(rows: DataFrame):
+    return (F.col("__id") == rows["doc_id"]) & (F.col("__key") == rows["text_key"])

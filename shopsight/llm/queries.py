@@ -63,7 +63,8 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS c FROM r G
 
 @query("op1_minhash_near_dedup", SQL_NEAR)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(table(spark, sf_dir, "documents"))
+    found = near_dedup.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 SQL_MIX = r"""

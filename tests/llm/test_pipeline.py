@@ -8,7 +8,7 @@ import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
-from shopsight.llm import quality_pu
+from shopsight.llm import exact_dedup, mixing, near_dedup, quality_pu
 from tests.llm import helpers as h
 
 
@@ -57,5 +57,29 @@ def test_stages_keep_the_columns(spark, tmp_dir):
 
 def test_all_operators_are_registered():
     from shopsight.llm.queries import QUERIES, SQL
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(SQL) <= set(QUERIES) and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def _ids(df):
+    return sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in df.collect())
+
+
+def test_stages_judge_rows_by_id_and_text(spark):
+    one, other, third = h.prose(1, 90), h.prose(2, 90), h.prose(3, 80)
+    # a text that only a row without id has stays, once
+    rows = [(None, one), (None, one), (None, other), (4, other)]
+    assert _ids(exact_dedup.deduplicate(h.frame(spark, rows))) == [(-1, one), (4, other)]
+    # of two texts under one id, only the copy of another document goes
+    rows = [(1, one), (7, one), (7, other), (8, third), (8, third.upper()), (9, "x"), (9, "x")]
+    found = _ids(near_dedup.deduplicate(h.frame(spark, rows)))
+    assert [r for r in found if r[0] != 8] == [(1, one), (7, other), (9, "x")]
+    assert [r[1].lower() for r in found if r[0] == 8] == [third]
+    # an id's copies are worked out row by row
+    rows = [(1, one), (1, h.prose(4, 110)), (2, other), (3, third), (5, "tiny text"), (5, "tiny text")]
+    docs = h.frame(spark, [(i, t, f"s{i % 2}") for i, t in rows])
+    for share in (0.2, 0.6, 1.0):
+        taken = mixing.mix(docs, share=share).collect()
+        want = sorted((r.doc_id, r.size) for r in taken for _ in range(int(r.taken / r.size + 0.5)))
+        got = sorted((r.doc_id, len(r.text.split())) for r in mixing.apply_mix(docs, share=share).collect())
+        assert got == want
