@@ -35,12 +35,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopsight.llm import textarrays as ta
+from shopsight.llm.byte_codec import byte_alphabet
 from shopsight.llm.common import small
 from shopsight.session import scratch_path
 
@@ -76,6 +78,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.base, self.mark, self.keep = self.tok.get_vocab_size(), self.tok.token_to_id(SPLIT), keep
+        self.byte_char = {b: c for c, b in byte_alphabet().items()}
         self.ends = np.zeros(self.base, bool)
         self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
         self.forget()
@@ -108,6 +111,22 @@ class Encoder:
             out += parts if len(cut) == len(some) and cut[-1] == len(ids) else self._apart(some)
         return out
 
+    def _foreign(self, pieces: list[str]) -> list[list[int]]:
+        """The same for letters beyond ASCII: folded together, then each as the bytes that the model knows."""
+        folded = self.tok.normalizer.normalize_str(" ".join(pieces)).split(" ")
+        if len(folded) != len(pieces):
+            return self._letters(pieces)
+        out: list[list[int]] = [[]] * len(pieces)
+        odd = []
+        for i, p in enumerate(folded):
+            if p.isalpha():
+                out[i] = [t.id for t in self.tok.model.tokenize(p.encode().decode("latin-1").translate(self.byte_char))]
+            else:
+                odd.append(i)                                # folding made something else of a letter
+        for i, ids in zip(odd, self._apart([pieces[i] for i in odd])):
+            out[i] = ids
+        return out
+
     def _pieces(self, pieces: list[str]) -> list[list[int]]:
         out: list[list[int]] = [[]] * len(pieces)
         model, foreign, rest = self.tok.model, [], []
@@ -118,7 +137,7 @@ class Encoder:
                 out[i] = [t.id for t in model.tokenize(p)]
             else:
                 foreign.append(i)
-        for some, how in ((foreign, self._letters), (rest, self._apart)):
+        for some, how in ((foreign, self._foreign), (rest, self._apart)):
             for i, ids in zip(some, how([pieces[i] for i in some])):
                 out[i] = ids
         return out
@@ -129,13 +148,11 @@ class Encoder:
         if not len(starts):
             return data, starts, ends, woff
         kind = _KIND[data]
-        word = np.repeat(np.arange(len(starts)), ends - starts)
-        inside = np.repeat(starts, ends - starts) + ta.spread_counts(ends - starts)
-        stop = (data == 39) | (data == 60)                                  # ' and <
-        whole = np.zeros(len(starts), bool)
-        whole[word[stop[inside]]] = True
-        free = np.zeros(len(data), bool)
-        free[inside] = ~whole[word]
+        free = ~ta.BLANK[data]
+        stop = np.flatnonzero((data == 39) | (data == 60))                  # ' and <
+        whole = np.unique(np.searchsorted(starts, stop, "right") - 1)
+        size = ends[whole] - starts[whole]
+        free[np.repeat(starts[whole], size) + ta.spread_counts(size)] = False
         change = np.zeros(len(data), bool)
         change[1:] = free[1:] & free[:-1] & (kind[1:] < 3) & (kind[:-1] < 3) & (
             (kind[1:] != kind[:-1]) | (kind[1:] == 1))
@@ -149,7 +166,9 @@ class Encoder:
     def encode(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """Ids of every text with the end id, and n + 1 offsets."""
         data, starts, ends, poff = self.cut(*ta.bytes_of(texts))
-        unique, first, which = np.unique(ta.fingerprints(data, starts, ends), return_index=True, return_inverse=True)
+        which, unique = pd.factorize(ta.fingerprints(data, starts, ends))
+        first = np.zeros(len(unique), np.int64)
+        first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
         if len(self.known) > self.keep:
             self.forget()
         there = np.isin(unique, self.known, assume_unique=True)
