@@ -24,6 +24,7 @@ import math
 from typing import Iterable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -270,15 +271,85 @@ def compare_models(base: DataFrame, weighted: DataFrame, keys: Sequence[str] = (
 
 # --- G3 / G4: K-Means (Lloyd) over all keys at once ---------------------------------------------------
 
+def _spread(rows: pd.DataFrame, cols: Sequence[str], most: int, rng: np.random.Generator) -> list[int]:
+    """Weighted k-means++ over candidates: indexes of up to ``most`` distinct ones, each the best of
+    a few draws by weight times squared distance."""
+    x, w = rows[list(cols)].to_numpy(float), rows["__w"].to_numpy(float)
+    chosen = [int(rng.choice(len(x), p=w / w.sum()))]
+    near = ((x - x[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < most and (w * near).sum() > 0:
+        p = w * near
+        draws = np.unique(rng.choice(len(x), size=2 + int(math.log(most)), p=p / p.sum()))
+        left = [np.minimum(near, ((x - x[i]) ** 2).sum(1)) for i in draws]
+        best = int(np.argmin([(w * n).sum() for n in left]))
+        chosen.append(int(draws[best]))
+        near = left[best]
+    return chosen
+
+
+def seeds(base: DataFrame, cols: Sequence[str], keys: Sequence[str], id_col: str, most: int, n_init: int = 3,
+          seed: int = 42, passes: int = 3) -> DataFrame:
+    """k-means||: (keys, __run, __rn, cols), up to ``most`` starting centroids per key and restart.
+
+    Every pass adds the ``2 * most`` rows with the smallest -ln(u) / d, a weighted sample by the
+    squared distance d to the candidates so far (u from a seeded hash of the id), taken as a
+    two-step top-n.  Then every row counts for its nearest candidate, and a weighted k-means++
+    orders the candidates, 2 * most * passes + 1 of them at most, inside one small group.  All
+    keys and restarts go through the same passes.  A key with fewer distinct rows than ``most``
+    repeats its first centroid, up to its number of rows."""
+    over, g = 2 * most, [*keys, "__run"]
+    point = F.struct(*cols)
+
+    def hashed(df: DataFrame, salt: int) -> DataFrame:
+        return df.withColumn("__h", F.xxhash64(F.col(id_col), F.lit(seed), F.lit(salt), F.col("__run")))
+
+    runs = base.withColumn("__run", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))))
+    candidates = hashed(runs, 0).groupBy(*g).agg(F.min_by(point, F.struct("__h", id_col)).alias("c")).checkpoint()
+
+    def nearest() -> DataFrame:
+        """Every row with its nearest candidate, once a restart."""
+        packed = candidates.groupBy(*g).agg(F.sort_array(F.collect_list("c")).alias("__cs")).withColumn(
+            "__cents", F.transform("__cs", lambda c, i: F.struct(i.alias("cluster_id"), *[c[x].alias(x) for x in cols])))
+        packed = packed.groupBy(*keys).agg(F.collect_list(F.struct("__run", "__cents")).alias("__ms"))
+        near = F.transform("__ms", lambda m: F.struct(m["__run"].alias("__run"), _nearest(m["__cents"], cols).alias("n"),
+                                                      m["__cents"].alias("__cents")))
+        rows = salted_join(base, packed, keys).select(*keys, id_col, *cols, F.explode(near).alias("__l"))
+        return rows.select(*keys, id_col, *cols, "__l.__run", F.col("__l.n.d").alias("__d"), F.element_at(
+            "__l.__cents", F.col("__l.n.cluster_id").cast("int") + 1).alias("__c"))
+
+    for i in range(1, passes + 1):
+        u = (F.pmod("__h", F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        drawn = hashed(nearest().filter("__d > 0"), i).withColumn("__draw", -F.log(u) / F.col("__d"))
+        order = [F.col("__draw"), F.col(id_col)]
+        share = Window.partitionBy(*g, F.pmod("__h", F.lit(SALTS))).orderBy(*order)
+        picked = (drawn.withColumn("__n", F.row_number().over(share)).filter(F.col("__n") <= over)
+                  .withColumn("__n", F.row_number().over(Window.partitionBy(*g).orderBy(*order)))
+                  .filter(F.col("__n") <= over).select(*g, point.alias("c")).distinct())
+        candidates = candidates.unionByName(picked).checkpoint()
+    weights = nearest().groupBy(*g, *[F.col(f"__c.{c}").alias(c) for c in cols]).agg(F.count(F.lit(1)).alias("__w"))
+
+    def order(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(list(cols), ignore_index=True)
+        rng = np.random.default_rng([seed, int(rows["__run"].iloc[0]), len(rows)])
+        at = _spread(rows, cols, most, rng)
+        at += [at[0]] * (min(most, int(rows["__w"].sum())) - len(at))
+        out = rows.iloc[at].drop(columns="__w")
+        out["__rn"] = np.arange(1, len(at) + 1, dtype=np.int32)
+        return out
+
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in weights.schema.fields if f.name != "__w"]
+    names = [*g, *cols, "__rn"]
+    return weights.groupBy(*g).applyInPandas(lambda k, r: order(k, r)[names], ", ".join([*kinds, "__rn int"]))
+
+
 def kmeans_fit(df: DataFrame, cols: Sequence[str] = FEATURES, k: int | Iterable[int] = 3,
                keys: Sequence[str] = ("tenant_id",), id_col: str = "buyer_id", seed: int = 42,
                max_iter: int = 300, tol: float = 1e-4, n_init: int = 3,
                order_by: str = "monetary") -> DataFrame:
     """Fit K-Means per key (and per k when ``k`` is a list).
 
-    Initial centroids: for each restart, the k rows with the smallest seeded hash of
-    the id (a two-step top-k per key).  Each iteration assigns rows to the nearest
-    centroid and averages per (key, k, restart, cluster); an empty cluster keeps its
+    Initial centroids: k-means|| (``seeds``), the same sequence for every k of a restart.
+    Each iteration assigns rows to the nearest centroid and averages per (key, k, restart, cluster); an empty cluster keeps its
     centroid.  A model is finished when no centroid moves by more than ``tol`` (squared)
     or after ``max_iter`` iterations.  The restart with the lowest inertia wins; clusters
     are relabelled 0..k-1 by centroid ``order_by`` descending.
@@ -292,13 +363,8 @@ def kmeans_fit(df: DataFrame, cols: Sequence[str] = FEATURES, k: int | Iterable[
     checkpoint_dir(d.sparkSession)
     g = kk + ["k", "__run"]
     base = d.select(*kk, id_col, *[F.col(c).cast("double").alias(c) for c in cols]).checkpoint()
-    runs = (base.withColumn("__run", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))))
-                .withColumn("__h", F.xxhash64(F.col(id_col), F.lit(seed), F.col("__run")))
-                .withColumn("__salt", F.pmod("__h", F.lit(SALTS))))
-    best_of = lambda *by: F.row_number().over(Window.partitionBy(*kk, "__run", *by).orderBy("__h", id_col))
-    first = (runs.withColumn("__rn", best_of("__salt")).filter(F.col("__rn") <= max(ks))
-                 .withColumn("__rn", best_of()).filter(F.col("__rn") <= max(ks))
-                 .withColumn("k", F.explode(F.array(*[F.lit(x) for x in ks]))).filter(F.col("__rn") <= F.col("k")))
+    first = (seeds(base, cols, kk, id_col, max(ks), n_init, seed)
+             .withColumn("k", F.explode(F.array(*[F.lit(x) for x in ks]))).filter(F.col("__rn") <= F.col("k")))
     cluster = F.struct((F.col("__rn") - 1).alias("cluster_id"), *cols)
     models = (first.groupBy(*g).agg(F.sort_array(F.collect_list(cluster)).alias("__cents"))
                    .withColumns({"iterations": F.lit(0), "converged": F.lit(False)}).checkpoint())

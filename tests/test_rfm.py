@@ -142,3 +142,63 @@ def test_kpis_of_tenants_without_items(spark):
     got = {r.tenant_id: (r.total_revenue, r.total_customers, r.avg_revenue_per_customer)
            for r in kpi.kpis(items, tenants=tenants).collect()}
     assert got == {1: (6.0, 1, 6.0), 2: (0.0, 0, 0.0)}
+
+
+# --- k-means|| and the sweep against plain forms ---------------------------------------
+
+def _blobs(spark, tenants, sizes, seed=7):
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    rows, best = [], {}
+    for t in range(tenants):
+        centres = rng.permutation(len(sizes) * 4)[:len(sizes)][:, None] * np.array([[40.0, 25.0, 60.0]])
+        parts = [c + rng.normal(size=(n, 3)) for c, n in zip(centres, sizes)]
+        best[t] = sum(((p - p.mean(0)) ** 2).sum() for p in parts)
+        rows += [(t, f"c{i}", *map(float, x)) for i, x in enumerate(np.concatenate(parts))]
+    return spark.createDataFrame(rows, "tenant_id int, buyer_id string, recency double, frequency double, monetary double"), best
+
+
+def test_seeding_finds_small_blobs(spark):
+    """Two large blobs and six small ones: random rows nearly all fall into the large ones."""
+    df, best = _blobs(spark, 3, [400, 400, 6, 6, 6, 6, 6, 6])
+    models = rfm.kmeans_fit(df, k=8, n_init=1).groupBy("tenant_id").agg({"inertia": "max", "size": "min"}).collect()
+    for r in models:
+        assert abs(r["max(inertia)"] / best[r.tenant_id] - 1) < 1e-6 and r["min(size)"] == 6
+
+
+def test_seeds_of_few_and_equal_rows(spark):
+    rows = [(1, f"c{i}", 1.0, 2.0, 3.0) for i in range(5)] + [(2, "a", 0.0, 0.0, 0.0), (2, "b", 1.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "tenant_id int, buyer_id string, recency double, frequency double, monetary double")
+    got = rfm.kmeans_fit(df, k=[3], n_init=2).collect()
+    assert sorted((r.tenant_id, r.size) for r in got) == [(1, 0), (1, 0), (1, 5), (2, 1), (2, 1)]
+    assert {r.inertia for r in got} == {0.0}
+    assert rfm.kmeans_fit(df.limit(0), k=3).count() == 0
+
+
+def test_sweep_scores_equal_plain_scores(spark):
+    import numpy as np
+    df, _ = _blobs(spark, 2, [30, 20, 25, 8])
+    models = rfm.kmeans_fit(df, k=[2, 3, 4, 5], n_init=1).checkpoint()
+    got = {(r.tenant_id, r.k): (r.silhouette, r.db_index) for r in rfm.kmeans_sweep(df, ks=[2, 3, 4, 5], centroids=models).collect()}
+    points, cents = df.toPandas(), models.toPandas()
+    assert len(got) == 8
+    for (t, k), (sil, db) in got.items():
+        x = points[points.tenant_id == t][list(rfm.FEATURES)].to_numpy()
+        c = cents[(cents.tenant_id == t) & (cents.k == k)].sort_values("cluster_id")[list(rfm.FEATURES)].to_numpy()
+        label = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        d = ((x[:, None] - x[None]) ** 2).sum(2)
+        scores = []
+        for i, a in enumerate(label):
+            own = label == a
+            if own.sum() == 1:
+                scores.append(0.0)
+                continue
+            inner = d[i][own].sum() / (own.sum() - 1)
+            outer = min(d[i][label == b].mean() for b in set(label.tolist()) - {a})
+            scores.append((outer - inner) / max(inner, outer))
+        assert abs(sil - np.mean(scores)) < 1e-4
+        used = sorted(set(label.tolist()))
+        mean = {b: x[label == b].mean(0) for b in used}
+        s = {b: np.sqrt(((x[label == b] - mean[b]) ** 2).sum(1)).mean() for b in used}
+        plain = np.mean([max((s[a] + s[b]) / np.linalg.norm(mean[a] - mean[b]) for b in used if b != a) for a in used])
+        assert abs(db - plain) < 1e-4
