@@ -143,11 +143,31 @@ def mark_cap(df: DataFrame, n: int, order_cols: Sequence[str]) -> DataFrame:
     return df.withColumn("within_cap", key <= cut)
 
 
-def delta(df: DataFrame, marker: str | None, ts_col: str = "transaction_date") -> DataFrame:
-    """Rows strictly after the normalised marker; no marker means no filter."""
-    if not marker:
-        return df
-    return df.filter(F.col(ts_col).cast("timestamp_ntz") > marker_timestamp(F.lit(marker)))
+def delta(df: DataFrame, marker: str | None, ts_col: str = "transaction_date", overlap: str | None = None) -> DataFrame:
+    """Rows strictly after the normalised marker; no marker means no filter.
+
+    With ``overlap`` (an interval such as ``7 days``) also the rows of that time before it, which
+    ``unseen`` compares with what is stored."""
+    return df.filter(F.col(ts_col).cast("timestamp_ntz") > since(marker, overlap)) if marker else df
+
+
+def since(marker: str, overlap: str | None = None) -> Column:
+    """The time that a delta load reads from."""
+    at = marker_timestamp(F.lit(marker))
+    return at - F.expr(f"INTERVAL {overlap}") if overlap else at
+
+
+def unseen(rows: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows that ``stored`` does not hold yet, as multisets: a row that comes n times and is stored
+    m times stays n - m times.  ``key`` decides what is equal, nulls included; the other columns
+    must follow from it.  Both sides are counted map-side first, so a row that is repeated very
+    often is one row a task."""
+    have = stored.groupBy(*[F.col(c).alias(f"__{c}") for c in key]).agg(F.count(F.lit(1)).alias("__have"))
+    come = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__come"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
+    left = F.col("__come") - F.coalesce(F.col("__have"), F.lit(0))
+    return (come.join(have, same, "left").filter(left > 0)
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), left))).select(*rows.columns))
 
 
 def union_feeds(dfs: Iterable[DataFrame]) -> DataFrame:

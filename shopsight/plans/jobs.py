@@ -31,16 +31,19 @@ DEFAULT_WEIGHTS = {"recency": 1.0, "frequency": 1.0, "monetary": 1.0}
 
 def load(feed: DataFrame, store: StarStore, batch_id: int, seq_cols: Sequence[str],
          mode: str = "full", marker: str | None = None, tenants: DataFrame | None = None,
-         keep: Sequence[str] = ()) -> DataFrame:
+         keep: Sequence[str] = (), overlap: str | None = None) -> DataFrame:
     """Full or delta load of a feed batch into the store; returns per-tenant counters.
 
     A feed with ``tenant_key`` is resolved against ``tenants`` first (unknown keys are
-    rejected); delta mode keeps rows strictly after the normalised marker.  The source is
-    read once: rows and counters come from the same staged batch.
+    rejected); delta mode keeps rows strictly after the normalised marker.  A row that arrives
+    late, with the marker's own time or an older one, is lost that way; ``overlap`` reads that much
+    time before the marker again and stores what is not there yet.  The source is read once:
+    rows and counters come from the same pass.
     """
     if mode == "delta":
-        feed = cleaning.delta(feed, marker)
-    return store.write_feed(feed, batch_id, seq_cols, keep=keep, tenants=tenants)
+        feed = cleaning.delta(feed, marker, overlap=overlap)
+    return store.write_feed(feed, batch_id, seq_cols, keep=keep, tenants=tenants,
+                            new_since=cleaning.since(marker, overlap) if mode == "delta" and overlap else None)
 
 
 # --- J1: RFM segmentation ---------------------------------------------------------

@@ -52,6 +52,24 @@ def store_replay(spark, sf_dir):
     return store.snapshot(spark).products.withColumn("price", F.col("price").cast("double"))
 
 
+@query("load_late_rows", covers="B12 L2", sql=S.with_(q_star._DIRTY_ITEMS, f"""
+SELECT order_id, tenant_id, product_code, quantity, CAST(price AS DOUBLE) AS price, client_hash AS customer_hash,
+  transaction_date, CAST(CASE WHEN transaction_date <= TIMESTAMP '{td.DELTA_MARKER}' AND NOT (l_orderkey % 11 = 0
+    AND transaction_date > TIMESTAMP '{td.DELTA_MARKER}' - INTERVAL 365 DAY) THEN 0 ELSE 1 END AS BIGINT) AS batch_id
+FROM items"""))
+def load_late_rows(spark, sf_dir):
+    """Rows up to the marker, but for every 11th order of the year before it, which is late; then
+    a delta load of the whole source that reads a year of overlap: as one load of it all."""
+    store = StarStore(scratch_path(spark, "star"))
+    dirty = td.dirty_feed(spark, sf_dir)
+    since = F.lit(td.DELTA_MARKER).cast("timestamp_ntz")
+    at = F.col("transaction_date").cast("timestamp_ntz")
+    late = (F.col("l_orderkey") % 11 == 0) & (at > since - F.expr("INTERVAL 365 days"))
+    jobs.load(dirty.filter(~late & (at <= since)), store, 0, common.SEQ)
+    jobs.load(dirty, store, 1, common.SEQ, mode="delta", marker=td.DELTA_MARKER, overlap="365 days")
+    return _items(store.snapshot(spark, td.tenants(spark, sf_dir)))
+
+
 TENANT = 7
 
 

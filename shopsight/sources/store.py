@@ -22,7 +22,7 @@ from __future__ import annotations
 from typing import Sequence
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shopsight.functions.scalar import order_number
@@ -60,17 +60,18 @@ class StarStore:
     # --- writing --------------------------------------------------------------------
 
     def write_feed(self, feed: DataFrame, batch_id: int, seq_cols: Sequence[str], source: str = "load",
-                   keep: Sequence[str] = (), load_time: str | None = None, tenants: DataFrame | None = None
-                   ) -> DataFrame:
+                   keep: Sequence[str] = (), load_time: str | None = None, tenants: DataFrame | None = None,
+                   new_since: Column | None = None) -> DataFrame:
         """One raw feed batch, read once: its rows are classified, counted and written in the same
         pass; returns the counters per tenant, from the written rows.  With ``tenants``, the
-        integration key is resolved first and rows of unknown keys are only counted."""
+        integration key is resolved first and rows of unknown keys are only counted.  With
+        ``new_since``, clean rows that other batches hold since that time are left out."""
         if "tenant_id" not in feed.columns:
             if tenants is None:
                 raise ValueError("a feed without tenant_id needs the tenant register")
             feed = feed.join(tenants.select("tenant_key", "tenant_id"), "tenant_key", "left")
         rows = cleaning.clean_classified(cleaning.classify_feed(feed), ("tenant_id", *keep, *seq_cols), all_rows=True)
-        self._write(rows, batch_id, seq_cols, load_time, source)
+        self._write(rows, batch_id, seq_cols, load_time, source, new_since)
         written = self._lines(feed.sparkSession).filter(F.col("batch_key") == f"{source}:{batch_id}")
         return cleaning.classified_stats(written)
 
@@ -79,7 +80,8 @@ class StarStore:
         """Write one clean batch (``clean_feed`` columns + tenant_id + sequence columns)."""
         self._write(clean.withColumn("reject_reason", F.lit(None).cast("string")), batch_id, seq_cols, load_time, source)
 
-    def _write(self, rows: DataFrame, batch_id: int, seq_cols: Sequence[str], load_time: str | None, source: str) -> None:
+    def _write(self, rows: DataFrame, batch_id: int, seq_cols: Sequence[str], load_time: str | None, source: str,
+               new_since: Column | None = None) -> None:
         folder = f"batch_key={quote(f'{source}:{batch_id}', safe='')}"
         known, good = F.col("tenant_id").isNotNull(), F.col("reject_reason").isNull()
         seen = Observation()
@@ -91,6 +93,13 @@ class StarStore:
             "tenant_id", "client_hash", "product_code", "quantity", "price", "transaction_date", "order_id",
             "reject_reason", F.lit(batch_id).cast("long").alias("batch_id"), F.struct(*seq_cols).alias("seq"),
             stamp.alias("load_time"), self._bucket(F.col("tenant_id")).alias("tenant_bucket"))
+        if new_since is not None and path_exists(rows.sparkSession, f"{self.base}/lines"):
+            clean = F.col("reject_reason").isNull()
+            others = self._lines(rows.sparkSession).filter(
+                clean & (F.col("batch_key") != f"{source}:{batch_id}") & (F.col("transaction_date") > new_since))
+            key = ["tenant_id", "client_hash", "product_code", "quantity", "price", "transaction_date", "seq"]
+            lines = staged(lines, "delivered-lines")             # the folder below is read and written
+            lines = lines.filter(~clean).unionByName(cleaning.unseen(lines.filter(clean), staged(others, "stored-lines"), key))
         (lines.hint("rebalance", "tenant_bucket").write.mode("overwrite").option("partitionOverwriteMode", "static")
          .partitionBy("tenant_bucket").parquet(f"{self.base}/lines/{folder}"))
         n = seen.get

@@ -187,3 +187,27 @@ def test_new_stream_checkpoint_leaves_old_batches(spark, tmp_dir):
     assert store.snapshot(spark).order_items.count() == 3
     log = sorted((r.processed, r.sent, r.filtered) for r in store.batches(spark).collect())
     assert log == [(1, 1, 0), (2, 1, 1), (2, 1, 1)]
+
+
+def test_late_and_repeated_rows_of_a_delta_load(spark, tmp_dir):
+    import datetime as dt
+
+    from shopsight.plans import jobs
+    schema = "tenant_id int, client string, sku string, qty int, price double, transaction_date timestamp_ntz, seq int"
+    day = lambda d: dt.datetime(2024, 1, d)
+    first = [(1, "a", "A", 1, 2.0, day(1), 1), (1, "a", "A", 1, 2.0, day(5), 1), (1, "a", "A", 1, 2.0, day(5), 1),
+             (1, None, "A", 1, 2.0, day(5), 1)]
+    late = [(1, "a", "A", 1, 2.0, day(5), 1),             # a third copy of a stored row, at the marker's own time
+            (1, "b", "B", 2, 3.0, day(4), 2), (2, "c", "C", 1, 1.0, day(5), 3)]
+    new = [(1, "a", "A", 1, 2.0, day(6), 1)] * 2
+    store = StarStore(tmp_dir)
+    jobs.load(spark.createDataFrame(first, schema), store, 0, ["seq"])
+    for _ in range(2):                                       # delivered twice
+        jobs.load(spark.createDataFrame(first + late + new, schema), store, 1, ["seq"], mode="delta",
+                  marker="2024-01-05 00:00:00", overlap="2 days")
+        got = sorted((r.tenant_id, r.product_code, r.quantity, r.transaction_date.day)
+                     for r in store.snapshot(spark).order_items.collect())
+        assert got == sorted((r[0], r[2], r[3], r[5].day) for r in first + late + new if r[1])
+    nothing = jobs.load(spark.createDataFrame([], schema), store, 2, ["seq"], mode="delta",
+                        marker="2024-01-05 00:00:00", overlap="2 days")
+    assert nothing.count() == 0 and store.snapshot(spark).order_items.count() == 8
