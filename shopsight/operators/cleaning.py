@@ -133,14 +133,59 @@ def capped(df: DataFrame, n: int, order_cols: Sequence) -> DataFrame:
 
 def mark_cap(df: DataFrame, n: int, order_cols: Sequence[str]) -> DataFrame:
     """A3 / B10 without losing rows: every row, with ``within_cap`` true for the first ``n`` in
-    ascending order (nulls first).  The cut is one key, fetched before: the last of the top n."""
+    ascending order (nulls first; rows equal to the n-th one count as well)."""
+    cut = nth_key(df, n, order_cols)
+    return df.withColumn("within_cap", F.lit(False) if cut is None else F.struct(*order_cols) <= cut)
+
+
+def nth_key(df: DataFrame, n: int, order_cols: Sequence[str], pivots: int = 32, few: int = 4096) -> Column | None:
+    """The key of the n-th row in ascending order (of the last one where there are fewer rows), as a
+    constant; None without rows.
+
+    Selection by counting: a few random keys cut the range that holds the n-th key, one partial
+    aggregation counts the rows of each piece, and the piece with the n-th row is the next range,
+    until it has one key or at most ``few`` rows.  A key that was drawn is a piece of its own, so
+    one that is repeated without end is found as soon as it is drawn.  Every pass leaves about one row of
+    ``pivots``; no task holds more than ``few`` keys, whatever ``n`` is."""
     types = dict(df.select(*order_cols).dtypes)
     key = F.struct(*[F.col(c) for c in order_cols])
-    last = df.select(key.alias("k")).orderBy("k").limit(n).agg(F.max("k").alias("k")).first()["k"]
-    if last is None:
-        return df.withColumn("within_cap", F.lit(False))
-    cut = F.struct(*[F.lit(last[c]).cast(types[c]).alias(c) for c in order_cols])
-    return df.withColumn("within_cap", key <= cut)
+
+    def constant(row) -> Column:
+        return F.struct(*[F.lit(row[c]).cast(types[c]).alias(c) for c in order_cols])
+
+    # the leading column alone is a condition that a scan can use
+    first = F.col(order_cols[0])
+    rows, rest, size = df, n, None
+    while n > 0:
+        if size is not None and size <= few:
+            last = rows.select(key.alias("k")).orderBy("k").limit(rest).agg(F.max("k").alias("k")).first()["k"]
+            return constant(last)
+        drawn = sorted_rows(rows.select(key.alias("k")).orderBy(F.rand(len(order_cols))).limit(pivots).distinct())
+        if not drawn:
+            return None
+        at = F.array(*[constant(r) for r in drawn])
+        # pieces: 2 i below the i-th pivot, 2 i + 1 the pivot itself
+        piece = (2 * F.size(F.filter(at, lambda p: p < F.col("k"))) + F.array_contains(at, F.col("k")).cast("int"))
+        counts = {r["piece"]: r for r in rows.select(key.alias("k")).groupBy(piece.alias("piece")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).collect()}
+        if size is None:
+            rest = min(rest, sum(r["n"] for r in counts.values()))
+        for i in sorted(counts):
+            if counts[i]["n"] >= rest:
+                break
+            rest -= counts[i]["n"]
+        lo, hi, size = counts[i]["lo"], counts[i]["hi"], counts[i]["n"]
+        if i % 2 or lo == hi:
+            return constant(lo)
+        rows = df.filter((key >= constant(lo)) & (key <= constant(hi)))
+        if lo[0] is not None:
+            rows = rows.filter((first >= F.lit(lo[0]).cast(types[order_cols[0]])) & (first <= F.lit(hi[0]).cast(types[order_cols[0]])))
+    return None
+
+
+def sorted_rows(keys: DataFrame) -> list:
+    """A bounded frame of keys ``k``, sorted as Spark sorts them."""
+    return [r["k"] for r in keys.orderBy("k").collect()]
 
 
 def delta(df: DataFrame, marker: str | None, ts_col: str = "transaction_date", overlap: str | None = None) -> DataFrame:

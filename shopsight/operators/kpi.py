@@ -31,6 +31,11 @@ def kpis(order_items: DataFrame, keys: Sequence[str] = ("tenant_id",),
     agg = ds.groupBy(*keys).agg(
         F.coalesce(F.sum("total_amount"), F.lit(0)).cast("double").alias("total_revenue"),
         F.count_distinct("buyer_id").alias("total_customers"))
+    return with_average(agg, keys, tenants)
+
+
+def with_average(agg: DataFrame, keys: Sequence[str], tenants: DataFrame | None = None) -> DataFrame:
+    """D2 on revenue and buyers per key, with zeros for tenants that have none."""
     if tenants is not None:
         agg = tenants.select(*keys).distinct().join(agg, list(keys), "left").select(
             *keys, F.coalesce("total_revenue", F.lit(0.0)).alias("total_revenue"),
@@ -40,6 +45,13 @@ def kpis(order_items: DataFrame, keys: Sequence[str] = ("tenant_id",),
     return agg.withColumn("avg_revenue_per_customer", avg)
 
 
+def order_totals(order_items: DataFrame, keys: Sequence[str] = ("tenant_id",)) -> DataFrame:
+    """Amount and last date of every (customer, order)."""
+    return order_items.groupBy(*keys, "customer_hash", "order_id").agg(
+        F.sum((F.col("quantity") * F.col("price")).cast(_SUM_TYPE)).alias("amount"),
+        F.max("transaction_date").alias("transaction_date"))
+
+
 def rfm_metrics(orders: DataFrame | None, order_items: DataFrame,
                 keys: Sequence[str] = ("tenant_id",)) -> DataFrame:
     """Last order date, number of orders and spend per (tenant, buyer).

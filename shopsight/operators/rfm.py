@@ -27,7 +27,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 FEATURES = ("recency", "frequency", "monetary")
 SALTS = 16
@@ -436,40 +435,55 @@ def kmeans_sweep(df: DataFrame, cols: Sequence[str] = FEATURES, ks: Iterable[int
 
 # --- G10 / E4: PCA explained variance ------------------------------------------------------------------
 
+def eigenvalues(matrix: Column, n: int, sweeps: int = 10) -> Column:
+    """Eigenvalues, falling, of a symmetric n x n matrix given as one array by rows: cyclic Jacobi
+    rotations, each of which turns one entry off the diagonal to 0.  Ten sweeps are more than the
+    quadratic convergence needs for the few features of a customer."""
+    pairs = [(p, q) for p in range(n) for q in range(p + 1, n)]
+
+    def rotated(a: Column, p: int, q: int) -> Column:
+        at = lambda i, j: a[i * n + j]
+        theta = (at(q, q) - at(p, p)) / (2 * at(p, q))
+        tangent = F.when(at(p, q) == 0, 0.0).otherwise(
+            F.when(theta < 0, -1.0).otherwise(1.0) / (F.abs(theta) + F.sqrt(theta * theta + 1)))
+
+        def entries(t: Column) -> Column:
+            c = 1 / F.sqrt(t * t + 1)
+            new = {(p, p): at(p, p) - t * at(p, q), (q, q): at(q, q) + t * at(p, q), (p, q): F.lit(0.0)}
+            for k in set(range(n)) - {p, q}:
+                new[min(k, p), max(k, p)] = c * at(k, p) - t * c * at(k, q)
+                new[min(k, q), max(k, q)] = t * c * at(k, p) + c * at(k, q)
+            return F.array(*[new.get((min(i, j), max(i, j)), at(i, j)) for i in range(n) for j in range(n)])
+        return F.transform(F.array(tangent), entries)[0]          # the tangent is computed once
+
+    def step(a: Column, i: Column) -> Column:
+        out = a
+        for j, (p, q) in enumerate(pairs):
+            out = F.when(i % len(pairs) == j, rotated(a, p, q)).otherwise(out)
+        return out
+
+    turned = F.aggregate(F.sequence(F.lit(0), F.lit(sweeps * len(pairs) - 1)), matrix, step) if pairs else matrix
+    return F.sort_array(F.transform(F.array(*[F.lit(i * n + i) for i in range(n)]), lambda i: F.get(turned, i)), asc=False)
+
+
 def pca_variance(df: DataFrame, cols: Sequence[str] = FEATURES, keys: Sequence[str] = ("tenant_id",),
                  digits: int = 4) -> DataFrame:
     """Explained variance (%) per principal component and its running total.
 
-    The d x d covariance matrix of each key is an aggregate (partial-aggregated);
-    only that matrix (one row per key) is eigen-decomposed, with numpy in
-    ``mapInPandas`` tasks.
+    The d x d covariance matrix of each key is an aggregate (partial-aggregated); the
+    eigenvalues are column expressions over that one row.  Without any variance the shares are NaN.
     """
     d, k = _keys(df, keys)
     n = len(cols)
-    aggs = [F.covar_pop(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"c_{i}_{j}")
-            for i in range(n) for j in range(i, n)]
-    cov = d.groupBy(*k).agg(*aggs)
-    key_fields = [f for f in cov.schema.fields if f.name in k]
-    schema = T.StructType(key_fields + [T.StructField("component", T.IntegerType()),
-                                        T.StructField("explained_variance_pct", T.DoubleType())])
-
-    def eig(batches):
-        for pdf in batches:
-            m = np.zeros((len(pdf), n, n))
-            for i in range(n):
-                for j in range(i, n):
-                    m[:, i, j] = m[:, j, i] = pdf[f"c_{i}_{j}"]
-            vals = np.linalg.eigvalsh(m)[:, ::-1]
-            total = vals.sum(1, keepdims=True)
-            pct = np.where(total > 0, vals / np.where(total > 0, total, 1.0) * 100, math.nan)
-            out = pdf[k].loc[pdf.index.repeat(n)].reset_index(drop=True)
-            out["component"] = np.tile(np.arange(1, n + 1, dtype=np.int32), len(pdf))
-            out["explained_variance_pct"] = pct.ravel()
-            yield out[[f.name for f in schema.fields]]
-
-    per = cov.mapInPandas(eig, schema)
-    w = Window.partitionBy(*k).orderBy("component").rowsBetween(Window.unboundedPreceding, 0)
-    out = per.select(*k, "component",
-                     F.round("explained_variance_pct", digits).alias("explained_variance_pct"),
-                     F.round(F.sum("explained_variance_pct").over(w), digits).alias("cumulative_pct"))
+    cell = lambda i, j: F.covar_pop(F.col(cols[min(i, j)]).cast("double"), F.col(cols[max(i, j)]).cast("double"))
+    cov = d.groupBy(*k).agg(*[cell(i, j).alias(f"c_{i}_{j}") for i in range(n) for j in range(i, n)])
+    matrix = F.array(*[F.col(f"c_{min(i, j)}_{max(i, j)}") for i in range(n) for j in range(n)])
+    # an expression that is read more than once would be computed more than once
+    values = cov.select(*k, F.posexplode(eigenvalues(matrix, n)).alias("i", "value"))
+    total = Window.partitionBy(*k)
+    running = total.orderBy("component").rowsBetween(Window.unboundedPreceding, 0)
+    per = values.select(*k, (F.col("i") + 1).alias("component"), "value", F.sum("value").over(total).alias("total"))
+    per = per.withColumn("pct", F.when(F.col("total") > 0, F.col("value") / F.col("total") * 100).otherwise(math.nan))
+    out = per.select(*k, "component", F.round("pct", digits).alias("explained_variance_pct"),
+                     F.round(F.sum("pct").over(running), digits).alias("cumulative_pct"))
     return out if keys else out.drop("__all")

@@ -15,6 +15,7 @@ from shopsight.schemas import RFM_PAYLOAD
 from shopsight.session import scratch_path
 from shopsight.sources import testdata as td
 from shopsight.sources.store import ReportStore, StarStore
+from shopsight.sources.views import CustomerViews
 from shopsight.streaming.ingest import ingest_stream
 
 REPORT_TS = "2024-06-01 00:00:00"
@@ -70,6 +71,39 @@ def load_late_rows(spark, sf_dir):
     return _items(store.snapshot(spark, td.tenants(spark, sf_dir)))
 
 
+def _followed(spark, sf_dir) -> CustomerViews:
+    """Views that follow four deliveries; the first one of batch 1 brings the lines of batch 2, the
+    last one puts it right."""
+    store, views = StarStore(scratch_path(spark, "star")), CustomerViews(scratch_path(spark, "views"), "year")
+    dirty = td.dirty_feed(spark, sf_dir)
+    for batch, lines in ((0, 0), (1, 2), (2, 2), (1, 1)):
+        jobs.load(td.batch_of(dirty, lines), store, batch, common.SEQ)
+        views.refresh(spark, store, batch)
+    return views
+
+
+@query("customer_views", covers="D4 L3", sql=S.with_(q_star._DIRTY_ITEMS, """
+SELECT tenant_id, client_hash AS buyer_id, max(transaction_date) AS last_order_date,
+  count(DISTINCT order_id) AS frequency,
+  CAST(sum(CAST(quantity * price AS DECIMAL(38,4))) AS DOUBLE) AS monetary
+FROM items GROUP BY tenant_id, client_hash"""))
+def customer_views(spark, sf_dir):
+    """Customer metrics kept up to date by batch."""
+    return _followed(spark, sf_dir).customer_metrics(spark)
+
+
+@query("kpi_views", covers="D1 D2 L3", sql=S.with_(q_star._DIRTY_ITEMS + """,
+sums AS (SELECT tenant_id, CAST(sum(CAST(quantity * price AS DECIMAL(38,4))) AS DOUBLE) AS total_revenue,
+  count(DISTINCT client_hash) AS total_customers FROM items GROUP BY tenant_id)""", """
+SELECT n_nationkey AS tenant_id, coalesce(total_revenue, 0.0) AS total_revenue,
+  coalesce(total_customers, 0) AS total_customers,
+  CASE WHEN total_customers > 0 THEN total_revenue / total_customers ELSE 0.0 END AS avg_revenue_per_customer
+FROM nation LEFT JOIN sums ON tenant_id = n_nationkey"""))
+def kpi_views(spark, sf_dir):
+    """KPIs of every tenant from the same views."""
+    return _followed(spark, sf_dir).kpis(spark, td.tenants(spark, sf_dir))
+
+
 TENANT = 7
 
 

@@ -19,7 +19,7 @@ empty or missing table has its schema and no rows.
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Iterable, Sequence
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -52,6 +52,13 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(empty.schema).parquet(path).select(empty.columns) if path_exists(spark, path) else empty
 
 
+def drop_folders(spark: SparkSession, folders: Iterable[str]) -> None:
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for f in folders:
+        folder = hadoop.Path(f)
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 class StarStore:
     def __init__(self, base: str, buckets: int = BUCKETS):
         self.base = base.rstrip("/")
@@ -72,7 +79,7 @@ class StarStore:
             feed = feed.join(tenants.select("tenant_key", "tenant_id"), "tenant_key", "left")
         rows = cleaning.clean_classified(cleaning.classify_feed(feed), ("tenant_id", *keep, *seq_cols), all_rows=True)
         self._write(rows, batch_id, seq_cols, load_time, source, new_since)
-        written = self._lines(feed.sparkSession).filter(F.col("batch_key") == f"{source}:{batch_id}")
+        written = self.lines(feed.sparkSession).filter(F.col("batch_key") == f"{source}:{batch_id}")
         return cleaning.classified_stats(written)
 
     def write_batch(self, clean: DataFrame, batch_id: int, seq_cols: Sequence[str],
@@ -95,7 +102,7 @@ class StarStore:
             stamp.alias("load_time"), self._bucket(F.col("tenant_id")).alias("tenant_bucket"))
         if new_since is not None and path_exists(rows.sparkSession, f"{self.base}/lines"):
             clean = F.col("reject_reason").isNull()
-            others = self._lines(rows.sparkSession).filter(
+            others = self.lines(rows.sparkSession).filter(
                 clean & (F.col("batch_key") != f"{source}:{batch_id}") & (F.col("transaction_date") > new_since))
             key = ["tenant_id", "client_hash", "product_code", "quantity", "price", "transaction_date", "seq"]
             lines = staged(lines, "delivered-lines")             # the folder below is read and written
@@ -116,7 +123,8 @@ class StarStore:
         """Counters of every batch."""
         return read_table(spark, f"{self.base}/batches", f"{BATCHES}, batch_key string")
 
-    def _lines(self, spark: SparkSession, tenant_id: int | None = None) -> DataFrame:
+    def lines(self, spark: SparkSession, tenant_id: int | None = None) -> DataFrame:
+        """The classified lines of all batches, or of one tenant."""
         if not path_exists(spark, f"{self.base}/lines"):
             raise ValueError(f"{self.base} holds no batch")
         df = spark.read.parquet(f"{self.base}/lines")
@@ -126,7 +134,7 @@ class StarStore:
 
     def snapshot(self, spark: SparkSession, tenants: DataFrame | None = None,
                  marker_mode: str = "event", tenant_id: int | None = None) -> st.Star:
-        lines = self._lines(spark, tenant_id).filter(F.col("reject_reason").isNull()).withColumnRenamed(
+        lines = self.lines(spark, tenant_id).filter(F.col("reject_reason").isNull()).withColumnRenamed(
             "client_hash", "customer_hash")
         order = F.struct("batch_id", "batch_key")
         cust = lines.select("tenant_id", "customer_hash").distinct()
@@ -203,7 +211,5 @@ class ReportStore:
         by_tenant(left).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts) \
             .parquet(f"{self.base}/{name}")
         # an overwrite leaves partitions alone that get no row
-        hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-        for r in touched.join(left.select(*parts).distinct(), parts, "left_anti").toLocalIterator():
-            folder = hadoop.Path("/".join([self.base, name, *[f"{c}={r[c]}" for c in parts]]))
-            folder.getFileSystem(conf).delete(folder, True)
+        drop_folders(spark, ("/".join([self.base, name, *[f"{c}={r[c]}" for c in parts]])
+                             for r in touched.join(left.select(*parts).distinct(), parts, "left_anti").toLocalIterator()))

@@ -19,22 +19,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from shopsight.sources.store import StarStore
+from shopsight.sources.views import CustomerViews
 
 
 def ingest_stream(stream: DataFrame, store: StarStore, checkpoint: str, seq_cols: Sequence[str],
                   to_feed: Callable[[DataFrame], DataFrame] | None = None,
                   keep: Sequence[str] = (), available_now: bool = True,
                   processing_time: str | None = None, tenants: DataFrame | None = None,
-                  source: str | None = None) -> StreamingQuery:
+                  source: str | None = None, views: CustomerViews | None = None) -> StreamingQuery:
     """Start the ingest query; ``to_feed`` turns a raw batch into feed columns.
 
     A feed without ``tenant_id`` is resolved by its integration key against ``tenants``;
-    the counters of every batch are in ``store.batches``."""
+    the counters of every batch are in ``store.batches``.  ``views`` follow every batch."""
     name = source or f"stream-{hashlib.md5(checkpoint.encode()).hexdigest()[:12]}"
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
         feed = to_feed(batch) if to_feed else batch
         store.write_feed(feed, epoch_id, seq_cols, source=name, keep=keep, tenants=tenants)
+        if views:
+            views.refresh(batch.sparkSession, store, epoch_id, name)
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     if available_now:

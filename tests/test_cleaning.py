@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -80,3 +81,24 @@ def test_tenant_scope(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (1, "c")], "tenant_id int, x string")
     assert sorted(r.x for r in C.for_tenant(df, 1).collect()) == ["a", "c"]
     assert C.for_tenant(df, None).count() == 3
+
+
+def test_cut_key_by_selection(spark):
+    """The n-th key whatever the ties and nulls; a key that a third of the rows share; few rows."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 3, rng.randrange(50)]), rng.choice([None, "a", "b"]), rng.random() if i % 3 else 0.5)
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "a int, b string, c double").repartition(6).persist()
+    key = lambda r: tuple((v is not None, v) if v is not None else (False, 0) for v in r)
+    want = sorted(rows, key=key)
+    for n in (1, 2, 700, 1500, 2999, 3000, 9999):
+        for few in (1, 40, 5000):
+            got = df.select(C.nth_key(df, n, ["a", "b", "c"], pivots=5, few=few).alias("k")).first()["k"]
+            assert tuple(got) == want[min(n, 3000) - 1]
+    same = spark.createDataFrame([(7,)] * 500, "a int")
+    assert same.select(C.nth_key(same, 90, ["a"], few=10).alias("k")).first()["k"] == (7,)
+    assert C.nth_key(df.limit(0), 5, ["a"]) is None and C.nth_key(df, 0, ["a"]) is None
+    marked = C.mark_cap(df, 700, ["a", "b", "c"])
+    assert marked.filter("within_cap").count() == sum(key(r) <= key(want[699]) for r in rows)
+    assert not C.mark_cap(df, 0, ["a"]).filter("within_cap").count()
+    df.unpersist()

@@ -1,5 +1,7 @@
 """Segmentation maths against numpy brute force."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +100,22 @@ def test_pca_variance_matches_numpy(spark):
     assert got == pytest.approx(list(ev / ev.sum() * 100), abs=1e-6)
 
 
+def test_jacobi_eigenvalues_need_no_python_worker(spark):
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5):
+        ms = [rng.normal(size=(n, n)) * 10.0 ** e for e in (-6, 0, 6)] + [np.zeros((n, n)), np.ones((n, n))]
+        ms = [m + m.T for m in ms] + [np.diag(np.arange(n, dtype=float))]
+        df = spark.createDataFrame([(i, [float(x) for x in m.ravel()]) for i, m in enumerate(ms)], "i int, m array<double>")
+        for r in df.select("i", rfm.eigenvalues(F.col("m"), n).alias("v")).collect():
+            want = np.linalg.eigvalsh(ms[r.i])[::-1]
+            assert r.v == pytest.approx(list(want), rel=1e-9, abs=1e-12 * (1 + abs(want).max()))
+    flat = spark.createDataFrame([(1, 2.0, 3.0)] * 4, "tenant_id int, a double, b double")
+    out = rfm.pca_variance(flat, ("a", "b"))
+    assert all(math.isnan(r.explained_variance_pct) for r in out.collect())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan
+
+
 def test_exact_mean_rounding_ties(spark):
     df = spark.createDataFrame([(1, 0, 0.175), (1, 0, 0.195), (1, 0, 2.0)], "tenant_id int, cluster_id int, m double")
     r = rfm.cluster_summary(df, cols=("m",)).first()
