@@ -1,7 +1,10 @@
 """Secrets, quality, mixing, tokens and chat against plain Python or the libraries."""
 
 import itertools
+import math
+import random
 import re
+import time
 import zlib
 from collections import Counter
 from hashlib import sha256
@@ -102,6 +105,63 @@ def test_values_are_read_whole(text, secret):
     assert (secret in _literals(text)) if secret else not _literals(text)
 
 
+@pytest.mark.parametrize("text,found", [
+    ('password = base64.b64decode("@")', "@"), ('db_pass = "@"', "@"), ('pw = "@"', "@"), ('password = ["@"]', "@"),
+    ('a, password = "x", "@"', "@"), ('password, a = "x", "@"', None), ('f(1, password="@", user="u")', "@"),
+    ('  host, password="@", user="u"', "@"), ('SECRET: str = os.getenv("DB_PASSWORD_1", "@")', "@"), ('setPassword("@")', "@"),
+    ('define("DB_PASSWORD", "@")', "@"), ('if x: k = "@"\npassword = k', "@"), ('secret = Client(token9="@")', "@"),
+    ('password = os.environ["DB_PASSWORD_1"]', None), ('password = os.getenv("DB_PASSWORD_1")', None),
+    ('password = f(\n  g(),\n  ["@"])', "@"), ("password = f(", None), ("password = [[(", None), ("setup(1)", None),
+])
+def test_calls_containers_and_targets(text, found):
+    assert _literals(text.replace("@", "Zx81kQpL02vB")) == (["Zx81kQpL02vB"] if found else [])
+
+
+def test_passphrase_with_blanks():
+    assert _literals('passphrase = "correct horse battery staple"') == ["correct horse battery staple"]
+    assert _literals('password = "please enter your password"') == []
+
+
+def _plain_plausibility(value):
+    n = len(value)
+    if n < 6 or secret_scan.PLACEHOLDER.match(value) or (" " in value and n < 60):
+        return 0.0
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+    kinds = sum(bool(re.search(k, value)) for k in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
+    return min(1.5, 0.25 * entropy + 0.2 * kinds)
+
+
+def _plain_words(value):
+    parts = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", value)
+    letters = "".join(p for p in parts if not p.isdigit()).lower()
+    return bool(letters) and sum(map(len, parts)) >= 3 * len(parts) and 5 * sum(c in "aeiouy" for c in letters) >= len(letters)
+
+
+def test_value_by_pieces_equals_the_whole():
+    """Brute force: scores of joined pieces equal those of the joined text, placeholders of any length too."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("aeXYzB09_ -\u00e9\u0663") for _ in range(rng.randrange(1, 90))) for _ in range(2000)]
+    texts += [p * n for p in ("x", "*", "0", "X") for n in (5, 63, 64, 65, 200)]
+    texts += ["your-" + "ab1" * 40, "<" + "ab1" * 40 + ">", "<" + "ab1" * 40, "{{" + "k9" * 50, "${" + "k9" * 50, "%(" + "a7" * 50,
+              "your-" + "ab1\n" * 40, "<" + "ab1" * 40 + ">\n", "changeme", "Example", "$k\n", "{{a\nbcd9}}" * 9]
+    for t in texts:
+        v, at = secret_scan.Value(), 0
+        while at < len(t):
+            step = rng.randrange(1, 9)
+            v.add(t[at:at + step])
+            at += step
+        assert v.plausibility() == pytest.approx(_plain_plausibility(t)), t
+        assert v.reads_as_words() == _plain_words(t), t
+
+
+def test_a_constant_built_piece_by_piece_is_read_once():
+    for use in ("password = k\n", 'api_token = k + "a9"\n'):
+        text = 'k = "Zx81kQpL02vB"\n' + ('k = k + "Qw7eRt"\n' + use) * 50000        # 1.6 MB
+        begin = time.monotonic()
+        assert len(_literals(text)) == 50001 + (50000 if "a9" in use else 0)
+        assert time.monotonic() - begin < 60
+
+
 def test_block_scalar_ends_with_its_indentation():
     text = "x:\n  signing_key: |\n    Zx81kQpL02vB\n\n    uI9oP0aS3dF4\n  name: q8Rt7Yu6Io5P\n"
     assert _literals(text) == ["Zx81kQpL02vB", "uI9oP0aS3dF4"]
