@@ -224,7 +224,18 @@ def rules_csv_rows(rules: DataFrame) -> DataFrame:
         fixed("lift", 4).alias("Lift"))
 
 
+RULES_HEADER = "\ufeffAntecedent,Consequent,Support,Confidence,Lift"      # with a byte order mark
+
+
 def export_rules_csv(rules: DataFrame, out: str) -> None:
-    """Rule CSV per tenant; item lists are always quoted (the BOM is not written)."""
-    (rules_csv_rows(rules).hint("rebalance", "tenant_id").write.mode("overwrite").partitionBy("tenant_id")
-     .option("header", True).option("quoteAll", True).csv(out))
+    """Rule CSV per tenant.  Every file starts with a byte order mark and the header; item lists
+    are always quoted (quotes in them doubled, line ends a blank), numbers and header never.
+
+    The writer quotes all fields or those that need it, so lines are put together here and written
+    as one field, with a separator and a quote that no line has."""
+    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c, '"', '""'), "[\\r\\n\\x01\\x02]+", " "), F.lit('"'))
+    rows = rules_csv_rows(rules)
+    line = F.concat_ws(",", quoted("Antecedent"), quoted("Consequent"), "Support", "Confidence", "Lift")
+    (rows.select("tenant_id", line.alias(RULES_HEADER)).hint("rebalance", "tenant_id").write.mode("overwrite")
+     .partitionBy("tenant_id").option("header", True).option("sep", "\x01").option("quote", "\x02")
+     .option("escape", "\x02").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(out))

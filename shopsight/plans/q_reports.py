@@ -134,7 +134,7 @@ def export_assignments(spark, sf_dir):
 def export_rules(spark, sf_dir):
     out = scratch_path(spark, "rules_csv")
     rp.export_rules_csv(q_basket.brand_rules(spark, sf_dir), out)
-    return (spark.read.option("header", True)
+    return (spark.read.option("header", True).option("escape", '"')
             .schema("Antecedent string, Consequent string, Support string, Confidence string, Lift string")
             .csv(out))
 
