@@ -6,7 +6,8 @@ conditional random field over the text's lines marks it content or boilerplate (
 the share of words in content lines decides retention.
 
 The field is trained here, on a bounded sample of labelled documents (``per_class`` of each
-class by smallest id hash, held-out fifth excluded).  Labels are per document, so training
+class by smallest id hash, held-out fifth excluded; of a text with more than ``TRAIN_LINES`` lines
+that many adjoining ones, from a place set by its id, and of an id's rows one).  Labels are per document, so training
 has two steps: a line classifier from document labels, which relabels lines of bad
 documents that look like content, then the field's likelihood by forward-backward.
 
@@ -18,6 +19,7 @@ rows are judged alike; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +32,7 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from shopsight.llm import textarrays as ta
 
 PER_CLASS = 1500
+TRAIN_LINES = 1024            # lines of a text in the training sample
 CONTENT_SHARE = 0.5
 WINDOW = 8
 MIN_WORDS, REPEAT_PERCENT = 20, 30
@@ -207,9 +210,13 @@ def train(x: np.ndarray, off: np.ndarray, bad: np.ndarray, steps: int = 150) ->
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in ta.text_batches(batches):
         m = measure(b.column("text"))
-        k = len(FEATURES)
+        k, n = len(FEATURES), np.diff(m.offsets)
+        taken = np.minimum(n, TRAIN_LINES)
+        begin = m.offsets[:-1] + np.array([zlib.crc32(str(i).encode()) for i in b.column("doc_id").to_pylist()], np.int64) % (n - taken + 1)
+        offsets = np.concatenate([[0], np.cumsum(taken)])
+        rows = np.repeat(begin - offsets[:-1], taken) + np.arange(offsets[-1])
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("quality"), ta.list_array(m.features.ravel(), m.offsets * k)],
+            [b.column("doc_id"), b.column("quality"), ta.list_array(m.features[rows].ravel(), offsets * k)],
             names=["doc_id", "quality", "x"])
 
 
@@ -223,8 +230,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Field
     picked = there.filter("quality = 0").orderBy(*order).limit(per_class).unionByName(
         there.filter("quality = 1").orderBy(*order).limit(per_class))                      # bounded: broadcast
     got = (rows.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")
-           .mapInArrow(_lines, "doc_id bigint, quality int, x array<double>").collect())
-    got.sort(key=lambda r: (r.doc_id, len(r.x)))
+           .mapInArrow(_lines, "doc_id bigint, quality int, x array<double>")
+           .groupBy("doc_id", "quality").agg(F.max("x").alias("x")).collect())             # rows may share an id
+    got.sort(key=lambda r: r.doc_id)
     if len({r.quality for r in got}) < 2:
         return None
     x = np.concatenate([np.array(r.x, float).reshape(-1, len(FEATURES)) for r in got])

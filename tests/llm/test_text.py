@@ -443,3 +443,19 @@ def test_chat_cut_conversations_and_edge_cases(spark):
     assert [t[1] for t in turns] == ["user", "assistant", "user"]
     assert chat_format.format_turns(conv.limit(0), hmm).count() == 0
     assert chat_format.fit(conv).start.shape == (3,)
+
+
+def test_training_lines_are_bounded(spark, monkeypatch):
+    """A labelled text of very many lines and an id of many rows give a bounded sample."""
+    monkeypatch.setattr(line_quality, "TRAIN_LINES", 50)
+    long = "a line of words here.\n" * 5000
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "quality": [0, 1, 0, 1], "text": [long, "x y\nz", "", None]})
+    got = pa.Table.from_batches(line_quality._lines(iter([batch])))
+    whole = line_quality.measure(batch.column("text")).features
+    sizes = [len(x) // len(line_quality.FEATURES) for x in got.column("x").to_pylist()]
+    assert sizes == [50, 2, 1, 1]
+    k = len(line_quality.FEATURES)
+    first = np.array(got.column("x")[0].as_py()).reshape(-1, k)
+    at = zlib.crc32(b"1") % (5001 - 50 + 1)
+    assert np.allclose(first, whole[at:at + 50])
+    assert np.allclose(np.array(got.column("x")[1].as_py()).reshape(-1, k), whole[5001:5003])
