@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shopsight.session import scratch_path
 
 BROADCAST_ROWS = 1_000_000        # id lists up to this many rows (8 MB of longs) may be broadcast
+SHARE = 1000                      # a key with more than 1/SHARE of all rows is hot: fewer than SHARE keys
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,3 +32,19 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; absent extras and clashing names never reach the operator."""
     return df.select(*[F.col(n) for n in names])
+
+
+def even_join(rows: DataFrame, right: DataFrame, key: str, by: str, counts: DataFrame, total: int,
+              how: str = "inner", most: int = SHARE) -> DataFrame:
+    """Join on ``key`` with the hot keys of ``rows`` split over tasks, whatever their size.
+
+    ``counts`` (key, n) holds the rows of each key, ``total`` their sum.  A key with more than
+    1/SHARE of all rows is cut into as many parts by ``by``, at most ``most``, and its rows of
+    ``right`` are repeated once a part: fewer than 2 SHARE repeats in all where ``right`` holds
+    a key once.  The hot keys, fewer than SHARE rows, are all that is broadcast."""
+    parts = F.least(F.lit(most), F.ceil(F.col("n") * SHARE / F.lit(max(total, 1)))).cast("int")
+    hot = F.broadcast(staged(counts.filter(F.col("n") * SHARE > total).select(key, parts.alias("_parts")), "hot-keys"))
+    many = F.coalesce("_parts", F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), many).cast("int")).drop("_parts")
+    each = (right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), many - 1))).drop("_parts"))
+    return left.join(each, [key, "_part"], how).drop("_part")

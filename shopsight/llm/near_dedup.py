@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopsight.llm import textarrays as ta
-from shopsight.llm.common import small, staged
+from shopsight.llm.common import even_join, small, staged
 from shopsight.llm.components import components
 
 SHINGLE = 5
@@ -121,8 +121,11 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
     """The edges (a, b) with Jaccard similarity of 0.75 or more on the whole sets."""
-    pairs = (edges.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-             .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"))
+    total = edges.count()
+    pairs = edges
+    for end, other in (("a", "b"), ("b", "a")):
+        whole = sets.select(F.col("id").alias(end), F.col("shingles").alias(f"s{end}"))
+        pairs = even_join(pairs, whole, end, other, edges.groupBy(end).agg(F.count("*").alias("n")), total)
     both = F.size(F.array_intersect("sa", "sb"))
     return staged(pairs.withColumn("both", both)
                   .filter(100 * F.col("both") >= 75 * (F.size("sa") + F.size("sb") - F.col("both")))
@@ -141,14 +144,15 @@ def classes(docs: DataFrame) -> DataFrame:
     reps = (named.join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "d1", "d2"])
             .select(F.col("doc_id").alias("node"), "bands"))
     entries = reps.select("node", F.explode("bands").alias("key"))
-    sizes = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = staged(entries.join(sizes, "key"), "buckets")
+    sizes = staged(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "bucket-sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    shared = staged(even_join(entries, sizes, "key", "node", sizes, total), "buckets")
     # a bucket's centre: the node that shares most buckets with most nodes
     weight = shared.groupBy("node").agg(F.sum("n").alias("w"))
     centres = (shared.join(weight, "node").groupBy("key")
                .agg(F.max(F.struct("w", (-F.col("node")).alias("minus"))).alias("c"))
                .select("key", (-F.col("c.minus")).alias("centre"), F.col("c.w").alias("w")))
-    met = (shared.join(centres, "key").filter("node <> centre")
+    met = (even_join(shared, centres, "key", "node", sizes, total).filter("node <> centre")
            .groupBy("node", "centre", "w").agg(F.count("*").alias("hits"))
            .groupBy("node").agg(F.max(F.struct("hits", "w", (-F.col("centre")).alias("minus"))).alias("best")))
     star = staged(met.select(F.col("node").alias("a"), (-F.col("best.minus")).alias("b")), "star")
@@ -175,32 +179,37 @@ def _cross_links(docs: DataFrame, shared: DataFrame, comp: DataFrame) -> DataFra
     these places on their own changes, so they are never paired."""
     marked = staged(shared.join(comp.select(F.col("id").alias("node"), "component"), "node", "left")
                     .select("key", "node", F.coalesce("component", "node").alias("component")), "marked")
-    nodes = staged(_several(marked, "key").select("node", "component").distinct(), "open-nodes")
+    nodes = staged(_several(marked, "key")[0].select("node", "component").distinct(), "open-nodes")
     sets = _sets_of(docs, staged(nodes.select(F.col("node").alias("doc_id")).distinct(), "open-ids"))
     named = sets.select("id", "shingles", F.xxhash64("shingles").alias("set"))     # once a set, not once a shingle
     words = (named.join(nodes, named["id"] == nodes["node"])
              .select("node", "component", "set", F.explode("shingles").alias("s")))
-    common = words.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
-    rarest = (words.join(common, "s", "left").groupBy("node", "component", "set")
+    common = staged(words.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1"), "common-shingles")
+    total = common.agg(F.sum("n")).first()[0] or 0
+    counted = even_join(words, common.withColumnRenamed("n", "df"), "s", "node", common, total, "left")
+    rarest = (counted.groupBy("node", "component", "set")
               .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("w"))
               .withColumn("n", F.size("w")))
     first = F.slice("w", F.lit(1), F.col("n") - F.floor((3 * F.col("n") + 3) / 4).cast("int") + 1)
     places = staged(rarest.select("node", "component", "n", F.posexplode(first).alias("at", "x"))
                     .filter("x.df > 1").select("node", "component", "n", "at", "x.s"), "places")
-    rows = staged(_several(places, "s"), "meeting-places")
-    x, y = rows.alias("x"), rows.alias("y")
-    rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    near = ((F.col("x.s") == F.col("y.s")) & (F.col("x.component") < F.col("y.component"))
-            & (175 * rest >= 75 * (F.col("x.n") + F.col("y.n"))))
-    pairs = x.join(y, near).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
+    rows, sizes = _several(places, "s")
+    rows = staged(rows, "meeting-places")
+    other = rows.select("s", *[F.col(c).alias(f"y_{c}") for c in ("node", "component", "n", "at")])
+    met = even_join(rows, other, "s", "node", sizes, rows.count(), most=32)
+    rest = F.least(F.col("n") - F.col("at"), F.col("y_n") - F.col("y_at"))
+    near = (F.col("component") < F.col("y_component")) & (175 * rest >= 75 * (F.col("n") + F.col("y_n")))
+    pairs = met.filter(near).select(F.greatest("node", "y_node").alias("a"), F.least("node", "y_node").alias("b"))
     return _verified(staged(pairs.distinct(), "cross-pairs"), sets)
 
 
-def _several(rows: DataFrame, key: str) -> DataFrame:
-    """Rows of keys that hold more than one component."""
-    keys = rows.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
-        .filter("lo <> hi").select(key)
-    return rows.join(keys, key)
+def _several(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of keys that hold more than one component, and (key, n) of these keys."""
+    keys = staged(rows.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                        F.count("*").alias("n")), "keys")
+    open_keys = keys.filter("lo <> hi")
+    return (even_join(rows, open_keys.select(key), key, "node", keys.select(key, "n"), rows.count()),
+            open_keys.select(key, "n"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

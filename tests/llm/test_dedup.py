@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shopsight.llm import components, exact_dedup, near_dedup, substring_dedup
 from shopsight.llm import textarrays as ta
+from shopsight.llm.common import even_join
 from tests.llm import helpers as h
 
 
@@ -128,3 +129,22 @@ def test_text_arrays():
     assert len(runs) == 5 and runs[0] == runs[3] != runs[1] and len(ta.windows(f[:2], 5)) == 0
     big = pa.RecordBatch.from_arrays([pa.array(["a" * 50] * 10)], names=["text"])
     assert [b.num_rows for b in ta.text_batches([big], max_bytes=120)] == [2, 2, 3, 2, 1]
+
+
+def test_even_join_splits_a_hot_key(spark):
+    """A key with a third of the rows is spread over tasks; the rows are those of a plain join."""
+    rows = spark.range(9000).selectExpr("id as node", "case when id % 3 = 0 then -1 else id end as k")
+    right = spark.range(-1, 8000).selectExpr("id as k", "id * 2 as v")
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for how in ("inner", "left"):
+            out = even_join(rows, right, "k", "node", counts, 9000, how)
+            assert sorted(map(str, out.select("node", "k", "v").collect())) == sorted(
+                map(str, rows.join(right, "k", how).select("node", "k", "v").collect()))
+            assert out.filter("k = -1").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        none = even_join(rows.limit(0), right, "k", "node", counts.limit(0), 0)
+        assert none.count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
