@@ -35,16 +35,20 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 
 
 def even_join(rows: DataFrame, right: DataFrame, key: str, by: str, counts: DataFrame, total: int,
-              how: str = "inner", most: int = SHARE) -> DataFrame:
+              how: str = "inner", most: int = 1024) -> DataFrame:
     """Join on ``key`` with the hot keys of ``rows`` split over tasks, whatever their size.
 
     ``counts`` (key, n) holds the rows of each key, ``total`` their sum.  A key with more than
-    1/SHARE of all rows is cut into as many parts by ``by``, at most ``most``, and its rows of
-    ``right`` are repeated once a part: fewer than 2 SHARE repeats in all where ``right`` holds
-    a key once.  The hot keys, fewer than SHARE rows, are all that is broadcast."""
-    parts = F.least(F.lit(most), F.ceil(F.col("n") * SHARE / F.lit(max(total, 1)))).cast("int")
-    hot = F.broadcast(staged(counts.filter(F.col("n") * SHARE > total).select(key, parts.alias("_parts")), "hot-keys"))
-    many = F.coalesce("_parts", F.lit(1))
-    left = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), many).cast("int")).drop("_parts")
-    each = (right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), many - 1))).drop("_parts"))
+    1/SHARE of all rows is cut by ``by`` into parts, a power of two and at most ``most``, and
+    its rows of ``right`` are repeated once a part: fewer than 4 SHARE repeats in all where
+    ``right`` holds a key once.  The hot keys, fewer than SHARE of them, are literals of the
+    plan, so the rows pass no other join."""
+    hot: dict[int, list] = {}
+    for r in counts.filter(F.col("n") * SHARE > total).select(key, "n").collect():       # < SHARE rows
+        hot.setdefault(min(most, 1 << (-(-r["n"] * SHARE // total) - 1).bit_length()), []).append(r[key])
+    parts = F.lit(1)
+    for n, keys in hot.items():
+        parts = F.when(F.col(key).isin(keys), F.lit(n)).otherwise(parts)
+    left = rows.withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int"))
+    each = right.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     return left.join(each, [key, "_part"], how).drop("_part")
