@@ -13,9 +13,10 @@ Design for many tenants and skewed tenants:
   ``ClusteringEvaluator``), which is exact in linear time from per-cluster sums.
   The plain Euclidean variant needs every pair of points and is not built.
 * K-Means is Lloyd's algorithm over all tenants (and all k, all restarts) at
-  once: each pass joins the customers once with their tenant's unfinished models,
-  labels them for all of these and averages with a map-side combine; finished
-  models are frozen, and the passes end when every model has converged.
+  once: the customers of a tenant are packed into chunks, each pass joins the chunks with
+  their tenant's unfinished models, and array operations in the tasks give one row of sums per
+  (chunk, cluster) for the averages; finished models are frozen, and the passes end
+  when every model has converged.
 """
 
 from __future__ import annotations
@@ -25,11 +26,15 @@ from typing import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FEATURES = ("recency", "frequency", "monetary")
 SALTS = 16
+CHUNK = 2048                 # rows of a key that K-Means handles together
+FEW_KEYS = 1000              # models of so many keys are broadcast; beyond, the join shuffles
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -286,46 +291,130 @@ def _spread(rows: pd.DataFrame, cols: Sequence[str], most: int, rng: np.random.G
     return chosen
 
 
+def chunked(base: DataFrame, cols: Sequence[str], keys: Sequence[str], id_col: str, seed: int = 42,
+            size: int = CHUNK) -> DataFrame:
+    """(keys, __rows): the rows of every key in chunks of about ``size``, so that a pass over them is
+    a few array operations a chunk and only joins one row per chunk.  Rows are dealt at random: equal
+    ones do not meet in one chunk."""
+    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    part = F.floor(F.rand(seed) * F.ceil(F.col("__n") / size))
+    return (salted_join(base, counts, keys).withColumn("__part", part).groupBy(*keys, "__part")
+            .agg(F.collect_list(F.struct(id_col, *cols)).alias("__rows")).drop("__part").checkpoint())
+
+
+def _with_models(chunks: DataFrame, packed: DataFrame, keys: Sequence[str], few: bool) -> DataFrame:
+    """Chunks with the packed models ``__ms`` of their key; those of ``few`` keys are broadcast."""
+    return chunks.join(F.broadcast(packed), list(keys)) if few else salted_join(chunks, packed, keys)
+
+
+def _few(chunks: DataFrame, keys: Sequence[str]) -> bool:
+    return chunks.select(*keys).distinct().limit(FEW_KEYS + 1).count() <= FEW_KEYS
+
+
+def _chunks_of(batch: pa.RecordBatch, cols: Sequence[str]) -> Iterable[tuple[int, int, np.ndarray, list]]:
+    """(row, first flat position, coordinates, models) of every chunk of an Arrow batch; nulls are NaN."""
+    lists = batch.column("__rows")
+    at, values = lists.offsets.to_numpy(), lists.values
+    points = np.column_stack([pc.struct_field(values, c).to_numpy(zero_copy_only=False).astype(float) for c in cols])
+    for i, models in enumerate(batch.column("__ms")):
+        yield i, int(at[i]), points[at[i]:at[i + 1]], models.as_py()
+
+
+def _distances(x: np.ndarray, cents: list, cols: Sequence[str]) -> np.ndarray:
+    """Squared distances of all rows to all centroids."""
+    c = np.array([[e[name] for name in cols] for e in cents], dtype=float)
+    d = np.zeros((len(x), len(c)))
+    for j in range(len(cols)):
+        d += (x[:, j, None] - c[None, :, j]) ** 2
+    return d
+
+
+def _batch(made: list, batch: pa.RecordBatch, keys: Sequence[str], names: Sequence[str], extra: dict) -> pa.RecordBatch:
+    """Rows made of a batch: tuples of arrays, the first of which says of which chunk they are."""
+    columns = [np.concatenate(c) for c in zip(*made)]
+    out = {k: batch.column(k).take(pa.array(columns[0])) for k in keys}
+    out.update({n: pa.array(c) for n, c in zip(names, columns[1:])})
+    return pa.RecordBatch.from_pydict({**out, **extra})
+
+
+def _types(df: DataFrame, names: Sequence[str]) -> list[str]:
+    return [f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names]
+
+
 def seeds(base: DataFrame, cols: Sequence[str], keys: Sequence[str], id_col: str, most: int, n_init: int = 3,
-          seed: int = 42, passes: int = 3) -> DataFrame:
+          seed: int = 42, passes: int = 3, chunks: DataFrame | None = None) -> DataFrame:
     """k-means||: (keys, __run, __rn, cols), up to ``most`` starting centroids per key and restart.
 
     Every pass adds the ``2 * most`` rows with the smallest -ln(u) / d, a weighted sample by the
-    squared distance d to the candidates so far (u from a seeded hash of the id), taken as a
-    two-step top-n.  Then every row counts for its nearest candidate, and a weighted k-means++
-    orders the candidates, 2 * most * passes + 1 of them at most, inside one small group.  All
-    keys and restarts go through the same passes.  A key with fewer distinct rows than ``most``
-    repeats its first centroid, up to its number of rows."""
-    over, g = 2 * most, [*keys, "__run"]
-    point = F.struct(*cols)
-
-    def hashed(df: DataFrame, salt: int) -> DataFrame:
-        return df.withColumn("__h", F.xxhash64(F.col(id_col), F.lit(seed), F.lit(salt), F.col("__run")))
-
-    runs = base.withColumn("__run", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))))
-    candidates = hashed(runs, 0).groupBy(*g).agg(F.min_by(point, F.struct("__h", id_col)).alias("c")).checkpoint()
-
-    def nearest() -> DataFrame:
-        """Every row with its nearest candidate, once a restart."""
-        packed = candidates.groupBy(*g).agg(F.sort_array(F.collect_list("c")).alias("__cs")).withColumn(
-            "__cents", F.transform("__cs", lambda c, i: F.struct(i.alias("cluster_id"), *[c[x].alias(x) for x in cols])))
-        packed = packed.groupBy(*keys).agg(F.collect_list(F.struct("__run", "__cents")).alias("__ms"))
-        near = F.transform("__ms", lambda m: F.struct(m["__run"].alias("__run"), _nearest(m["__cents"], cols).alias("n"),
-                                                      m["__cents"].alias("__cents")))
-        rows = salted_join(base, packed, keys).select(*keys, id_col, *cols, F.explode(near).alias("__l"))
-        return rows.select(*keys, id_col, *cols, "__l.__run", F.col("__l.n.d").alias("__d"), F.element_at(
-            "__l.__cents", F.col("__l.n.cluster_id").cast("int") + 1).alias("__c"))
-
+    squared distance d to the candidates so far (u from a seeded hash of the id), taken as the
+    smallest of every chunk and the smallest of those.  Then every row counts for its nearest
+    candidate, and a weighted k-means++ orders the candidates, 2 * most * passes + 1 of them at
+    most, inside one small group.  All keys and restarts go through the same passes.  A key with
+    fewer distinct rows than ``most`` repeats its first centroid, up to its number of rows."""
+    over, g, keys, cols = 2 * most, [*keys, "__run"], list(keys), list(cols)
+    chunks = chunked(base, cols, keys, id_col, seed) if chunks is None else chunks
+    few = _few(chunks, keys)
+
+    def hashes(salt: int, run) -> Column:
+        """The hashes of a chunk's rows for one pass and restart."""
+        return F.transform("__rows", lambda r: F.xxhash64(r[id_col], F.lit(seed), F.lit(salt), run))
+
+    least = F.array_min(F.zip_with(hashes(0, F.col("__run")), "__rows", lambda h, r: F.struct(
+        h.alias("h"), r[id_col].alias("id"), F.struct(*[r[c].alias(c) for c in cols]).alias("c"))))
+    candidates = (chunks.withColumn("__run", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))))
+                  .select(*g, least.alias("m")).groupBy(*g).agg(F.min("m")["c"].alias("c")).checkpoint())
+
+    def with_candidates() -> DataFrame:
+        packed = candidates.groupBy(*g).agg(F.sort_array(F.collect_list("c")).alias("__cs"))
+        packed = packed.groupBy(*keys).agg(F.collect_list(F.struct("__run", "__cs")).alias("__ms"))
+        return _with_models(chunks, packed, keys, few)
+
+    def draw(batches):
+        """Of every chunk and restart the rows that the pass may pick."""
+        for b in batches:
+            made, picked = [], []
+            hashed = b.column("__hs")
+            for i, first, x, models in _chunks_of(b, cols):
+                drawn = hashed[i].values
+                for m in models:
+                    d = _distances(x, m["__cs"], cols).min(axis=1)
+                    h = drawn[m["__run"]].values.to_numpy()
+                    at = np.flatnonzero(d > 0)
+                    key = -np.log(((h[at] & ((1 << 52) - 1)) + 0.5) / float(1 << 52)) / d[at]
+                    if len(key) > over:                # the smallest, with all that equal the last of them
+                        few_at = key <= np.partition(key, over - 1)[over - 1]
+                        at, key = at[few_at], key[few_at]
+                    made.append((np.full(len(at), i), np.full(len(at), m["__run"], dtype=np.int32), key))
+                    picked.append(first + at)
+            if picked:
+                rows = b.column("__rows").values.take(pa.array(np.concatenate(picked)))
+                yield _batch(made, b, keys, ["__run", "__draw"],
+                             {n: pc.struct_field(rows, n) for n in (id_col, *cols)})
+
+    def weigh(batches):
+        """Numbers of a chunk's rows by nearest candidate."""
+        for b in batches:
+            made = []
+            for i, _, x, models in _chunks_of(b, cols):
+                for m in models:
+                    n = np.bincount(_distances(x, m["__cs"], cols).argmin(axis=1), minlength=len(m["__cs"]))
+                    at = np.flatnonzero(n)
+                    made.append((np.full(len(at), i), np.full(len(at), m["__run"], dtype=np.int32), n[at].astype(np.int64),
+                                 *[np.array([m["__cs"][j][c] for j in at], dtype=float) for c in cols]))
+            if made:
+                yield _batch(made, b, keys, ["__run", "__w", *cols], {})
+
+    kinds = [*_types(base, keys), "__run int"]
     for i in range(1, passes + 1):
-        u = (F.pmod("__h", F.lit(1 << 52)) + 0.5) / float(1 << 52)
-        drawn = hashed(nearest().filter("__d > 0"), i).withColumn("__draw", -F.log(u) / F.col("__d"))
-        order = [F.col("__draw"), F.col(id_col)]
-        share = Window.partitionBy(*g, F.pmod("__h", F.lit(SALTS))).orderBy(*order)
-        picked = (drawn.withColumn("__n", F.row_number().over(share)).filter(F.col("__n") <= over)
-                  .withColumn("__n", F.row_number().over(Window.partitionBy(*g).orderBy(*order)))
-                  .filter(F.col("__n") <= over).select(*g, point.alias("c")).distinct())
+        runs = F.array(*[hashes(i, F.lit(r)) for r in range(n_init)])
+        drawn = with_candidates().withColumn("__hs", runs).mapInArrow(
+            draw, ", ".join([*kinds, "__draw double", *_types(base, [id_col, *cols])]))
+        nth = F.row_number().over(Window.partitionBy(*g).orderBy("__draw", id_col))
+        picked = (drawn.withColumn("__n", nth).filter(F.col("__n") <= over)
+                  .select(*g, F.struct(*cols).alias("c")).distinct())
         candidates = candidates.unionByName(picked).checkpoint()
-    weights = nearest().groupBy(*g, *[F.col(f"__c.{c}").alias(c) for c in cols]).agg(F.count(F.lit(1)).alias("__w"))
+    weights = with_candidates().mapInArrow(weigh, ", ".join([*kinds, "__w bigint", *_types(base, cols)]))
+    weights = weights.groupBy(*g, *cols).agg(F.sum("__w").alias("__w"))
 
     def order(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(list(cols), ignore_index=True)
@@ -359,41 +448,69 @@ def kmeans_fit(df: DataFrame, cols: Sequence[str] = FEATURES, k: int | Iterable[
 
     ks = [k] if isinstance(k, int) else sorted(set(k))
     d, kk = _keys(df, keys)
+    cols = list(cols)
     checkpoint_dir(d.sparkSession)
     g = kk + ["k", "__run"]
     base = d.select(*kk, id_col, *[F.col(c).cast("double").alias(c) for c in cols]).checkpoint()
-    first = (seeds(base, cols, kk, id_col, max(ks), n_init, seed)
+    chunks = chunked(base, cols, kk, id_col, seed)
+    few = _few(chunks, kk)
+    first = (seeds(base, cols, kk, id_col, max(ks), n_init, seed, chunks=chunks)
              .withColumn("k", F.explode(F.array(*[F.lit(x) for x in ks]))).filter(F.col("__rn") <= F.col("k")))
     cluster = F.struct((F.col("__rn") - 1).alias("cluster_id"), *cols)
     models = (first.groupBy(*g).agg(F.sort_array(F.collect_list(cluster)).alias("__cents"))
                    .withColumns({"iterations": F.lit(0), "converged": F.lit(False)}).checkpoint())
-    points = base.select(*kk, *cols)
-
-    def labelled(some: DataFrame) -> DataFrame:
-        """(keys, k, run, cluster_id, d, cols) of every row for every given model of its key."""
+    names = ["k", "__run", "cluster_id", "size", "__d", *[f"s_{c}" for c in cols], *[f"n_{c}" for c in cols]]
+    kinds = ["k int", "__run int", "cluster_id int", "size bigint", "__d double",
+             *[f"`s_{c}` double" for c in cols], *[f"`n_{c}` bigint" for c in cols]]
+
+    def sums(batches):
+        """Of every chunk, model and cluster: rows, squared distances, and sums and numbers of coordinates."""
+        for b in batches:
+            made = []
+            for i, _, x, models in _chunks_of(b, cols):
+                given = ~np.isnan(x)
+                whole, x0 = given.all(), np.where(given, x, 0.0)
+                all_d = _distances(x, [c for m in models for c in m["__cents"]], cols)
+                lo = 0
+                for m in models:
+                    n = len(m["__cents"])
+                    d, lo = all_d[:, lo:lo + n], lo + n
+                    label = d.argmin(axis=1)
+                    near = np.nan_to_num(d[np.arange(len(x)), label])
+                    size = np.bincount(label, minlength=n)
+                    at = np.flatnonzero(size)
+                    add = lambda w: np.bincount(label, weights=w, minlength=n)[at]
+                    made.append((np.full(len(at), i), np.full(len(at), m["k"], dtype=np.int32),
+                                 np.full(len(at), m["__run"], dtype=np.int32), at.astype(np.int32), size[at].astype(np.int64),
+                                 add(near), *[add(x0[:, j]) for j in range(len(cols))],
+                                 *[(size[at] if whole else add(given[:, j])).astype(np.int64) for j in range(len(cols))]))
+            if made:
+                yield _batch(made, b, kk, names, {})
+
+    def summed(some: DataFrame) -> DataFrame:
+        """The sums of every cluster of the given models over the rows nearest to it."""
         packed = some.groupBy(*kk).agg(F.collect_list(F.struct("k", "__run", "__cents")).alias("__ms"))
-        near = F.transform("__ms", lambda m: F.struct(m["k"].alias("k"), m["__run"].alias("__run"),
-                                                      _nearest(m["__cents"], cols).alias("n")))
-        return (salted_join(points, packed, kk).select(*kk, *cols, F.explode(near).alias("__l"))
-                .select(*kk, *cols, "__l.k", "__l.__run", "__l.n.cluster_id", "__l.n.d"))
+        parts = _with_models(chunks, packed, kk, few).mapInArrow(sums, ", ".join([*_types(base, kk), *kinds]))
+        return parts.groupBy(*g, "cluster_id").agg(*[F.sum(n).alias(n) for n in names[3:]])
 
     for _ in range(max_iter):
         active = models.filter(~F.col("converged"))
         if active.isEmpty():
             break
-        means = labelled(active).groupBy(*g, "cluster_id").agg(*[F.avg(c).alias(c) for c in cols])
+        means = summed(active).select(*g, "cluster_id", *[F.try_divide(f"s_{c}", f"n_{c}").alias(c) for c in cols])
         fresh = means.groupBy(*g).agg(F.map_from_entries(F.collect_list(
             F.struct("cluster_id", F.struct(*cols)))).alias("__new"))
-        moved = active.join(fresh, g).withColumn("__next", F.transform("__cents", lambda c: F.struct(
+        # finished models have no fresh means and stay as they are; one frame, so its partitions do not grow by pass
+        moved = models.join(fresh, g, "left").withColumn("__next", F.transform("__cents", lambda c: F.struct(
             c["cluster_id"].alias("cluster_id"),
             *[F.coalesce(F.try_element_at("__new", c["cluster_id"])[x], c[x]).alias(x) for x in cols])))
         shift = F.array_max(F.zip_with("__cents", "__next", lambda a, b: _sqdist(
             [a[x] for x in cols], [b[x] for x in cols])))
-        nxt = moved.select(*g, F.col("__next").alias("__cents"), (F.col("iterations") + 1).alias("iterations"),
-                           (shift <= tol).alias("converged"))
-        models = models.filter("converged").unionByName(nxt).checkpoint()
-    per = labelled(models).groupBy(*g, "cluster_id").agg(F.count(F.lit(1)).alias("size"), F.sum("d").alias("__d"))
-    per = per.checkpoint()
+        models = moved.select(
+            *g, F.when(F.col("converged"), F.col("__cents")).otherwise(F.col("__next")).alias("__cents"),
+            (F.col("iterations") + F.when(F.col("converged"), 0).otherwise(1)).alias("iterations"),
+            (F.col("converged") | (shift <= tol)).alias("converged")).checkpoint()
+    per = summed(models).select(*g, "cluster_id", "size", "__d").checkpoint()
     inertia = per.groupBy(*g).agg(F.sum("__d").alias("inertia"))
     best = inertia.groupBy(*kk, "k").agg(F.min_by("__run", F.struct("inertia", "__run")).alias("__run"),
                                          F.min("inertia").alias("inertia"))
@@ -415,6 +532,8 @@ def kmeans_sweep(df: DataFrame, cols: Sequence[str] = FEATURES, ks: Iterable[int
     ``centroids`` (from ``kmeans_fit`` with a list of k) skips the fit when the caller
     also needs the models, so every k is fitted once.
     """
+    from shopsight.session import staged
+
     ks = sorted(set(ks))
     cents = centroids if centroids is not None else \
         kmeans_fit(df, cols, ks, keys, id_col, seed, max_iter=max_iter, n_init=n_init)
@@ -422,8 +541,9 @@ def kmeans_sweep(df: DataFrame, cols: Sequence[str] = FEATURES, ks: Iterable[int
     d, kk = _keys(df, keys)
     if not keys:
         cents = cents.withColumn("__all", F.lit(0))
-    pts = d.withColumn("k", F.explode(F.array(*[F.lit(x) for x in ks])))
-    assigned = assign_clusters(pts, cents, cols, kk + ["k"])
+    pts = d.select(*kk, *cols).withColumn("k", F.explode(F.array(*[F.lit(x) for x in ks])))
+    # both scores read the labels twice
+    assigned = staged(assign_clusters(pts, cents, cols, kk + ["k"]), "sweep-labels")
     sizes = d.groupBy(*kk).agg(F.count(F.lit(1)).alias("__n"))
     sil = silhouette(assigned, cols, kk + ["k"])
     db = davies_bouldin(assigned, cols, kk + ["k"])

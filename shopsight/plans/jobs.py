@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from shopsight.operators import basket as bk
 from shopsight.operators import cleaning, kpi, reports as rp, rfm, star as st
-from shopsight.session import checkpoint_dir
+from shopsight.session import checkpoint_dir, staged
 from shopsight.sources.store import ReportStore, StarStore
 
 MIN_CUSTOMERS = 10
@@ -59,15 +59,15 @@ def run_rfm(star: st.Star, reports: ReportStore | None = None, k: int = 3,
     checkpoint_dir(star.orders.sparkSession)
     metrics = kpi.rfm_metrics(cleaning.for_tenant(star.orders, tenant_id),
                               cleaning.for_tenant(star.order_items, tenant_id))
-    metrics = cleaning.tenants_with_min(metrics, ["tenant_id"], MIN_CUSTOMERS)
-    feats = rfm.with_recency(metrics).checkpoint()          # reused by every fit below
+    metrics = cleaning.tenants_with_min(staged(metrics, "rfm-metrics"), ["tenant_id"], MIN_CUSTOMERS)
+    feats = staged(rfm.with_recency(metrics), "rfm-features")          # reused by every fit below
     scaled = rfm.standardize(feats, keep_raw=True)
     weighted = rfm.weight(scaled, weights)
     ks = sorted(set(ks))
     models = rfm.kmeans_fit(weighted, k=sorted(set(ks) | {k}), seed=seed, max_iter=max_iter).checkpoint()  # every k once
     sweep = rfm.kmeans_sweep(weighted, ks=ks, centroids=models)
     cents = models.filter(F.col("k") == k).drop("k")
-    assigned = rfm.assign_clusters(weighted, cents)
+    assigned = staged(rfm.assign_clusters(weighted, cents), "rfm-labels")
     perf = rfm.silhouette(assigned).join(rfm.davies_bouldin(assigned), "tenant_id")
     raw = assigned.select("tenant_id", "buyer_id", "cluster_id",
                           *[F.col(f"raw_{c}").alias(c) for c in rfm.FEATURES])
