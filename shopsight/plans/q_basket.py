@@ -14,6 +14,7 @@ from shopsight.operators import basket as bk
 from shopsight.plans import common
 from shopsight.plans import sql as S
 from shopsight.plans.catalog import query
+from shopsight.session import staged
 from shopsight.sources import testdata as td
 
 MIN_SUPPORT = 0.002
@@ -29,8 +30,13 @@ def brand_baskets(spark, sf_dir):
     return bk.baskets(td.brand_transactions(spark, sf_dir))
 
 
+def stored_baskets(spark, sf_dir):
+    """The baskets for mining, which counts them, deals them out and sums them up: computed once."""
+    return staged(brand_baskets(spark, sf_dir), "baskets")
+
+
 def brand_itemsets(spark, sf_dir):
-    return bk.frequent_itemsets(brand_baskets(spark, sf_dir), MIN_SUPPORT)
+    return bk.frequent_itemsets(stored_baskets(spark, sf_dir), MIN_SUPPORT)
 
 
 def brand_rules(spark, sf_dir):
@@ -105,7 +111,7 @@ _RULES_TXT = ("tenant_id, array_to_string(antecedent, ', ') AS antecedent, "
 @query("transactions", covers="A6 C9",
        sql=S.with_(S.STAR_ITEMS, "SELECT tenant_id, order_id, product_code FROM items"))
 def transactions(spark, sf_dir):
-    return bk.transactions(common.full_star(spark, sf_dir))
+    return bk.transactions(common.stored_star(spark, sf_dir))
 
 
 @query("item_counts", covers="D6",
@@ -189,7 +195,7 @@ coalesce(r.rules_found, 0) AS rules_found
 FROM nord n LEFT JOIN (SELECT tenant_id, count(*) AS rules_found FROM rules GROUP BY tenant_id) r
   ON n.tenant_id = r.tenant_id"""))
 def basket_summary(spark, sf_dir):
-    b = brand_baskets(spark, sf_dir)
+    b = stored_baskets(spark, sf_dir)
     r = bk.association_rules(bk.frequent_itemsets(b, MIN_SUPPORT), MIN_CONFIDENCE)
     return bk.basket_summary(b, r)
 

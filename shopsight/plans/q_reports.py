@@ -16,7 +16,7 @@ from shopsight.operators import rfm
 from shopsight.plans import common, q_basket, q_segments
 from shopsight.plans import sql as S
 from shopsight.plans.catalog import query
-from shopsight.session import scratch_path
+from shopsight.session import scratch_path, staged
 from shopsight.sources import testdata as td
 
 REPORT_TS = "2024-06-01 00:00:00"
@@ -50,17 +50,19 @@ def report_latest(spark, sf_dir):
 
 # --- RFM and basket documents ------------------------------------------------------------
 
-def rfm_reports(spark, sf_dir):
-    summary = q_segments.cluster_summary(spark, sf_dir)
-    perf = q_segments.scores(spark, sf_dir)
-    corr = rfm.correlation_matrix(common.rfm_features(spark, sf_dir))
-    payload = rp.rfm_payload(summary, perf, None, corr, q_segments.WEIGHTS, k=len(q_segments.CENTROIDS))
+def rfm_reports(spark, sf_dir, feats=None):
+    """Headers of the RFM documents; all parts read the features once."""
+    feats = common.rfm_features(spark, sf_dir) if feats is None else feats
+    a = q_segments.assigned(spark, sf_dir, feats=feats)
+    corr = rfm.correlation_matrix(feats)
+    payload = rp.rfm_payload(q_segments.summary_of(a), q_segments.scores_of(a), None, corr, q_segments.WEIGHTS,
+                             k=len(q_segments.CENTROIDS))
     return rp.report_rows(payload, rp.RFM_TYPE, F.lit(REPORT_TS))
 
 
 def basket_reports(spark, sf_dir):
     """(headers, rule detail rows) of the basket report."""
-    b = q_basket.brand_baskets(spark, sf_dir)
+    b = q_basket.stored_baskets(spark, sf_dir)
     rules = bk.rounded_rules(bk.association_rules(
         bk.frequent_itemsets(b, q_basket.MIN_SUPPORT), q_basket.MIN_CONFIDENCE))
     payload = rp.basket_payload(bk.basket_summary(b, rules), q_basket.MIN_SUPPORT,
@@ -120,8 +122,9 @@ def report_bubbles(spark, sf_dir):
        sql=S.with_(q_segments.BASE, "SELECT tenant_id, buyer_id AS id, cluster_id AS cid FROM b_asg"))
 def export_assignments(spark, sf_dir):
     out = scratch_path(spark, "assignments_csv")
-    headers = rfm_reports(spark, sf_dir)
-    rows = rp.assignment_rows(q_segments.assigned(spark, sf_dir), headers)
+    feats = common.rfm_features(spark, sf_dir)
+    headers = staged(rfm_reports(spark, sf_dir, feats), "report-headers")        # read by both sides of the export
+    rows = rp.assignment_rows(q_segments.assigned(spark, sf_dir, feats=feats), headers)
     rp.export_assignments_csv(headers, rows, out)
     return spark.read.option("header", True).schema("id string, cid int").csv(out)
 

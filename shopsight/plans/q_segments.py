@@ -22,13 +22,16 @@ FEATS = rfm.FEATURES
 
 # --- Spark side --------------------------------------------------------------------
 
-def assigned(spark, sf_dir, weights=None):
-    z = common.rfm_scaled(spark, sf_dir, weights)
+def assigned(spark, sf_dir, weights=None, feats=None):
+    z = common.rfm_scaled(spark, sf_dir, weights, feats)
     return rfm.assign_clusters(z, CENTROIDS)
 
 
-def scores(spark, sf_dir, weights=None):
-    a = assigned(spark, sf_dir, weights)
+def summary_of(a):
+    return rfm.cluster_summary(a.select("tenant_id", "cluster_id", *[F.col(f"raw_{c}").alias(c) for c in FEATS]))
+
+
+def scores_of(a):
     return rfm.silhouette(a).join(rfm.davies_bouldin(a), "tenant_id")
 
 
@@ -114,8 +117,7 @@ def cluster_assign(spark, sf_dir):
   {exact_mean_sql('raw_monetary')} AS monetary, count(*) AS customer_count
 FROM b_asg GROUP BY tenant_id, cluster_id"""))
 def cluster_summary(spark, sf_dir):
-    a = assigned(spark, sf_dir).select("tenant_id", "cluster_id", *[F.col(f"raw_{c}").alias(c) for c in FEATS])
-    return rfm.cluster_summary(a)
+    return summary_of(assigned(spark, sf_dir))
 
 
 @query("silhouette", covers="G5", sql=S.with_(BASE, "SELECT tenant_id, silhouette FROM b_sil"))
@@ -137,7 +139,8 @@ def davies_bouldin(spark, sf_dir):
 FROM b_sil s JOIN b_db d ON s.tenant_id = d.tenant_id
 JOIN w_sil ws ON s.tenant_id = ws.tenant_id JOIN w_db wd ON s.tenant_id = wd.tenant_id"""))
 def model_compare(spark, sf_dir):
-    return rfm.compare_models(scores(spark, sf_dir), scores(spark, sf_dir, WEIGHTS))
+    feats = common.rfm_features(spark, sf_dir)
+    return rfm.compare_models(*[scores_of(assigned(spark, sf_dir, w, feats)) for w in (None, WEIGHTS)])
 
 
 def _pca_sql() -> str:
