@@ -10,15 +10,16 @@ from shopsight.plans import common
 from shopsight.plans import sql as S
 from shopsight.plans.catalog import query
 from shopsight.schemas import CUSTOMERS, ORDERS, PRODUCTS
+from shopsight.session import staged
 from shopsight.sources import testdata as td
 
 _DIRTY_ITEMS = (S.DIRTY_FEED + "," + S.classify("dirty") + "," + S.clean("dirty") + ","
                 + S.with_order_id("clean", "items"))
 
 
-def loaded_star(spark, sf_dir, batches=(0, 1, 2)) -> st.Star:
+def loaded_star(spark, sf_dir, batches=(0, 1, 2), clean=None) -> st.Star:
     """Load the batches in order into an empty star (marker in event mode)."""
-    clean = common.clean_dirty_feed(spark, sf_dir)
+    clean = common.clean_dirty_feed(spark, sf_dir) if clean is None else clean
     s = st.Star.empty(spark, td.tenants(spark, sf_dir))
     for b in batches:
         s = st.load_batch(s, td.batch_of(clean, b), b, common.SEQ)
@@ -79,7 +80,8 @@ def orders_upsert(spark, sf_dir):
     clean = st.with_order_id(common.clean_dirty_feed(spark, sf_dir))
     cur = spark.createDataFrame([], ORDERS)
     for b in range(td.N_BATCHES):
-        cur = st.upsert_orders(cur, st.batch_orders(td.batch_of(clean, b)))
+        # later batches look these headers up again
+        cur = st.upsert_orders(cur, staged(st.batch_orders(td.batch_of(clean, b)), "batch-orders"))
     return cur
 
 
@@ -110,7 +112,8 @@ def items_replay(spark, sf_dir):
 WHERE substr(client_hash, 1, 1) < '8' AND NOT contains(product_code, '7')"""))
 def items_known_only(spark, sf_dir):
     """Line items whose customer or product is unknown are skipped."""
-    s = loaded_star(spark, sf_dir)
+    # lines, customers and products are read from one copy of the clean records
+    s = loaded_star(spark, sf_dir, clean=staged(common.clean_dirty_feed(spark, sf_dir), "clean-feed"))
     customers = s.customers.filter(F.substring("customer_hash", 1, 1) < "8")
     products = s.products.filter(~F.contains("product_code", F.lit("7")))
     return _items_out(st.append_items(None, s.order_items, 0, customers, products))
