@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from shopsight.functions.scalar import marker_timestamp, order_date_text, strip_ws
 from shopsight.schemas import MONEY
+from shopsight.session import staged
 
 CLEAN_COLUMNS = ("client_hash", "product_code", "quantity", "price", "order_date", "transaction_date")
 
@@ -133,7 +134,9 @@ def capped(df: DataFrame, n: int, order_cols: Sequence) -> DataFrame:
 
 def mark_cap(df: DataFrame, n: int, order_cols: Sequence[str]) -> DataFrame:
     """A3 / B10 without losing rows: every row, with ``within_cap`` true for the first ``n`` in
-    ascending order (nulls first; rows equal to the n-th one count as well)."""
+    ascending order (nulls first; rows equal to the n-th one count as well).  The rows are
+    computed once, as the selection reads them several times."""
+    df = staged(df, "capped-rows")
     cut = nth_key(df, n, order_cols)
     return df.withColumn("within_cap", F.lit(False) if cut is None else F.struct(*order_cols) <= cut)
 
@@ -205,14 +208,16 @@ def since(marker: str, overlap: str | None = None) -> Column:
 def unseen(rows: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows that ``stored`` does not hold yet, as multisets: a row that comes n times and is stored
     m times stays n - m times.  ``key`` decides what is equal, nulls included; the other columns
-    must follow from it.  Both sides are counted map-side first, so a row that is repeated very
-    often is one row a task."""
-    have = stored.groupBy(*[F.col(c).alias(f"__{c}") for c in key]).agg(F.count(F.lit(1)).alias("__have"))
-    come = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__come"))
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
-    left = F.col("__come") - F.coalesce(F.col("__have"), F.lit(0))
-    return (come.join(have, same, "left").filter(left > 0)
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), left))).select(*rows.columns))
+    must follow from it.  Both sides are counted in one aggregation, map-side first, so a row that
+    is repeated very often is one row a task."""
+    rest = F.struct(*[c for c in rows.columns if c not in key])
+    come = rows.select(*key, rest.alias("__rest"), F.lit(1).cast("bigint").alias("__left"))
+    have = stored.select(*key, F.lit(None).alias("__rest"), F.lit(-1).cast("bigint").alias("__left"))
+    counted = come.unionByName(have).groupBy(*key).agg(
+        F.sum("__left").alias("__left"), F.first("__rest", ignorenulls=True).alias("__rest"))
+    return (counted.filter("__left > 0")
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__left"))))
+            .select(*[c if c in key else F.col(f"__rest.{c}").alias(c) for c in rows.columns]))
 
 
 def union_feeds(dfs: Iterable[DataFrame]) -> DataFrame:

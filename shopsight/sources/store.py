@@ -77,7 +77,10 @@ class StarStore:
             if tenants is None:
                 raise ValueError("a feed without tenant_id needs the tenant register")
             feed = feed.join(tenants.select("tenant_key", "tenant_id"), "tenant_key", "left")
-        rows = cleaning.clean_classified(cleaning.classify_feed(feed), ("tenant_id", *keep, *seq_cols), all_rows=True)
+        if new_since is None:                # the raw lines are moved, before hashes and ids make them wide
+            feed = feed.withColumn("tenant_bucket", self._bucket(F.col("tenant_id"))).hint("rebalance", "tenant_bucket")
+        rows = cleaning.clean_classified(cleaning.classify_feed(feed), ("tenant_id", *keep, *seq_cols, "tenant_bucket"),
+                                         all_rows=True)
         self._write(rows, batch_id, seq_cols, load_time, source, new_since)
         written = self.lines(feed.sparkSession).filter(F.col("batch_key") == f"{source}:{batch_id}")
         return cleaning.classified_stats(written)
@@ -91,6 +94,7 @@ class StarStore:
                new_since: Column | None = None) -> None:
         folder = f"batch_key={quote(f'{source}:{batch_id}', safe='')}"
         known, good = F.col("tenant_id").isNotNull(), F.col("reject_reason").isNull()
+        placed = "tenant_bucket" in rows.columns
         seen = Observation()
         counted = rows.observe(
             seen, F.count("tenant_id").alias("processed"), F.count_if(known & good).alias("sent"),
@@ -99,16 +103,22 @@ class StarStore:
         lines = st.with_order_id(counted.filter(known)).select(
             "tenant_id", "client_hash", "product_code", "quantity", "price", "transaction_date", "order_id",
             "reject_reason", F.lit(batch_id).cast("long").alias("batch_id"), F.struct(*seq_cols).alias("seq"),
-            stamp.alias("load_time"), self._bucket(F.col("tenant_id")).alias("tenant_bucket"))
+            stamp.alias("load_time"),
+            F.col("tenant_bucket") if placed else self._bucket(F.col("tenant_id")).alias("tenant_bucket"))
         if new_since is not None and path_exists(rows.sparkSession, f"{self.base}/lines"):
             clean = F.col("reject_reason").isNull()
             others = self.lines(rows.sparkSession).filter(
                 clean & (F.col("batch_key") != f"{source}:{batch_id}") & (F.col("transaction_date") > new_since))
             key = ["tenant_id", "client_hash", "product_code", "quantity", "price", "transaction_date", "seq"]
             lines = staged(lines, "delivered-lines")             # the folder below is read and written
-            lines = lines.filter(~clean).unionByName(cleaning.unseen(lines.filter(clean), staged(others, "stored-lines"), key))
-        (lines.hint("rebalance", "tenant_bucket").write.mode("overwrite").option("partitionOverwriteMode", "static")
-         .partitionBy("tenant_bucket").parquet(f"{self.base}/lines/{folder}"))
+            others = staged(others.select(*key), "stored-lines")
+            newest = others.agg(F.max("transaction_date").alias("t")).first()["t"]
+            # what is newer than all that is stored needs no look
+            older = clean & (F.col("transaction_date") <= F.lit(str(newest)).cast("timestamp_ntz")) if newest is not None else F.lit(False)
+            lines = lines.filter(~older).unionByName(cleaning.unseen(lines.filter(older), others, key))
+        (lines if placed else lines.hint("rebalance", "tenant_bucket")).write.mode("overwrite").option(
+            "partitionOverwriteMode", "static").option("compression", "zstd").partitionBy("tenant_bucket").parquet(
+            f"{self.base}/lines/{folder}")
         n = seen.get
         row = [(batch_id, *[n[c] for c in ("processed", "sent", "filtered", "unknown_key")])]
         (rows.sparkSession.createDataFrame(row, BATCHES).coalesce(1).write.mode("overwrite")
