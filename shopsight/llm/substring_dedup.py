@@ -17,8 +17,9 @@ range is not empty is the window's name.  Equal windows have equal names at equa
 
 Questions and answers are packed arrays, one row per block and slot, so hot passages cost a
 block one entry however often they occur, and no slot holds more than its share of names.
-Blocks are written once and never shuffled while the answers are proven small enough to
-broadcast; beyond that the answers are joined to the blocks by key.
+Blocks are written once and never shuffled: the answers come to them by broadcast, in passes
+over runs of blocks whose answers are together proven small enough.  A pass reads only the
+files of its run, so any size is one reading of the texts a step.
 
 Defined cases: null and empty texts have no words and the digest of the empty text; texts
 of fewer than ``size`` words keep all; rows without doc_id take part like all others;
@@ -39,13 +40,18 @@ from pyspark.sql import functions as F
 
 from shopsight.llm import textarrays as ta
 from shopsight.llm.common import staged
+from shopsight.session import scratch_path
 
 SIZE = 35
 BLOCK_BYTES = 4 << 20             # of text
 ROUNDS = 16                       # a round shortens every window; none of 35 words lasts so long
 MIN_SLOTS = 64
-BROADCAST_BYTES = 64 << 20        # answers of all blocks together up to this size are broadcast
+BROADCAST_BYTES = 32 << 20        # answers of the blocks of one pass together, at most
+PACK = 6                          # passes are cut between packs of 2 ** PACK blocks of one task
 NAME_BYTES = 6                    # of a name: a clash only makes a window a candidate
+# Parquet checks sizes after 100 rows by default: all blocks of a task would be one page, and
+# a reader would hold them all; so every block is a page, and a row group ends after its size.
+BLOCK_FILES = {"compression": "zstd", "parquet.block.size": str(BLOCK_BYTES), "parquet.page.size.row.check.min": "1"}
 
 
 def window_names(h: np.ndarray, doc: np.ndarray, woff: np.ndarray, size: int = SIZE):
@@ -125,16 +131,15 @@ def _answer(width: int):
     return run
 
 
-def _flags(masks, slot: np.ndarray) -> np.ndarray:
-    """The answers, back in the order of the values that were asked about."""
+def _flags(mask: bytes | None, slot: np.ndarray) -> np.ndarray:
+    """The answers, back in the order of the values that were asked about: slot by slot in
+    whole bytes, each slot's values in their order."""
     order = np.argsort(slot, kind="stable")
+    counts = np.unique(slot, return_counts=True)[1]
+    width = -(-counts // 8)
+    bits = np.unpackbits(np.frombuffer(mask or b"", np.uint8)).astype(bool)
     out = np.zeros(len(slot), bool)
-    at = 0
-    counts = {int(s): int(c) for s, c in zip(*np.unique(slot, return_counts=True))}
-    for m in sorted(masks, key=lambda x: x["slot"]):
-        n = counts[m["slot"]]
-        out[order[at:at + n]] = np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=n).astype(bool)
-        at += n
+    out[order] = bits[np.repeat(8 * (np.cumsum(width) - width), counts) + ta.spread_counts(counts)]
     return out
 
 
@@ -193,9 +198,9 @@ def _candidates(h: np.ndarray, p: np.ndarray, size: int, slots: int):
 
 def _ask_windows(size: int, slots: int):
     def run(batches):
-        for block, _, data, off, masks in _each(batches, ("masks",)):
+        for block, _, data, off, mask in _each(batches, ("mask",)):
             h, p, name, unique, slot, _ = _named(data, off, size, slots)
-            shared = _flags(masks or (), slot)
+            shared = _flags(mask, slot)
             maybe = shared[np.searchsorted(unique, name)]
             values, wslot, _, twice = _candidates(h, p[maybe], size, slots)
             rows = list(_questions(values, wslot, twice, 8, block))
@@ -207,7 +212,7 @@ def _ask_windows(size: int, slots: int):
 def _remove(size: int, slots: int):
     """(doc_id, n_words, n_removed, kept) with the kept words joined by a blank."""
     def run(batches):
-        for _, ids, data, off, masks, maybe in _each(batches, ("masks", "maybe")):
+        for _, ids, data, off, mask, maybe in _each(batches, ("mask", "maybe")):
             starts, ends, woff = ta.words(data, off)
             h = ta.fingerprints(data, starts, ends)
             doc = ta.owner(woff)
@@ -215,7 +220,7 @@ def _remove(size: int, slots: int):
             p = p[p + size <= woff[doc[p] + 1]] if len(p) else p
             p = p[np.unpackbits(np.frombuffer(maybe or b"", np.uint8), count=len(p)).astype(bool)] if len(p) else p
             _, wslot, which, _ = _candidates(h, p, size, slots)
-            gone = ta.covered(p[_flags(masks or (), wslot)[which]], size, len(h))
+            gone = ta.covered(p[_flags(mask, wslot)[which]], size, len(h))
             yield ids, woff, gone, data, starts, ends
     return run
 
@@ -249,32 +254,72 @@ def _reported(size: int, slots: int, texts: bool):
     return run
 
 
-def _answers(asked: DataFrame, width: int) -> DataFrame:
-    """(block, masks): all slots' answers to a block, one bit per value."""
+def _answers(asked: DataFrame, width: int, maybe: DataFrame | None = None) -> DataFrame:
+    """(block, mask, maybe): all slots' answers to a block, one bit per value, and its own
+    bits of ``maybe``; ordered by block, so that a pass skips the files of the others."""
     got = asked.groupBy("slot").applyInArrow(_answer(width), "block bigint, slot bigint, mask binary")
-    return staged(got.groupBy("block").agg(F.collect_list(F.struct("slot", "mask")).alias("masks")), "answers")
+    if maybe is not None:
+        got = got.unionByName(maybe)
+    each = got.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("slot", "mask"))).alias("m"))
+    each = each.select("block", F.expr("unhex(array_join(transform(filter(m, x -> x.slot >= 0), x -> hex(x.mask)), ''))")
+                       .alias("mask"), F.expr("get(filter(m, x -> x.slot < 0), 0).mask").alias("maybe"))
+    return staged(each.repartitionByRange("block").sortWithinPartitions("block"), "answers")
+
+
+def _files(blocks: DataFrame) -> list:
+    """Name, first and last block and number of blocks of every file."""
+    return blocks.groupBy(F.col("_metadata.file_name").alias("file")).agg(
+        F.min("block").alias("lo"), F.max("block").alias("hi"), F.count("*").alias("n")).collect()
+
+
+def _passes(blocks: DataFrame, path: str, files: list, answers: DataFrame) -> list[DataFrame]:
+    """Every block beside its answers, in runs of blocks whose answers are at most
+    BROADCAST_BYTES together (a pack at least); the texts stay where they are."""
+    size = F.octet_length("mask") + F.coalesce(F.octet_length("maybe"), F.lit(0)) + 64
+    packs = (answers.groupBy(F.shiftright("block", PACK).alias("pack")).agg(F.sum(size).alias("bytes"))
+             .orderBy("pack").collect())
+    cuts, total = [0], 0
+    for r in packs:
+        if total and total + r["bytes"] > BROADCAST_BYTES:
+            cuts.append(r["pack"] << PACK)
+            total = 0
+        total += r["bytes"]
+    if len(cuts) == 1:
+        return [blocks.join(F.broadcast(answers), "block", "left")]
+    out = []
+    for lo, hi in zip(cuts, [*cuts[1:], 1 << 62]):
+        own = [f"{path}/{f['file']}" for f in files if f["hi"] >= lo and f["lo"] < hi]
+        run = F.col("block").between(lo, hi - 1)
+        here = blocks.sparkSession.read.schema(blocks.schema).parquet(*own).filter(run)
+        out.append(here.join(F.broadcast(answers.filter(run)), "block", "left"))
+    return out
 
 
-def _joined(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Answers brought to their blocks: broadcast up to a proven size, else joined by key."""
-    size = answers.select(F.sum(F.expr("aggregate(masks, 0L, (s, m) -> s + octet_length(m.mask) + 32)"))).first()[0]
-    return blocks.join(F.broadcast(answers) if (size or 0) <= BROADCAST_BYTES else answers, "block", "left")
+def _written(frames: list[DataFrame], name: str) -> DataFrame:
+    """The frames one after the other in one staged table."""
+    spark = frames[0].sparkSession
+    path = scratch_path(spark, name)
+    for df in frames:
+        df.write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(frames[0].schema).parquet(path)
 
 
 def _run(docs: DataFrame, size: int, texts: bool) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    blocks = staged(rows.mapInArrow(_blocks, _BLOCK_DDL), "text-blocks")
-    slots = max(MIN_SLOTS, blocks.select("block").count() // 4)
-    asked = blocks.select("block", "off", "data").mapInArrow(_ask_names(size, slots), _Q_DDL)
-    named = _answers(asked, NAME_BYTES)
-    windows = staged(_joined(blocks.select("block", "off", "data"), named)
-                     .mapInArrow(_ask_windows(size, slots), _Q_DDL), "window-questions")
-    twice = _answers(windows.filter("slot >= 0"), 8)
-    maybe = windows.filter("slot < 0").select("block", F.col("names").alias("maybe"))
-    last = _joined(blocks, maybe.join(twice, "block", "left").select(
-        "block", "masks", "maybe").withColumn("masks", F.coalesce("masks", F.array().cast(twice.schema["masks"].dataType))))
+    path = scratch_path(docs.sparkSession, "text-blocks")
+    rows.mapInArrow(_blocks, _BLOCK_DDL).write.options(**BLOCK_FILES).parquet(path)
+    blocks = docs.sparkSession.read.schema(_BLOCK_DDL).parquet(path)
+    bare = blocks.select("block", "off", "data")
+    files = _files(blocks)
+    slots = max(MIN_SLOTS, sum(f["n"] for f in files) // 4)
+    named = _answers(bare.mapInArrow(_ask_names(size, slots), _Q_DDL), NAME_BYTES)
+    windows = _written([df.mapInArrow(_ask_windows(size, slots), _Q_DDL)
+                        for df in _passes(bare, path, files, named)], "window-questions")
+    maybe = windows.filter("slot < 0").select("block", "slot", F.col("names").alias("mask"))
+    twice = _answers(windows.filter("slot >= 0"), 8, maybe)
     out = "doc_id bigint, n_words bigint, n_removed bigint, " + ("text string" if texts else "kept_sha256 string")
-    return last.mapInArrow(_reported(size, slots, texts), out)
+    last = [df.mapInArrow(_reported(size, slots, texts), out) for df in _passes(blocks, path, files, twice)]
+    return last[0] if len(last) == 1 else _written(last, "reported")
 
 
 def digests(docs: DataFrame, size: int = SIZE) -> DataFrame:

@@ -102,6 +102,38 @@ def test_substring_small_windows_and_join_path(spark, monkeypatch):
     assert substring_dedup.digests(h.frame(spark, rows).limit(0)).count() == 0
 
 
+def _joined_frames(spark, monkeypatch, bound, rows):
+    """What op 6 reports with broadcasts of at most ``bound`` bytes, and the frames it joined."""
+    kind, seen = type(spark.range(0)), []
+    plain = kind.mapInArrow
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", bound)
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: (seen.append(self), plain(self, *a, **b))[1])
+    got = substring_dedup.digests(h.frame(spark, rows)).collect()
+    return got, [df for df in seen if "Join" in df._jdf.queryExecution().optimizedPlan().toString()]
+
+
+def test_substring_texts_are_never_shuffled(spark, monkeypatch):
+    """Above the bound the answers still come to the blocks; a shuffle of whole texts took the executors' memory."""
+    rows = [(i, h.prose(i % 9, 300)) for i in range(30)] + [(99, "short"), (None, None)]
+    got, joined = _joined_frames(spark, monkeypatch, 0, rows)
+    exp = sorted(repr((r[0], n, n - len(k), sha256(" ".join(k).encode()).hexdigest()))
+                 for r, (n, k) in zip(rows, h.repeats(rows)))
+    assert sorted(repr(tuple(r)) for r in got) == exp
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in joined]
+    assert plans and not [p for p in plans if "SortMergeJoin" in p or "Exchange hashpartitioning(block" in p]
+    ids = [sorted(r.block for r in df.select("block").collect()) for df in joined]
+    assert len(ids) > 2 and sorted(sum(ids, [])) == sorted(2 * [*{b for x in ids for b in x}])     # once in each of two steps
+
+
+def test_substring_broadcasts_count_all_they_hold(spark, monkeypatch):
+    """The bits of the windows that may repeat are broadcast too: 500 bytes a block here, with no candidate among them."""
+    rows = [(i, " ".join(f"w{i}-{k}" for k in range(400))) for i in range(33)]
+    got, joined = _joined_frames(spark, monkeypatch, 1200, rows)
+    assert len(got) == 33 and not any(r.n_removed for r in got)
+    held = [df.selectExpr("sum(octet_length(maybe))").first()[0] for df in joined if "doc_ids" in df.columns]
+    assert sum(held) > 1200 >= max(held)
+
+
 def test_equal_windows_have_equal_names():
     rng = np.random.default_rng(1)
     for _ in range(40):
